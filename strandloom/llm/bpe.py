@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,8 +26,14 @@ from pyspark.sql import types as T
 
 #: The pre-tokenization pattern of the byte-level vocabularies, as their documentation gives it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Fragments that a worker remembers.
+#: White space as the pattern means it.
+SPACE = regex.compile(r"\s")
+#: Fragments that a worker remembers, of either kind.
 REMEMBERED = 250_000
+#: Longest fragment, in bytes, that is searched for the next merge from end to end; longer ones keep a heap.
+SHORT = 48
+#: Rank of a pair that no merge joins.
+NONE = (1 << 60, -1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,13 +47,22 @@ def byte_letters() -> dict[str, int]:
 
 def unlike_code_points(pre_tokenizer) -> list[int]:
     """Code points that `regex` counts as letters or numbers and the vocabulary's pre-tokenizer does not: the two know different versions of Unicode."""
-    asked = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and regex.match(r"[\p{L}\p{N}]", chr(c))]
-    first = [regex.match(r"\p{L}", c) is not None for c in asked]
-    joined = "".join(("a" if letter else "1") + c + "\n" for c, letter in zip(asked, first, strict=True))
+    every = "".join(chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000)
+    letters = regex.findall(r"\p{L}", every)
+    asked = letters + regex.findall(r"\p{N}", every)
+    joined = "".join(("a" if i < len(letters) else "1") + c + "\n" for i, c in enumerate(asked))
     starts = {at for _, (at, _) in pre_tokenizer.pre_tokenize_str(joined)}
     return [ord(c) for i, c in enumerate(asked) if 3 * i + 1 in starts]
 
 
+def ranges(points: list[int]) -> list[tuple[int, int]]:
+    """Sorted code points as closed ranges."""
+    out: list[tuple[int, int]] = []
+    for c in points:
+        out[-1:] = [(out[-1][0], c)] if out and c == out[-1][1] + 1 else [*out[-1:], (c, c)]
+    return out
+
+
 class Encoded(dict):
     """Ids of a pre-token, made when first asked for."""
 
@@ -60,6 +76,22 @@ class Encoded(dict):
         return ids
 
 
+class Spaced(dict):
+    """Ids of a chunk between two single spaces, with the space before it. A chunk that is empty or begins with white space shares its space with others: it has no ids of its own."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        if not chunk or SPACE.match(chunk):
+            raise KeyError(chunk)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        known = self.codec.known
+        ids = self[chunk] = tuple(chain.from_iterable(map(known.__getitem__, self.codec.pieces.findall(" " + chunk))))
+        return ids
+
+
 class Codec:
     """Encoder and decoder of a byte-level BPE vocabulary in the `tokenizers` library's JSON."""
 
@@ -84,14 +116,25 @@ class Codec:
 
         self.reference = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         unlike = unlike_code_points(self.reference)
-        self.unlike = regex.compile("[" + "".join(map(chr, unlike)) + "]") if unlike else None
-        self.known = Encoded(self)
-
-    def split(self, text: str) -> list[str]:
-        """Pre-tokens of a text without special tokens."""
-        if self.unlike is not None and not text.isascii() and self.unlike.search(text):
-            return [text[a:b] for _, (a, b) in self.reference.pre_tokenize_str(text)]
-        return self.pieces.findall(text)
+        self.unlike = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges(sorted(unlike))) + "]") if unlike else None
+        lead = chr(min(unlike, default=0x10FFFF)).encode()[0]
+        self.low = bytes(range(lead))
+        self.known, self.spaced = Encoded(self), Spaced(self)
+
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text without special tokens.
+
+        Where no single space stands beside other white space, the text is cut at its spaces: the pattern lets a space
+        join what follows it, and white space before it ends there as at the end of a text."""
+        if self.unlike is not None and text.encode().translate(None, self.low) and self.unlike.search(text):
+            pieces = [text[a:b] for _, (a, b) in self.reference.pre_tokenize_str(text)]
+            return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+        first, *chunks = text.split(" ")
+        try:
+            ids = list(chain.from_iterable(map(self.spaced.__getitem__, chunks)))
+        except KeyError:
+            return list(chain.from_iterable(map(self.known.__getitem__, self.pieces.findall(text))))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.pieces.findall(first)))) + ids
 
     def fragments(self, piece: bytes) -> Iterator[bytes]:
         """Cuts a pre-token between bytes that no token holds side by side."""
@@ -106,7 +149,17 @@ class Codec:
         """Ids of a fragment: of all neighbours the pair of lowest rank merges first, the leftmost of equals."""
         ids = [self.byte_ids[b] for b in fragment]
         n, ranks = len(ids), self.ranks
-        if n < 2:
+        if n <= SHORT:
+            get = ranks.get
+            found = [get(pair, NONE) for pair in zip(ids, ids[1:])]
+            while found and (least := min(found)) is not NONE:
+                i = found.index(least)
+                ids[i : i + 2] = [least[1]]
+                del found[i]
+                if i:
+                    found[i - 1] = get((ids[i - 1], ids[i]), NONE)
+                if i < len(found):
+                    found[i] = get((ids[i], ids[i + 1]), NONE)
             return ids
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         waiting = [(found[0], i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (found := ranks.get((a, b)))]
@@ -130,15 +183,13 @@ class Codec:
         """Ids of a text; special tokens in it become their ids."""
         if not text:
             return []
-        known = self.known
-        if self.specials is None or not self.specials.search(text):
-            return list(chain.from_iterable(map(known.__getitem__, self.split(text))))
+        if not any(map(text.__contains__, self.special)):
+            return self.plain(text)
         ids, start = [], 0
         for m in self.specials.finditer(text):
-            ids += chain.from_iterable(map(known.__getitem__, self.split(text[start : m.start()])))
-            ids.append(self.special[m[0]])
+            ids += [*self.plain(text[start : m.start()]), self.special[m[0]]]
             start = m.end()
-        return ids + list(chain.from_iterable(map(known.__getitem__, self.split(text[start:]))))
+        return ids + self.plain(text[start:])
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""
