@@ -1,6 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class, toxic and ordinary, has a character model of words: the probability of a letter after the four before it (blanks
+Each class, toxic and ordinary, has a character model of words: the probability of a letter after the six before it (blanks
 before the word's first, an end mark after its last) from the class's own counts, discounted, and backing off to
 continuation counts that both classes share. An expression too rare for a class's own counts is so judged by the shared ones,
 which favour neither class. A word's evidence is the log-likelihood ratio of the two models. A document is judged by the
@@ -35,8 +35,10 @@ REMEMBERED = 400_000
 AT_ONCE = 50_000
 LETTERS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 #: Bits of a letter in an n-gram's key, and the marks before and after a word.
-BITS, BEFORE, AFTER = 12, 1, 2
+BITS, BEFORE, AFTER = 9, 1, 2
 MASK = (1 << BITS) - 1
+#: Letters of the longest n-grams; their keys fill 63 bits.
+ORDER = 7
 
 
 def words(text: str | None) -> list[str]:
@@ -44,14 +46,14 @@ def words(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-def fivegrams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all five-grams of words, and the index of each one's word."""
+def ngrams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all n-grams of words, and the index of each one's word."""
     sizes = np.fromiter(map(len, batch), np.int64, len(batch)) + 1
     letters = np.frombuffer((chr(AFTER).join(batch) + chr(AFTER)).encode("utf-32-le", "replace"), np.uint32).astype(np.int64) & MASK
     ends = np.cumsum(sizes)
     within = np.arange(len(letters)) - np.repeat(ends - sizes, sizes)
     key = letters.copy()
-    for back in range(1, 5):
+    for back in range(1, ORDER):
         before = np.full(len(letters), BEFORE, np.int64)
         before[back:] = np.where(within[back:] >= back, letters[:-back], BEFORE)
         key |= before << (BITS * back)
@@ -84,7 +86,7 @@ class Model:
         """Remembers the evidence of words."""
         if len(self.known) + len(batch) > REMEMBERED:
             self.known.clear()
-        key, word = fivegrams(batch)
+        key, word = ngrams(batch)
         own, seen = at_keys(self.keys, key)
         ctx, near = at_keys(self.contexts, key >> BITS)
         ratio = np.where(seen, self.evidence[own], np.where(near, self.leftover[ctx], 0.0))
@@ -146,10 +148,10 @@ def at_keys(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def shared(keys: np.ndarray) -> np.ndarray:
-    """For each five-gram the probability of its last letter after the three before it, from continuation counts of all orders below."""
+    """For each n-gram the probability of its last letter after all but the first before it, from continuation counts of all orders below."""
     p, seen = None, keys
     levels = []
-    for order in (4, 3, 2, 1):  # distinct left neighbours of each n-gram
+    for order in range(ORDER - 1, 0, -1):  # distinct left neighbours of each n-gram
         short = np.sort(seen & ((1 << (BITS * order)) - 1))
         grams, n = np.unique(short, return_counts=True)
         levels.append((order, grams, n.astype(float)))
@@ -159,7 +161,7 @@ def shared(keys: np.ndarray) -> np.ndarray:
         total, kinds = np.bincount(at, n, len(ctx)), np.bincount(at, minlength=len(ctx))
         lower = np.full(len(grams), 1 / max(1, len(grams))) if p is None else p[1][at_keys(p[0], grams & ((1 << (BITS * (order - 1))) - 1))[0]]
         p = grams, np.maximum(n - DISCOUNT, 0) / total[at] + DISCOUNT * kinds[at] / total[at] * lower
-    return p[1][at_keys(p[0], keys & ((1 << (BITS * 4)) - 1))[0]] if len(keys) else np.zeros(0)
+    return p[1][at_keys(p[0], keys & ((1 << (BITS * (ORDER - 1))) - 1))[0]] if len(keys) else np.zeros(0)
 
 
 def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -194,10 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_DOCUMENTS) ->
         found = {True: Counter(), False: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found[toxic].update(words(text))
+                found[toxic].update(set(words(text)))  # an expression counts once a document
         for toxic, c in found.items():
             if c:
-                key, word = fivegrams(list(c))
+                key, word = ngrams(list(c))
                 keys, at = np.unique(key, return_inverse=True)
                 n = np.bincount(at, np.fromiter(c.values(), float, len(c))[word]).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"key": keys, "toxic": n * toxic, "ordinary": n * (not toxic)})

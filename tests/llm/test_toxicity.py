@@ -5,15 +5,15 @@ from strandloom.llm import toxicity
 
 
 def test_shared_backoff_is_a_distribution():
-    keys, _ = toxicity.fivegrams(["abc", "abd", "xbc", "b"])
+    keys, _ = toxicity.ngrams(["abc", "abd", "xbc", "b"])
     keys = np.unique(keys)
     p = toxicity.shared(keys)
     assert ((p > 0) & (p <= 1)).all()
 
 
-def test_fivegrams():
-    keys, word = toxicity.fivegrams(["ab", "c"])
-    spell = [[(k >> (12 * i)) & 0xFFF for i in range(4, -1, -1)] for k in keys.tolist()]
+def test_ngrams():
+    keys, word = toxicity.ngrams(["ab", "c"])
+    spell = [[(k >> (9 * i)) & 511 for i in range(4, -1, -1)] for k in keys.tolist()]
     assert spell == [[1, 1, 1, 1, 97], [1, 1, 1, 97, 98], [1, 1, 97, 98, 2], [1, 1, 1, 1, 99], [1, 1, 1, 99, 2]]
     assert word.tolist() == [0, 0, 0, 1, 1]
 
