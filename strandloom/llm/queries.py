@@ -5,10 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, toxicity
+from . import bpe, language, mixing, toxicity, warc
 from .common import held_out, table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix at target weights takes of every document."""
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS key
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT source, source_size, source_size * 3 AS stop,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM s),
+r AS (SELECT *, CAST(stop AS DOUBLE) / weight AS room FROM w),
+l AS (
+  SELECT *, row_number() OVER (ORDER BY room, source NULLS LAST) AS place,
+         CAST(sum(source_size) OVER () - coalesce(sum(stop) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+           / CAST(sum(weight) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM r),
+f AS (SELECT arg_min(level, place) AS level FROM l WHERE level <= room),
+t AS (SELECT source, source_size, least(CAST(stop AS DOUBLE), f.level * weight) AS target FROM l, f),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS budget,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS rounds FROM p)
+SELECT doc_id, size, source_size, target,
+       CAST(rounds * size + least(greatest(budget - rounds * source_size - start, 0), size) AS BIGINT) AS taken
+FROM e
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and decoded text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -22,6 +56,26 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, as read back from the archives it was written to."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hexed,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept
+  FROM pages)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(hexed, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM p
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,5 +85,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Score from which a document counts as toxic.
 TOXIC = 0.7
-QUERIES = {"op3_bpe": op3_bpe, "op4_language": op4_language, "op6_toxicity": op6_toxicity}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_mixing": op1_mixing, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL}
