@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, toxicity, warc
+from . import bpe, language, mixing, neighbours, topk, toxicity, warc
 from .common import held_out, table
 
 
@@ -83,7 +83,32 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the five nearest by cosine of every fiftieth vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 #: Score from which a document counts as toxic.
 TOXIC = 0.7
-QUERIES = {"op1_mixing": op1_mixing, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity}
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op9_neighbours": op9_neighbours}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL, "op7_topk": OP7_SQL}
