@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .bpe import with_columns
 from .common import training_row
 
-TRAINING_DOCUMENTS = 24_000
+TRAINING_DOCUMENTS = 12_000
 DISCOUNT = 0.75
 #: Letters of a word that are taken at a time; longer runs are cut.
 LONGEST = 64
