@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, neighbours, topk, toxicity, warc
+from . import bpe, jaccard, language, mixing, neighbours, topk, toxicity, warc
 from .common import held_out, table
 
 
@@ -43,6 +43,32 @@ FROM e
 """
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that links of similarity 0.9 on three-word shingles connect."""
+    return jaccard.join_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 2, 1) + 1), lambda i: array_to_string(words[i:i + 2], ' '))) AS shingle
+  FROM d WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id
+  WHERE 100 * p.both_ >= 90 * (x.n + y.n - p.both_)),
+r(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and decoded text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -110,5 +136,5 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Score from which a document counts as toxic.
 TOXIC = 0.7
-QUERIES = {"op1_mixing": op1_mixing, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op9_neighbours": op9_neighbours}
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_warc": OP5_SQL, "op7_topk": OP7_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op9_neighbours": op9_neighbours}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_jaccard": OP2_SQL, "op5_warc": OP5_SQL, "op7_topk": OP7_SQL}
