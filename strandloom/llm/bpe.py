@@ -231,14 +231,20 @@ def with_columns(df: DataFrame, added: list[T.StructField], make) -> DataFrame:
     return df.select(*ordered, *[f"`{f.name}`" for f in df.schema.fields if f.name.lower() in names]).mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "tokens", path: str | None = None) -> DataFrame:
-    """Adds the token ids of a text column."""
+def encode(df: DataFrame, text: str = "text", ids: str = "tokens", path: str | None = None, check: bool = False) -> DataFrame:
+    """Adds the token ids of a text column. check: raises ValueError if ids don't decode to their text."""
     path = path or vocabulary_path()
-    return with_columns(
-        df,
-        [T.StructField(ids, T.ArrayType(T.IntegerType()))],
-        lambda batch: [[codec(path).encode(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]],
-    )
+
+    def make(batch):
+        own, out = codec(path), []
+        for t in batch.column(batch.schema.get_field_index(text)):
+            t = t.as_py()
+            out.append(own.encode(t))
+            if check and own.decode(out[-1]) != (t or ""):
+                raise ValueError(f"ids of a text of {len(t)} letters decode to another")
+        return [out]
+
+    return with_columns(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
 
 
 def decode(df: DataFrame, ids: str = "tokens", text: str = "decoded", path: str | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, written
 from .components import components
 from .shingles import digest, sets
 
@@ -301,3 +301,12 @@ def join_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tex
     named = grouped.select(F.col("node").alias("of"), "component").join(ids, "component").select("of", "component_id")
     out = rows.join(named, F.col("node") == F.col("of"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """docs without those that a group has besides the one of least doc_id; doc_id is taken for a key.
+
+    Rows with null doc_id stay unless their group has another row with one. Of rows alike in doc_id and text all stay or go."""
+    groups = join_groups(docs.select("doc_id", text), width, percent, text)
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, mixing, neighbours, topk, toxicity, warc
-from .common import held_out, table
+from . import bpe, jaccard, language, mixing, neighbours, rollups, templates, topk, toxicity, warc
+from .common import checkpoint, held_out, shared_dir, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +136,77 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rollup of all documents after four batches: both tokenizer versions are loaded, every count of one is revised, and documents that repeat an earlier text are deleted. Each batch is sent twice."""
+    docs = table(spark, sf_dir, "documents")
+    counts = [F.coalesce(F.regexp_count("text", F.lit(rollups.TOKENIZERS[v])), F.lit(0)).cast("long").alias(v) for v in rollups.TOKENIZERS]
+    rows = checkpoint(docs.select("doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("name"), *counts))
+    first = rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("name").alias("of"), "first")
+    again = rows.join(first, (F.col("name") == F.col("of")) & (F.col("doc_id") != F.col("first")), "left_semi")
+    under = lambda df, version, name: df.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(f"`{version}`").alias("tokens"))
+    words, old, new = (lambda df: under(df, "words/1", "words")), (lambda df: under(df, "pieces/1", "pieces")), (lambda df: under(df, "pieces/2", "pieces"))
+    rollup = rollups.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    batches = {
+        "words": rollups.inserts(words(rows)),
+        "pieces": rollups.inserts(old(rows)),
+        "pieces, revised": rollups.revisions(old(rows), new(rows)),
+        "copies": rollups.deletes(words(again)).unionByName(rollups.deletes(new(again))),
+    }
+    for name, deltas in [*batches.items(), *batches.items()]:
+        rollup.commit(name, deltas)
+    return rollup.totals()
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS copy FROM documents),
+t AS (
+  SELECT source, lang, 'words' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM d WHERE copy = 1
+  UNION ALL
+  SELECT source, lang, 'pieces', len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]{1,4}')) FROM d WHERE copy = 1)
+SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens FROM t GROUP BY ALL
+"""
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and a digest of what is left of every document."""
+    kept = templates.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS raw FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(raw) AS line, generate_subscripts(raw, 1) AS pos FROM d),
+w AS (
+  SELECT doc_id, line, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS words
+  FROM l),
+u AS (SELECT DISTINCT doc_id, words FROM w WHERE len(words) > 0),
+k AS (SELECT words, len(words) AS n, words[1:3] AS head, count(*) AS docs, min(doc_id) AS first FROM u GROUP BY words),
+t AS (SELECT words, n, head, docs, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM k),
+c AS (SELECT n, head, place, word FROM t GROUP BY n, head, place, word HAVING sum(docs) >= 3),
+s AS (SELECT t.words, count(*) AS constant FROM t JOIN c USING (n, head, place, word) WHERE place > 3 GROUP BY t.words),
+m AS (SELECT k.* FROM k LEFT JOIN s ON k.words = s.words WHERE 100 * coalesce(s.constant, 0) >= 60 * greatest(k.n - 3, 0)),
+g AS (SELECT n, head, min(first) AS first FROM m GROUP BY n, head HAVING sum(docs) >= 3),
+x AS (SELECT m.words, g.first FROM m JOIN g ON m.n = g.n AND m.head = g.head),
+o AS (SELECT w.doc_id, w.pos, w.line, len(w.words) AS n, x.words IS NOT NULL AND x.first <> w.doc_id AS gone FROM w LEFT JOIN x ON w.words = x.words)
+SELECT doc_id, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+FROM o GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
 #: Score from which a document counts as toxic.
 TOXIC = 0.7
-QUERIES = {"op1_mixing": op1_mixing, "op2_jaccard": op2_jaccard, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op9_neighbours": op9_neighbours}
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_jaccard": OP2_SQL, "op5_warc": OP5_SQL, "op7_topk": OP7_SQL}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_jaccard": op2_jaccard,
+    "op3_bpe": op3_bpe,
+    "op4_language": op4_language,
+    "op5_warc": op5_warc,
+    "op6_toxicity": op6_toxicity,
+    "op7_topk": op7_topk,
+    "op8_token_counts": op8_token_counts,
+    "op9_neighbours": op9_neighbours,
+    "op10_lines": op10_lines,
+}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_jaccard": OP2_SQL, "op5_warc": OP5_SQL, "op7_topk": OP7_SQL, "op8_token_counts": OP8_SQL, "op10_lines": OP10_SQL}
