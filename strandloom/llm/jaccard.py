@@ -186,7 +186,7 @@ def first_shared(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def boundary(sizes: dict[int, int], length: float) -> int:
-    """The most shared shingles of a light node, for the least cost. sizes: nodes by their number of them; length: entries of the list that an entry is in, on average."""
+    """The most shared shingles of a light node, for the least cost. sizes: nodes by their number of them; length: entries of a list, on average."""
     best, least = 0, None
     light, heavy = 0.0, sum(n * m * length for m, n in sizes.items())
     for m in sorted(sizes):
@@ -203,7 +203,7 @@ def families(docs: DataFrame, total: int, width: int, percent: int, text: str) -
     blobs = postings(docs, width, percent, ranges, text).groupBy("part").applyInPandas(shared_of(ranges), "bucket int, blob binary")
     first = checkpoint(blobs.groupBy("bucket").applyInPandas(first_shared, "node long, m int, tokens array<long>"))
     lists = first.select("node", "m", F.explode("tokens").alias("key"))
-    lengths = lists.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).head()[0] or 1.0
+    lengths = lists.groupBy("key").count().agg(F.avg("count")).head()[0] or 1.0
     at = boundary({r[0]: r[1] for r in first.groupBy("m").count().collect()}, lengths)
     subsets = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.slice("tokens", i + 2, F.size("tokens")), lambda y: F.xxhash64(F.array_sort(F.array(x, y))))))
     light = first.where(F.col("m") <= at).select("node", F.explode(subsets).alias("key"))
