@@ -36,7 +36,7 @@ from .shingles import digest, sets
 WIDTH, PERCENT = 3, 90
 SHARED = 2
 #: Postings of a range of hash values, about; postings after which a task hands on what it has.
-RANGE, FLUSH = 1_500_000, 3_000_000
+RANGE, FLUSH = 3_000_000, 3_000_000
 BLOCK = 512
 #: Bits of the filter that finds the texts of a family's nodes again.
 FILTER_BITS = 20
@@ -77,7 +77,6 @@ def postings(docs: DataFrame, width: int, percent: int, ranges: int, text: str)
         part = ((token >> np.uint64(KEPT - 32)) * np.uint64(ranges)) >> np.uint64(32)
         edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
         names, cuts = np.array(names, np.int64), np.array(cuts, np.int32)
-        small = np.uint16 if len(names) < 1 << 16 else np.uint32
         parts, blobs = [], []
         for r in range(ranges):
             a, b = edges[r], edges[r + 1]
@@ -86,8 +85,10 @@ def postings(docs: DataFrame, width: int, percent: int, ranges: int, text: str)
             own = token[a:b]
             gaps = np.diff(own)
             wide = np.uint32 if not len(gaps) or gaps.max() < 1 << 32 else np.uint64
-            head = np.array([len(names), b - a, small().itemsize, wide().itemsize], np.int64)
-            blobs.append(b"".join(x.tobytes() for x in (head, names, cuts, own[:1], gaps.astype(wide), of[a:b].astype(small))))
+            here, at = np.unique(of[a:b], return_inverse=True)
+            small = np.uint16 if len(here) < 1 << 16 else np.uint32
+            head = np.array([len(here), b - a, small().itemsize, wide().itemsize], np.int64)
+            blobs.append(b"".join(x.tobytes() for x in (head, names[here], cuts[here], own[:1], gaps.astype(wide), at.astype(small))))
             parts.append(r)
         return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
