@@ -229,7 +229,7 @@ def linked(group_sets: list[np.ndarray], percent: int) -> np.ndarray:
     column, row = renumber[of[keep]], row[keep]
     both = np.zeros((n, n), np.float32)  # counts stay below 2 ** 24 for each band of columns
     total = np.zeros((n, n), np.int64)
-    width = max(1, (1 << 23) // n)
+    width = min(max(1, (1 << 23) // n), max(1, int(common.sum())))
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
     for start in range(0, int(common.sum()), width):
