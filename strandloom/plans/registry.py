@@ -1,4 +1,398 @@
-"""The alignment engine's registered queries and their SQL."""
+"""The alignment engine's registered queries and their SQL.
 
+Each query applies an operator to the whole of a table of the driver's; plans.derive makes alignments, genomes and records of them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.functions import alphabet, ids
+from strandloom.functions import text as X
+from strandloom.operators import coords, families, lint, msa, pairwise, records, sites
+from strandloom.plans import derive
+from strandloom.plans.derive import ALN, GEN
+
+MATRIX = "m(cand, idx, obs, score) AS (VALUES " + ", ".join(f"('{c}', {i}, '{o}', {s})" for c, i, o, s in alphabet.score_rows()) + ")"
+SITE_MATRIX = "m(cand, idx, obs, score) AS (VALUES " + ", ".join(f"('{c}', {i}, '{o}', {s})" for c, i, o, s in alphabet.score_rows(sites.LETTERS, alphabet.site_score)) + ")"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with SQL for the same rows."""
+
+    def register(make):
+        QUERIES[make.__name__] = make
+        if sql:
+            ORACLE_SQL[make.__name__] = sql
+        return make
+
+    return register
+
+
+FIRST_PASS = f"""
+prof AS (SELECT msa_id, col, base, count(*) AS n FROM fres WHERE NOT is_reference AND base <> ' ' AND contains('{alphabet.LETTERS}', base) GROUP BY ALL),
+tot AS (SELECT msa_id, col, cand, idx, sum(n * score) AS total FROM prof JOIN m ON base = obs GROUP BY ALL),
+top AS (SELECT msa_id, col, cand, row_number() OVER (PARTITION BY msa_id, col ORDER BY total DESC, cand = 'N' DESC, idx) AS r FROM tot),
+fp AS (SELECT cols.msa_id, cols.col, coalesce(cand, 'N') AS letter FROM cols LEFT JOIN top ON top.msa_id = cols.msa_id AND top.col = cols.col AND r = 1)"""
+#: Pairs of neighbouring letters decide in order, each after the one before it.
+FULL = """
+kept AS (SELECT msa_id, col, letter, row_number() OVER (PARTITION BY msa_id ORDER BY col) AS j, lead(letter) OVER (PARTITION BY msa_id ORDER BY col) AS right_, lead(col) OVER (PARTITION BY msa_id ORDER BY col) AS next_ FROM fp WHERE letter <> '-'),
+duo AS (
+  SELECT k.msa_id, k.j, k.letter, k.right_, a.base AS hl, b.base AS hr, count(*) AS n
+  FROM kept k JOIN fres a ON a.msa_id = k.msa_id AND a.col = k.col AND NOT a.is_reference AND a.base <> ' '
+  JOIN fres b ON b.msa_id = k.msa_id AND b.row_idx = a.row_idx AND b.col = k.next_ AND b.base <> ' '
+  GROUP BY ALL),
+sums AS (
+  SELECT duo.msa_id, duo.j, sum(n * (ll.score + rr.score)) AS dn, sum(n * (gl.score + rr.score)) AS dg,
+         sum(n * CASE WHEN hl || hr IN ('CA', 'TG') THEN 12 WHEN hl || hr = 'TA' THEN -5 WHEN hl || hr IN ('TC', 'TT') THEN 2 + gr.score
+                      WHEN hl || hr IN ('AA', 'GA') THEN 2 + cl.score ELSE cl.score + gr.score END) AS cg
+  FROM duo JOIN m ll ON ll.cand = letter AND ll.obs = hl JOIN m rr ON rr.cand = right_ AND rr.obs = hr JOIN m gl ON gl.cand = 'G' AND gl.obs = hl
+  JOIN m cl ON cl.cand = 'C' AND cl.obs = hl JOIN m gr ON gr.cand = 'G' AND gr.obs = hr
+  GROUP BY ALL),
+step AS (SELECT kept.msa_id, kept.j, kept.col, kept.letter, coalesce(cg > dn, FALSE) AS f0, coalesce(cg > dg, FALSE) AS fg FROM kept LEFT JOIN sums ON sums.msa_id = kept.msa_id AND sums.j = kept.j),
+walk(msa_id, j, fired, before) AS (
+  SELECT msa_id, j, f0, FALSE FROM step WHERE j = 1
+  UNION ALL
+  SELECT s.msa_id, s.j, CASE WHEN w.fired THEN s.fg ELSE s.f0 END, w.fired FROM walk w JOIN step s ON s.msa_id = w.msa_id AND s.j = w.j + 1),
+cons AS (
+  SELECT fp.msa_id, fp.col, CASE WHEN w.fired THEN 'C' WHEN w.before THEN 'G' ELSE fp.letter END AS letter
+  FROM fp LEFT JOIN step s ON s.msa_id = fp.msa_id AND s.col = fp.col LEFT JOIN walk w ON w.msa_id = s.msa_id AND w.j = s.j)"""
+
+
+@query(f"WITH {ALN} SELECT msa_id, col, base, count(*) AS n FROM res WHERE NOT is_reference AND base <> ' ' AND contains('{alphabet.LETTERS}', base) GROUP BY ALL")
+def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return msa.profile(derive.alignments(spark, sf_dir))
+
+
+@query(f"WITH {ALN} SELECT cols.msa_id, cols.col, count(base) AS coverage FROM cols LEFT JOIN res ON res.msa_id = cols.msa_id AND res.col = cols.col AND NOT is_reference AND base <> ' ' GROUP BY ALL")
+def coverage(spark, sf_dir):
+    return msa.coverage(derive.alignments(spark, sf_dir))
+
+
+@query(f"WITH {ALN}, {MATRIX}, {FIRST_PASS} SELECT * FROM fp")
+def consensus_first_pass(spark, sf_dir):
+    return msa.best_letters(msa.clear_flanks(derive.alignments(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {ALN}, {MATRIX}, {FIRST_PASS}, {FULL} SELECT msa_id, string_agg(letter, '' ORDER BY col) AS consensus FROM cons GROUP BY msa_id")
+def consensus(spark, sf_dir):
+    return msa.consensus(derive.alignments(spark, sf_dir))
+
+
+@query(f"""WITH {ALN}, {MATRIX},
+prof AS (SELECT msa_id, col, base, count(*) AS n FROM res WHERE NOT is_reference GROUP BY ALL),
+tot AS (SELECT msa_id, col, cand, sum(n * score) AS total FROM prof JOIN m ON base = obs GROUP BY ALL)
+SELECT cols.msa_id, cols.col, CAST(coalesce(max(total), 0) AS BIGINT) AS score FROM cols LEFT JOIN tot ON tot.msa_id = cols.msa_id AND tot.col = cols.col GROUP BY ALL""")
+def column_quality(spark, sf_dir):
+    return msa.column_scores(derive.alignments(spark, sf_dir))
+
+
+@query()
+def low_quality_blocks(spark, sf_dir):
+    return msa.low_quality_blocks(derive.alignments(spark, sf_dir))
+
+
+@query(f"""WITH {ALN} SELECT cols.msa_id, cols.col, CASE WHEN count(DISTINCT base) = 1 THEN '*' ELSE ' ' END AS mark
+FROM cols LEFT JOIN res ON res.msa_id = cols.msa_id AND res.col = cols.col AND base NOT IN ('-', '.', ' ') GROUP BY ALL""")
+def conservation(spark, sf_dir):
+    return msa.conservation(derive.alignments(spark, sf_dir))
+
+
+def reference_letters(rows):
+    return msa.cells(rows.where("is_reference")).select("msa_id", "col", F.col("base").alias("letter"))
+
+
+KIMURA = f"""{ALN},
+pos AS (
+  SELECT r.msa_id, r.row_idx, r.col, r.base AS o, c.base AS c, lag(c.base) OVER w AS pc, lead(c.base) OVER w AS nc
+  FROM res r JOIN res c ON c.msa_id = r.msa_id AND c.col = r.col AND c.is_reference
+  WHERE NOT r.is_reference AND c.base <> '-' AND r.base <> ' '
+  WINDOW w AS (PARTITION BY r.msa_id, r.row_idx ORDER BY r.col)),
+flag AS (
+  SELECT *, CAST(c || o IN ('AG', 'GA', 'CT', 'TC') AS INTEGER) AS ti,
+         CAST(contains('ACGT', c) AND contains('ACGT', o) AND c <> o AND c || o NOT IN ('AG', 'GA', 'CT', 'TC') AS INTEGER) AS tv,
+         CAST(contains('ACGT', c) AND contains('ACGT', o) AS INTEGER) AS well, coalesce(pc = 'C' AND c = 'G', FALSE) AS site, coalesce(c = 'C' AND nc = 'G', FALSE) AS next_site
+  FROM pos),
+part AS (
+  SELECT *, CASE WHEN site THEN CASE lag(ti) OVER (PARTITION BY msa_id, row_idx ORDER BY col) + ti WHEN 2 THEN 10 WHEN 1 THEN 1 ELSE 0 END WHEN next_site THEN 0 ELSE 10 * ti END AS tenths
+  FROM flag),
+agg AS (SELECT msa_id, row_idx, CAST(sum(ti) AS BIGINT) AS ti, CAST(sum(tv) AS BIGINT) AS tv, CAST(sum(well) AS BIGINT) AS well, CAST(sum(tenths) AS BIGINT) AS tenths, CAST(sum(CAST(site AS INTEGER)) AS BIGINT) AS cpg_sites FROM part GROUP BY ALL),
+allr AS (SELECT a.msa_id, a.row_idx, coalesce(ti, 0) AS ti, coalesce(tv, 0) AS tv, coalesce(well, 0) AS well, coalesce(tenths, 0) AS tenths, coalesce(cpg_sites, 0) AS cpg_sites FROM aln a LEFT JOIN agg ON agg.msa_id = a.msa_id AND agg.row_idx = a.row_idx WHERE NOT a.is_reference),
+k AS (
+  SELECT *, tenths / 10.0::DOUBLE AS ti_adjusted,
+         CASE WHEN well = 0 THEN 0 WHEN 1 - 2.0 * ti / well - 1.0 * tv / well <= 0 OR 1 - 2.0 * tv / well <= 0 THEN NULL
+              ELSE greatest(100 * (-0.5 * ln(1 - 2.0::DOUBLE * ti / well - 1.0::DOUBLE * tv / well) - 0.25 * ln(1 - 2.0::DOUBLE * tv / well)), 0) END AS k1,
+         CASE WHEN well = 0 THEN 0 WHEN 1 - 0.2 * tenths / well - 1.0 * tv / well <= 0 OR 1 - 2.0 * tv / well <= 0 THEN NULL
+              ELSE greatest(100 * (-0.5 * ln(1 - 2.0::DOUBLE * (tenths / 10.0::DOUBLE) / well - 1.0::DOUBLE * tv / well) - 0.25 * ln(1 - 2.0::DOUBLE * tv / well)), 0) END AS k2
+  FROM allr)"""
+number = lambda c: F.round(F.when(~F.isnan(c), F.col(c)), 6)  # noqa: E731  null for NaN
+
+
+@query(f"WITH {KIMURA} SELECT msa_id, row_idx, ti, tv, CAST(ti_adjusted AS DOUBLE) AS ti_adjusted, well, cpg_sites, round(CAST(k1 AS DOUBLE), 6) + 0.0::DOUBLE AS kimura, round(CAST(k2 AS DOUBLE), 6) + 0.0::DOUBLE AS kimura_adjusted FROM k")
+def kimura_pairs(spark, sf_dir):
+    rows = derive.alignments(spark, sf_dir)
+    found = msa.divergence(rows, reference_letters(rows))
+    return found.withColumn("kimura", number("kimura")).withColumn("kimura_adjusted", number("kimura_adjusted"))
+
+
+@query(f"WITH {KIMURA} SELECT msa_id, round(CAST(sum(coalesce(k1, 0)) / count(*) AS DOUBLE), 6) AS kimura, round(CAST(sum(coalesce(k2, 0)) / count(*) AS DOUBLE), 6) AS kimura_adjusted FROM k GROUP BY msa_id")
+def kimura_mean(spark, sf_dir):
+    rows = derive.alignments(spark, sf_dir)
+    found = msa.mean_divergence(msa.divergence(rows, reference_letters(rows)))
+    return found.select("msa_id", F.round("kimura", 6).alias("kimura"), F.round("kimura_adjusted", 6).alias("kimura_adjusted"))
+
+
+@query()
+def statistics(spark, sf_dir):
+    return msa.statistics(derive.alignments(spark, sf_dir))
+
+
+@query(f"WITH {ALN} SELECT msa_id, row_idx, translate(reverse(regexp_replace(upper(seq), '[^ACGTRYKMSWBDHVNX\\- ]', 'N', 'g')), 'ATGCRYKMBVDH', 'TACGYRMKVBHD') AS iupac, translate(reverse(seq), 'ACGT', 'TGCA') AS plain, translate(seq, '-_~', '...') AS dotted, replace(replace(seq, '-', ''), '.', '') AS bases FROM aln")
+def sequence_functions(spark, sf_dir):
+    rows, seq = derive.alignments(spark, sf_dir), F.col("seq")
+    return rows.select("msa_id", "row_idx", X.reverse_complement_iupac(seq).alias("iupac"), X.reverse_complement(seq).alias("plain"), X.normalize_gaps(seq).alias("dotted"), X.ungapped(seq).alias("bases"))
+
+
+@query(f"""WITH {ALN},
+b AS (SELECT msa_id, col, row_number() OVER (PARTITION BY msa_id ORDER BY col) AS nth, count(*) OVER (PARTITION BY msa_id) AS size FROM res WHERE is_reference AND base <> '-'),
+r AS (SELECT msa_id, min(col) AS a, max(col) + 1 AS z FROM b WHERE nth > 3 AND nth <= size - 2 GROUP BY msa_id)
+SELECT aln.msa_id, row_idx, is_reference, substr(seq, a + 1, z - a) AS seq FROM aln JOIN r ON r.msa_id = aln.msa_id""")
+def trim(spark, sf_dir):
+    return msa.trim(derive.alignments(spark, sf_dir), 3, 2)
+
+
+@query(f"WITH {ALN} SELECT msa_id, row_idx, is_reference, substr(seq, 6, 15) AS seq FROM flat WHERE regexp_matches(substr(seq, 6, 15), '[^ ]')")
+def slice_columns(spark, sf_dir):
+    return msa.slice_columns(msa.clear_flanks(derive.alignments(spark, sf_dir)), F.lit(5), F.lit(20))
+
+
+@query(f"WITH {ALN} SELECT msa_id, row_idx, is_reference, seq FROM aln WHERE is_reference OR length(regexp_replace(seq, '[^A-Za-z]', '', 'g')) >= 34")
+def min_length(spark, sf_dir):
+    return msa.min_length(derive.alignments(spark, sf_dir), 34)
+
+
+@query(f"""WITH RECURSIVE {ALN}, {MATRIX}, {FIRST_PASS}, {FULL},
+b AS (SELECT msa_id, col, row_number() OVER (PARTITION BY msa_id ORDER BY col) AS nth FROM cons WHERE letter <> '-'),
+r AS (SELECT msa_id, min(col) AS a, max(col) + 1 AS z FROM b WHERE nth BETWEEN 4 AND 12 GROUP BY msa_id)
+SELECT aln.msa_id, row_idx, is_reference, substr(seq, a + 1, z - a) AS seq FROM aln JOIN r ON r.msa_id = aln.msa_id""")
+def sub_range(spark, sf_dir):
+    return msa.sub_range(derive.alignments(spark, sf_dir), 4, 12)
+
+
+@query(f"""WITH RECURSIVE {ALN}, {MATRIX}, {FIRST_PASS}, {FULL},
+r AS (SELECT msa_id, min(col) AS a, max(col) + 1 AS z FROM cons WHERE letter IN ('A', 'C', 'G', 'T') GROUP BY msa_id)
+SELECT aln.msa_id, row_idx, is_reference, substr(seq, a + 1, z - a) AS seq FROM aln JOIN r ON r.msa_id = aln.msa_id""")
+def trim_ambiguous(spark, sf_dir):
+    return msa.trim_ambiguous(derive.alignments(spark, sf_dir))
+
+
+@query(f'WITH {GEN} SELECT rec_order, start, "end", orient, validated FROM val')
+def coord_validate(spark, sf_dir):
+    return coords.validate(derive.records(spark, sf_dir), derive.genome(spark, sf_dir)).select("rec_order", "start", "end", "orient", "validated")
+
+
+@query(f"WITH {GEN} SELECT pattern, chrom, pos, strand FROM occ")
+def remap_hits(spark, sf_dir):
+    g = derive.genome(spark, sf_dir)
+    open_ = coords.validate(derive.records(spark, sf_dir), g).where("validated is null")
+    return coords.occurrences(open_.select(F.col("sequence").alias("pattern")), g)
+
+
+@query(f"""WITH {GEN},
+h AS (
+  SELECT rec_order, chrom, pos, strand, start, q, CAST(coalesce(chrom = sequence_id, FALSE) AS INTEGER) AS own, max(CAST(coalesce(chrom = sequence_id, FALSE) AS INTEGER)) OVER (PARTITION BY rec_order) AS any_own
+  FROM val JOIN occ ON occ.pattern = val.q WHERE validated IS NULL)
+SELECT 'f' AS file, rec_order, chrom AS hit_chrom, pos + 1 AS hit_start, pos + length(q) AS hit_end, strand AS hit_strand,
+       CAST(row_number() OVER (PARTITION BY rec_order ORDER BY coalesce(abs(pos - start), 4611686018427387904), chrom, strand, pos) AS INTEGER) AS place, count(*) OVER (PARTITION BY rec_order) AS hits
+FROM h WHERE own = any_own""")
+def remap_ranked(spark, sf_dir):
+    g = derive.genome(spark, sf_dir)
+    return coords.ranked_hits(coords.validate(derive.records(spark, sf_dir), g), g)
+
+
+@query()
+def remap_claim(spark, sf_dir):
+    return coords.curate(derive.records(spark, sf_dir), derive.genome(spark, sf_dir), "g").select("rec_order", "assembly_id", "sequence_id", "start", "end", "orient", "validated")
+
+
+@query(f"""WITH {GEN}
+SELECT CASE WHEN validated = 'valid' THEN 'valid' WHEN validated LIKE 'fixed%' THEN 'fixed' ELSE 'invalid' END AS kind, coalesce(validated, 'invalid') AS validated, count(*) AS n FROM val GROUP BY ALL""")
+def label_counts(spark, sf_dir):
+    return coords.label_counts(coords.validate(derive.records(spark, sf_dir), derive.genome(spark, sf_dir)))
+
+
+@query()
+def pairwise_merge(spark, sf_dir):
+    rows = derive.alignments(spark, sf_dir)
+    top = rows.where("is_reference").select(F.col("msa_id").alias("ref"), F.col("seq").alias("top"))
+    pairs = F.filter(F.arrays_zip(F.split("top", "").alias("t"), F.split("seq", "").alias("s")), lambda x: (x["t"] != "-") | (x["s"] != "-"))
+    side = lambda k: F.array_join(F.transform(pairs, lambda x: x[k]), "")
+    both = rows.where("not is_reference").join(top, F.col("msa_id") == F.col("ref"))
+    hits = both.select("ref", F.col("row_idx").alias("hit_no"), F.lit(1).alias("ref_start"), side("t").alias("ref_seq"), F.col("row_idx").cast("string").alias("name"), F.lit(1).alias("start"), F.length(side("s")).alias("end"), F.lit("+").alias("orient"), side("s").alias("seq"))
+    return pairwise.merge(hits)
+
+
+TSD = f"""{GEN},
+w AS (SELECT substr(g, 5, 20) AS l, substr(g, 30, 20) AS r FROM gen WHERE length(g) >= 60),
+x AS (
+  SELECT a AS length, b AS "offset", substr(l, CAST(10 - a + b + j AS BIGINT), 1) AS p, substr(r, CAST(10 - a + b + j AS BIGINT), 1) AS q
+  FROM w, range(1, 11) t(a), range(0, 11) u(b), range(1, 11) v(j) WHERE b <= a AND j <= a),
+s AS (
+  SELECT CAST(length AS INTEGER) AS length, CAST("offset" AS INTEGER) AS "offset",
+         sum(CASE WHEN p = q THEN CASE WHEN p IN ('A', 'T') THEN 9 ELSE 10 END WHEN p || q IN ('AG', 'GA', 'CT', 'TC') THEN -6 WHEN p || q IN ('AT', 'TA') THEN -17 ELSE -15 END) + round(count(*) * 6.9::DOUBLE, 1) AS score
+  FROM x GROUP BY ALL)"""
+
+
+@query(f"WITH {TSD} SELECT * FROM s")
+def tsd_scores(spark, sf_dir):
+    return sites.site_scores(derive.windows(spark, sf_dir), 10)
+
+
+@query(f"""WITH {TSD},
+a AS (SELECT length, "offset", CAST(trunc(score / length + 0.5) AS BIGINT) AS average FROM s)
+SELECT length, "offset", average FROM a ORDER BY average DESC, length DESC, "offset" DESC LIMIT 1""")
+def tsd_best(spark, sf_dir):
+    return sites.best_site(sites.site_scores(derive.windows(spark, sf_dir), 10))
+
+
+@query(f"""WITH {GEN}, {SITE_MATRIX},
+w AS (SELECT substr(g, 5, 20) AS l, substr(g, 30, 20) AS r FROM gen WHERE length(g) >= 60),
+s AS (SELECT substr(l, 8, 5) AS l, substr(r, 8, 5) AS r FROM w),
+z AS (
+  SELECT l, r, list_sum(list_transform(range(1, 6), lambda i: CASE WHEN substr(l, i, 1) = substr(r, i, 1) THEN CASE WHEN substr(l, i, 1) IN ('A', 'T') THEN 9 ELSE 10 END
+    WHEN substr(l, i, 1) || substr(r, i, 1) IN ('AG', 'GA', 'CT', 'TC') THEN -6 WHEN substr(l, i, 1) || substr(r, i, 1) IN ('AT', 'TA') THEN -17 ELSE -15 END)) AS raw FROM s),
+b AS (SELECT i - 1 AS pos, unnest([substr(l, i, 1), substr(r, i, 1)]) AS base FROM z, range(1, 6) t(i) WHERE raw > 0),
+t AS (SELECT pos, cand, idx, sum(score) AS total FROM b JOIN m ON base = obs GROUP BY ALL)
+SELECT CAST(pos AS INTEGER) AS pos, cand AS letter FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY total DESC, idx) AS k FROM t) WHERE k = 1""")
+def tsd_consensus(spark, sf_dir):
+    return sites.site_consensus(sites.site_letters(derive.windows(spark, sf_dir), 5, 2, 10))
+
+
+@query(r"""
+WITH v AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'DF' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') WHEN 1 THEN 'DR' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.1' WHEN 2 THEN ' DF' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || '.4 ' WHEN 3 THEN 'DX12' ELSE p_name END AS ac FROM part)
+SELECT p_partkey, ac, regexp_matches(trim(ac), '^D[FR](\d{7}|\d{9})(\.\d*)?$') AS valid,
+       CASE WHEN regexp_matches(trim(ac), '^D[FR]\d{7}(\.\d+)?$') THEN regexp_replace(trim(ac), '^(D[FR])(\d{7}(\.\d+)?)$', '\1' || '00' || '\2') ELSE ac END AS padded FROM v""")
+def accessions(spark, sf_dir):
+    key = F.col("p_partkey")
+    padded = lambda n: F.lpad(key.cast("string"), n, "0")
+    ac = (
+        F.when(key % 5 == 0, F.concat(F.lit("DF"), padded(7))).when(key % 5 == 1, F.concat(F.lit("DR"), padded(9), F.lit(".1")))
+        .when(key % 5 == 2, F.concat(F.lit(" DF"), padded(7), F.lit(".4 "))).when(key % 5 == 3, "DX12").otherwise(F.col("p_name"))
+    )
+    parts = derive.table(spark, sf_dir, "part").select("p_partkey", ac.alias("ac"))
+    return parts.select("p_partkey", "ac", X.valid_accession(F.col("ac")).alias("valid"), X.pad_accession(F.col("ac")).alias("padded"))
+
+
+@query(r"""
+WITH v AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'rnd-' || c_custkey || '_family-7#x' WHEN 1 THEN 'LTR-1_Family-' || c_custkey ELSE c_name END AS id,
+  lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || '-0000-1111-22' || CASE c_custkey % 3 WHEN 0 THEN '3X' WHEN 1 THEN '34' ELSE '3Y' END AS orcid,
+  CASE c_custkey % 3 WHEN 0 THEN 'https://doi.org/10.1101/' || c_custkey || 'v2' WHEN 1 THEN 'http://doi.org/10.1093/x' || c_custkey || 'v2' ELSE '10.1101/' || c_custkey END AS doi FROM customer)
+SELECT c_custkey, regexp_matches(id, '(?i)^(rnd|ltr)-\d+_family-\d+') AS automated, regexp_matches(orcid, '^\d{4}-\d{4}-\d{4}-\d{3}[\dX]$') AS orcid_valid,
+  CASE WHEN starts_with(regexp_replace(doi, '^https?://doi\.org/', ''), '10.1101/') THEN regexp_replace(regexp_replace(doi, '^https?://doi\.org/', ''), 'v\d+$', '') ELSE regexp_replace(doi, '^https?://doi\.org/', '') END AS doi FROM v""")
+def identifier_rules(spark, sf_dir):
+    key = F.col("c_custkey")
+    name = F.when(key % 4 == 0, F.concat(F.lit("rnd-"), key, F.lit("_family-7#x"))).when(key % 4 == 1, F.concat(F.lit("LTR-1_Family-"), key)).otherwise(F.col("c_name"))
+    orcid = F.concat(F.lpad((key % 10000).cast("string"), 4, "0"), F.lit("-0000-1111-22"), F.when(key % 3 == 0, "3X").when(key % 3 == 1, "34").otherwise("3Y"))
+    doi = F.when(key % 3 == 0, F.concat(F.lit("https://doi.org/10.1101/"), key, F.lit("v2"))).when(key % 3 == 1, F.concat(F.lit("http://doi.org/10.1093/x"), key, F.lit("v2"))).otherwise(F.concat(F.lit("10.1101/"), key))
+    return derive.table(spark, sf_dir, "customer").select("c_custkey", X.automated_name(name).alias("automated"), X.valid_orcid(orcid).alias("orcid_valid"), X.normalize_doi(doi).alias("doi"))
+
+
+@query("""
+WITH v AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'chr' || s_suppkey || ':' || 10 || '-' || 50 || '_-' WHEN 1 THEN 'asm:chr' || s_suppkey || ':90-20' WHEN 2 THEN 'chr' || s_suppkey || '_5_25_R' WHEN 3 THEN 'a' || s_suppkey || ':b' ELSE 'name' || s_suppkey END AS id FROM supplier)
+SELECT s_suppkey, id, CASE s_suppkey % 5 WHEN 1 THEN 'asm' WHEN 3 THEN 'a' || s_suppkey END AS assembly_id, CASE WHEN s_suppkey % 5 = 3 THEN 'b' WHEN s_suppkey % 5 = 4 THEN id ELSE 'chr' || s_suppkey END AS sequence_id,
+  CAST(CASE s_suppkey % 5 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 5 END AS BIGINT) AS seq_start, CAST(CASE s_suppkey % 5 WHEN 0 THEN 50 WHEN 1 THEN 90 WHEN 2 THEN 25 END AS BIGINT) AS seq_end,
+  CASE WHEN s_suppkey % 5 < 3 THEN '-' END AS orient, CASE s_suppkey % 5 WHEN 0 THEN 'V2' WHEN 1 THEN 'V1' WHEN 2 THEN 'V0' ELSE 'Undefined' END AS inferred_version FROM v""")
+def identifier_parse(spark, sf_dir):
+    key = F.col("s_suppkey")
+    name = (
+        F.when(key % 5 == 0, F.concat(F.lit("chr"), key, F.lit(":10-50_-"))).when(key % 5 == 1, F.concat(F.lit("asm:chr"), key, F.lit(":90-20"))).when(key % 5 == 2, F.concat(F.lit("chr"), key, F.lit("_5_25_R")))
+        .when(key % 5 == 3, F.concat(F.lit("a"), key, F.lit(":b"))).otherwise(F.concat(F.lit("name"), key))
+    )
+    return derive.table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("id")).withColumn("p", ids.parsed_single(F.col("id"))).select("s_suppkey", "id", "p.*")
+
+
+@query("""SELECT d.p_partkey, count(*) OVER (PARTITION BY lower(trim(p_brand))) AS copies FROM part d QUALIFY copies > 1""")
+def duplicate_ids(spark, sf_dir):
+    from pyspark.sql import Window
+
+    parts = derive.table(spark, sf_dir, "part").withColumn("copies", F.count("*").over(Window.partitionBy(F.lower(X.trimmed(F.col("p_brand"))))))
+    return parts.where("copies > 1").select("p_partkey", "copies")
+
+
+@query("""SELECT c_custkey, c_mktsegment AS value FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
+def unknown_classes(spark, sf_dir):
+    known = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "name string")
+    return derive.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("value")).join(known, F.col("value") == F.col("name"), "left_anti")
+
+
+@query("""
+WITH n AS (SELECT DISTINCT n_name || 'S' AS name FROM nation WHERE length(n_name) >= 3), v AS (SELECT DISTINCT n_name AS candidate FROM nation),
+s AS (SELECT name, candidate, jaro_winkler_similarity(lower(name), lower(candidate)) AS score FROM n JOIN v ON lower(name[1]) = lower(candidate[1]) AND abs(strlen(name) - strlen(candidate)) <= 8),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS INTEGER) AS rank FROM s WHERE score >= 0.85)
+SELECT name, candidate, round(score, 6) AS score, rank FROM r WHERE rank <= 3""")
+def similar_names(spark, sf_dir):
+    nations = derive.table(spark, sf_dir, "nation")
+    found = lint.similar_names(nations.select(F.concat("n_name", F.lit("S")).alias("name")), nations.select(F.col("n_name").alias("name")))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("""
+WITH c(key, class, place) AS (VALUES ('PROMO', 'a', 0), ('promo', 'b', 1), ('STANDARD; Transposable Element', 'c', 2)),
+p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN split_part(p_type, ' ', 1) || '; Transposable Element' ELSE split_part(p_type, ' ', 1) END AS k FROM part),
+f AS (SELECT lower(key) AS low, arg_min(class, place) AS class FROM c GROUP BY 1)
+SELECT p_partkey, class FROM p LEFT JOIN f ON lower(k) = low""")
+def class_lookup(spark, sf_dir):
+    classes = spark.createDataFrame([("PROMO", "a", 0), ("promo", "b", 1), ("STANDARD; Transposable Element", "c", 2)], "key string, class string, place int")
+    first = F.element_at(F.split("p_type", " "), 1)
+    parts = derive.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.array(first, F.lit("transposable element"), F.lit("more"))).otherwise(F.array(first)).alias("keywords"))
+    return families.classified(parts, classes).select("p_partkey", "class")
+
+
+def source_records(spark, sf_dir):
+    """A record for each document: its source as ID, an author and titles of publications out of order."""
+    d = derive.table(spark, sf_dir, "documents")
+    pair = lambda t, v: F.struct(F.lit(t).alias("tag"), v.alias("value"))
+    gf = F.array(pair("ID", F.col("source")), pair("RT", F.col("lang")), pair("RN", F.lit("[1]")), pair("AC", F.concat(F.lit("DF"), F.lpad(F.col("doc_id").cast("string"), 7, "0"))), pair("AU", F.when(F.col("doc_id") % 2 == 0, "A Smith").otherwise("Anna Smith")))
+    return d.select(
+        F.col("lang").alias("file"), F.col("doc_id").cast("int").alias("record_num"), F.lit("# STOCKHOLM 1.0").alias("header"), gf.alias("gf"), F.create_map(F.lit("RF"), F.lit("x-x")).alias("gc"),
+        F.array(F.struct(F.lit("chr_1_3").alias("original_id"), F.lit("V0").alias("inferred_version"), F.lit("A-C").alias("aligned_seq"))).alias("sequences"),
+        F.array().cast("array<string>").alias("unknown_annotations"), F.lit(True).alias("terminated"), F.lit(None).cast("long").alias("block_separator_line"),
+    )
+
+
+@query("""SELECT CAST(doc_id AS INTEGER) AS record_num, 'ID=' || replace(source, 'src', 'S') || ';RT=' || lang || ';RN=[1];AC=DF00' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || ';AU=' || CASE WHEN doc_id % 2 = 0 THEN 'A Smith' ELSE 'Anna Smith' END || ';CC=note' AS fields FROM documents""")
+def edit_fields(spark, sf_dir):
+    done = records.edit(source_records(spark, sf_dir), records.Edits(append=[("CC", "note")], sub=[("ID", "/src/S/")]))
+    return done.select("record_num", F.array_join(F.transform("gf", lambda g: F.concat(g["tag"], F.lit("="), g["value"])), ";").alias("fields"))
+
+
+@query("""SELECT lang AS file, CAST(count(*) AS BIGINT) AS rows_changed, CAST(count(*) AS BIGINT) AS accessions_padded, CAST(count(*) AS BIGINT) AS rf_changed FROM documents GROUP BY lang""")
+def clean_report(spark, sf_dir):
+    return records.clean_report(records.clean(source_records(spark, sf_dir)))
+
+
+@query("""
+WITH f(severity, check_, alternate) AS (VALUES ('ERROR', 'missing_required_field', 0), ('ERROR', 'missing_required_field', 0), ('ERROR', 'missing_required_field', 0), ('ERROR', 'missing_required_field', 0), ('WARN', 'ref_block_incomplete', 0), ('ERROR', 'ref_block_order', 0),
+  ('ERROR', 'rf_invalid_chars', 0), ('WARN', 'seq_nonstandard_gap', 0), ('ERROR', 'au_format', 1))
+SELECT lang AS file, CAST(doc_id AS INTEGER) AS record_num, severity, check_ AS "check", count(*) AS n FROM documents, f WHERE alternate = 0 OR doc_id % 2 = 0 GROUP BY ALL""")
+def lint_records(spark, sf_dir):
+    return lint.record_rules(source_records(spark, sf_dir)).groupBy("file", "record_num", "severity", "check").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH d AS (SELECT lang, count(*) OVER (PARTITION BY lang, lower(source)) AS copies FROM documents)
+SELECT lang AS file, 'INFO' AS severity, c AS "check", CAST(1 AS BIGINT) AS n FROM (SELECT DISTINCT lang FROM documents), (VALUES ('ac_update_records'), ('orcid_missing'), ('seqid_legacy_format')) t(c)
+UNION ALL SELECT DISTINCT lang, 'WARN', 'citation_fields_unused', CAST(1 AS BIGINT) FROM documents
+UNION ALL SELECT lang, 'INFO', 'duplicate_id_update', count(*) FROM d WHERE copies > 1 GROUP BY lang""")
+def lint_files(spark, sf_dir):
+    return lint.file_rules(source_records(spark, sf_dir)).groupBy("file", "severity", "check").agg(F.count("*").alias("n"))
+
+
+@query()
+def blast_projection(spark, sf_dir):
+    g = derive.genome(spark, sf_dir).where("length >= 60")
+    hits = g.select(F.col("chrom").alias("hit_no"), F.col("chrom").alias("qseqid"), F.lit(1).alias("qstart"), F.lit(20).alias("qend"), F.lit(11).alias("sstart"), F.lit(30).alias("send"), F.lit("+").alias("orientation"), F.substring("seq", 11, 20).alias("qseq"), F.substring("seq", 11, 20).alias("sseq"))
+    return pairwise.project(hits, 40)
