@@ -14,10 +14,12 @@ apart by 64-bit hashes of what is left after masking.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import written
 
 LEADING = 3
 MIN_DOCS = 3
@@ -27,17 +29,27 @@ VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 MASK = "<*>"
 
 
-def canonical(text: Column) -> Column:
-    """The lines of a text, masked, with single blanks between words and none around them."""
-    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, MASK.replace("$", r"\$"))).otherwise(text)
-    spaced = F.when(masked.rlike(r"[\x09\x0B-\x0D]|\x20\x20"), F.regexp_replace(masked, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(masked)
-    trimmed = F.when(spaced.rlike(r"(^|\n)\x20|\x20(\n|$)"), F.regexp_replace(spaced, r"(?<![^\n])\x20|\x20(?![^\n])", "")).otherwise(spaced)
-    return F.split(trimmed, "\n", -1)
+def holds(text: Column, *pieces: str) -> Column:
+    """Whether a text holds any of some pieces."""
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in pieces])
+
+
+def with_canonical(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """df with an array of a text's lines, masked, with single blanks between words and none around them; `name` begins the names of helper columns too.
+
+    Every step is a column of its own, so that none is evaluated for each mention of it; texts that need no replacing only pass a search."""
+    m, s, t = (f"{name}{x}" for x in ("_masked", "_spaced", "_trimmed"))
+    df = df.withColumn(m, F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, MASK)).otherwise(text))
+    df = df.withColumn(s, F.when(holds(F.col(m), "  ", "\t", "\x0b", "\x0c", "\r"), F.regexp_replace(m, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col(m)))
+    edge = holds(F.col(s), " \n", "\n ") | F.col(s).startswith(" ") | F.col(s).endswith(" ")
+    df = df.withColumn(t, F.when(edge, F.regexp_replace(s, r"(?<![^\n])\x20|\x20(?![^\n])", "")).otherwise(F.col(s)))
+    return df.withColumn(name, F.split(t, "\n", -1)).drop(m, s, t)
 
 
 def lines(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, leaf, line (a hash) and words (blank-separated) of the distinct lines of every document that aren't blank."""
-    own = docs.select(F.col("doc_id"), F.explode(F.array_distinct(canonical(F.col(text)))).alias("words")).where("words <> ''")
+    own = with_canonical(docs.select("doc_id", F.col(text).alias("text")), F.col("text"), "own").select("doc_id", F.array_distinct("own").alias("own"))
+    own = own.select("doc_id", F.explode_outer("own").alias("words")).where("words <> ''")
     head = F.substring_index("words", " ", LEADING)
     leaf = F.xxhash64(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))), head)
     return own.select("doc_id", leaf.alias("leaf"), F.xxhash64("words").alias("line"), "words")
@@ -71,13 +83,15 @@ def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, si
     hits = all_lines.join(templates.withColumnRenamed("leaf", "leaf_"), "line").where(F.col("leaf") == F.col("leaf_")).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     gone = written(hits.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines")))
     both = docs.select(*[F.col(f"`{c}`") for c in docs.columns]).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-    own = canonical(F.col(text))
-    raw = F.split(F.col(text), "\n", -1)
-    kept = F.filter(F.arrays_zip(raw.alias("raw"), own.alias("own")), lambda x: (x["own"] == "") | ~F.array_contains(F.col("gone_lines"), F.xxhash64(x["own"])))
-    kept = F.when(F.col("gone_id").isNotNull() | F.col("gone_lines").isNotNull(), F.transform(kept, lambda x: x["raw"])).otherwise(raw)
-    count = lambda x: F.coalesce(F.regexp_count(x, F.lit(rf"(?<![^\n])[\x20\x09\x0B-\x0D]*+{WORD}")), F.lit(0)).cast("long")
-    lines_before = count(F.col(text))
-    out = both.withColumn("kept_", F.when(F.col("gone_lines").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text)))
-    out = out.withColumn("n_lines", lines_before).withColumn("n_dropped", F.when(F.col("gone_lines").isNotNull(), lines_before - count(F.col("kept_"))).otherwise(F.lit(0)).cast("long"))
-    others = [F.col(f"`{c}`") if c != text else F.col("kept_").alias(text) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*others, "n_lines", "n_dropped")
+    touched = F.when(F.col("gone_lines").isNotNull(), F.col(text))
+    both = with_canonical(both, touched, "own_").withColumn("raw_", F.split(touched, "\n", -1))
+    stays = lambda x: (x["own_"] == "") | ~F.array_contains(F.col("gone_lines"), F.xxhash64(x["own_"]))
+    both = both.withColumn("kept_lines", F.filter(F.arrays_zip("raw_", "own_"), stays))
+    kept = F.array_join(F.transform("kept_lines", lambda x: x["raw_"]), "\n")
+    blank = F.lit(" \t\x0b\x0c\r")
+    size = F.size(F.filter(F.split(F.col(text), "\n", -1), lambda x: F.trim(x, blank) != ""))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(size).cast("long")
+    n_dropped = F.when(F.col("gone_lines").isNotNull(), F.size("raw_") - F.size("kept_lines")).otherwise(0).cast("long")
+    out = both.select("*", F.when(F.col("gone_lines").isNotNull(), kept).otherwise(F.col(text)).alias("kept_text"), n_lines.alias("n_lines_"), n_dropped.alias("n_dropped_"))
+    others = [F.col(f"`{c}`") if c != text else F.col("kept_text").alias(text) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*others, F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"))
