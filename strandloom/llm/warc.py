@@ -27,7 +27,7 @@ LEAST = 0
 DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Pages that the dictionary is trained on, and the characters of each, at most.
+#: Pages that the dictionary is trained on, about, and the characters of each and bytes of the dictionary, at most.
 DICTIONARY_PAGES, DICTIONARY_CHARS, DICTIONARY_BYTES = 400, 20_000, 64 * 1024
 #: Uncompressed bytes after which a task begins another archive.
 ARCHIVE_BYTES = 1 << 30
@@ -46,11 +46,13 @@ def digest(payload: Column) -> Column:
 
 
 def train(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of pages, picked by a hash; raw content where there is too little to train on."""
+    """A dictionary from a sample of about DICTIONARY_PAGES pages, picked by a hash; raw content where there is too little to train on."""
     import zstandard
 
-    sample = pages.where("html is not null and html <> ''").select(F.substring("html", 1, DICTIONARY_CHARS).alias("html"), F.xxhash64("html").alias("h"))
-    texts = [r.html.encode() for r in sample.orderBy("h").limit(DICTIONARY_PAGES).collect()]
+    some = pages.where("html is not null and html <> ''")
+    share = min(1.0, DICTIONARY_PAGES / max(1, some.count()))
+    picked = some.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    texts = sorted(r.html.encode() for r in picked.select(F.substring("html", 1, DICTIONARY_CHARS).alias("html")).collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except zstandard.ZstdError:
