@@ -209,18 +209,18 @@ b_1_3  ACG
 
 
 def test_stockholm(spark, tmp_path):
-    (tmp_path / "a.stk").write_text(STOCKHOLM)
-    (tmp_path / "b.stk.gz").write_bytes(gzip.compress(STOCKHOLM.encode()))
+    (tmp_path / "a.sto").write_text(STOCKHOLM)
+    (tmp_path / "b.sto.gz").write_bytes(gzip.compress(STOCKHOLM.encode()))
     both = files.stockholm(spark, str(tmp_path))
     assert both.count() == 4
-    one, two = files.stockholm(spark, f"{tmp_path}/a.stk").orderBy("record_num").collect()
+    one, two = files.stockholm(spark, f"{tmp_path}/a.sto").orderBy("record_num").collect()
     assert [r.original_id for r in one.sequences] == ["chr:10-14_+", "chr:10-14_+", "other"] and one.sequences[0].seq_start == 10 and one.terminated
     assert not two.terminated and two.block_separator_line == 18 and two.unknown_annotations == ["#odd"]
-    again = files.stockholm(spark, f"{tmp_path}/a.stk").where("record_num = 1").select(writers.stockholm_text().alias("t")).head().t
-    (tmp_path / "c.stk").write_text(again)
-    three = files.stockholm(spark, f"{tmp_path}/c.stk").head()
+    again = files.stockholm(spark, f"{tmp_path}/a.sto").where("record_num = 1").select(writers.stockholm_text().alias("t")).head().t
+    (tmp_path / "c.sto").write_text(again)
+    three = files.stockholm(spark, f"{tmp_path}/c.sto").head()
     assert (three.gf, three.gc, three.sequences) == (one.gf, one.gc, one.sequences)
-    found = {(r.record_num, r.severity, r.check) for r in lint.lint(files.stockholm(spark, f"{tmp_path}/a.stk")).collect()}
+    found = {(r.record_num, r.severity, r.check) for r in lint.lint(files.stockholm(spark, f"{tmp_path}/a.sto")).collect()}
     for want in [
         (1, "ERROR", "missing_required_field"), (1, "ERROR", "au_format"), (1, "WARN", "ref_block_incomplete"), (1, "ERROR", "ref_block_order"), (1, "ERROR", "seq_invalid_chars"), (1, "WARN", "seq_nonstandard_gap"),
         (1, "ERROR", "rf_length_mismatch"), (2, "ERROR", "invalid_header"), (2, "ERROR", "missing_terminator"), (2, "ERROR", "block_format"), (2, "ERROR", "id_numeric"), (2, "ERROR", "unknown_annotation"),
@@ -229,7 +229,7 @@ def test_stockholm(spark, tmp_path):
         assert want in found, want
     assert (2, "ERROR", "rf_missing") not in found and (1, "ERROR", "sq_mismatch") not in found
     edits = records.Edits(delete=["DE"], set=[("ID", "New"), ("CT", "handbuilt")], append=[("CC", "x")], sub=[("ID", "/e(.)/$1E/")])
-    done = records.edit(files.stockholm(spark, f"{tmp_path}/a.stk"), edits, "1").orderBy("record_num").collect()
+    done = records.edit(files.stockholm(spark, f"{tmp_path}/a.sto"), edits, "1").orderBy("record_num").collect()
     assert [(g.tag, g.value) for g in done[0].gf] == [("ID", "NwE"), ("AU", "Smith J; ORCID:0000-0001-2345-678X Anna Smith"), ("RT", "Title"), ("RN", "[1]"), ("SQ", "3"), ("CT", "handbuilt"), ("CC", "x")]
     assert [(g.tag, g.value) for g in done[1].gf][1] == ("AC", "DF000000001.2") and done[0].sequences[0].aligned_seq == "ACg.T"
 
@@ -318,7 +318,7 @@ def test_streaming(spark, tmp_path):
     from strandloom.streaming import lint as stream
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.stk").write_text(STOCKHOLM)
+    (tmp_path / "in/a.sto").write_text(STOCKHOLM)
     q = stream.findings(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("found").option("checkpointLocation", f"{tmp_path}/cp").start()
     q.processAllAvailable()
     q.stop()
