@@ -391,7 +391,7 @@ def lint_files(spark, sf_dir):
     return lint.file_rules(source_records(spark, sf_dir)).groupBy("file", "severity", "check").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {GEN} SELECT chrom AS hit_no, chrom AS name, 1 AS start, 20 AS "end", '+' AS orient, rpad(repeat(' ', 10) || substr(g, 11, 20), 40, ' ') AS seq FROM gen WHERE length(g) >= 60""")
 def blast_projection(spark, sf_dir):
     g = derive.genome(spark, sf_dir).where("length >= 60")
     hits = g.select(F.col("chrom").alias("hit_no"), F.col("chrom").alias("qseqid"), F.lit(1).alias("qstart"), F.lit(20).alias("qend"), F.lit(11).alias("sstart"), F.lit(30).alias("send"), F.lit("+").alias("orientation"), F.substring("seq", 11, 20).alias("qseq"), F.substring("seq", 11, 20).alias("sseq"))
