@@ -23,14 +23,18 @@ def letters():
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An alignment for each source, a row for each document, the least doc_id its reference."""
-    d = table(spark, sf_dir, "documents")
-    first = d.groupBy(F.col("source").alias("s")).agg(F.min("doc_id").alias("first"))
-    seq = F.rpad(F.substring(F.translate(letters(), ALPHABET, ALIGNED), 1, WIDTH), WIDTH, "-")
-    rows = d.select(F.col("source").alias("msa_id"), F.col("doc_id").alias("row_idx"), seq.alias("seq"))
+    """Alignments of WIDTH columns, source/0, source/1 and so on: each document has a row for every WIDTH letters of its text, so none is left out.
+
+    The last row of a text is filled with dashes; a text without letters has one row. The least doc_id of an alignment is its reference."""
+    whole = F.translate(letters(), ALPHABET, ALIGNED)
+    parts = F.when(F.length("whole") > 0, F.regexp_extract_all("whole", F.lit(f".{{1,{WIDTH}}}"), F.lit(0))).otherwise(F.array("whole"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", whole.alias("whole")).select("source", "doc_id", F.posexplode(parts).alias("block", "part"))
+    rows = d.select(F.concat("source", F.lit("/"), "block").alias("msa_id"), F.col("doc_id").alias("row_idx"), F.rpad("part", WIDTH, "-").alias("seq"))
+    first = rows.groupBy(F.col("msa_id").alias("s")).agg(F.min("row_idx").alias("first"))
     return rows.join(first, F.col("msa_id") == F.col("s")).select("msa_id", "row_idx", (F.col("row_idx") == F.col("first")).alias("is_reference"), "seq")
 
 
+#: The SQL reads only the first WIDTH letters of a text: it has the rows of the alignments source/0, under the name of the source.
 ALN = f"""
 aln AS (
   SELECT source AS msa_id, doc_id AS row_idx, doc_id = min(doc_id) OVER (PARTITION BY source) AS is_reference,

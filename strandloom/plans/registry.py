@@ -79,7 +79,9 @@ def consensus_first_pass(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {ALN}, {MATRIX}, {FIRST_PASS}, {FULL} SELECT msa_id, string_agg(letter, '' ORDER BY col) AS consensus FROM cons GROUP BY msa_id")
 def consensus(spark, sf_dir):
-    return msa.consensus(derive.alignments(spark, sf_dir))
+    """The consensus of each source: those of its alignments, in order."""
+    own = msa.consensus(derive.alignments(spark, sf_dir)).select(F.regexp_extract("msa_id", "^(.*)/", 1).alias("msa_id"), F.regexp_extract("msa_id", "/([0-9]+)$", 1).cast("int").alias("col"), F.col("consensus").alias("letter"))
+    return msa.strung(own)
 
 
 @query(f"""WITH {ALN}, {MATRIX},
