@@ -4,7 +4,8 @@ A line is its words, those with a digit in them masked as `<*>`. The tree has a
 leading `LEADING` words, lead to a leaf. In a leaf a word is constant at its place if lines of at least `MIN_DOCS` documents have
 it there, else variable; lines of whose words after the leading ones at least `SIMILAR` percent are constant form the leaf's
 template, its variable places generalised. A template whose lines come from at least `MIN_DOCS` documents recurs: its lines are
-dropped from every document but the first, that with the least doc_id, so that nothing is lost altogether.
+dropped from every document but the first, that with the least doc_id, so that nothing is lost altogether. For lines of more than
+`LONG` words two documents are enough, both for a constant word and for a template.
 
 Blank lines stay. Null texts stay null and have no lines; empty texts have none either. A line that a document repeats counts once.
 Repeated rows count as a document each and share what is dropped from their doc_id; documents with null doc_id share theirs, and are
@@ -24,6 +25,8 @@ from .common import written
 LEADING = 3
 MIN_DOCS = 3
 SIMILAR = 60
+#: Words from which on a line is too long to recur by chance, and the documents that it then takes.
+LONG, MIN_LONG = 50, 2
 #: A word with a digit; it begins where no word goes on, and what it has matched it keeps, so that long words cost no more than their length.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 MASK = "<*>"
@@ -47,33 +50,34 @@ def with_canonical(df: DataFrame, text: Column, name: str) -> DataFrame:
 
 
 def lines(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, leaf, line (a hash) and words (blank-separated) of the distinct lines of every document that aren't blank."""
+    """doc_id, leaf, line (a hash), long (of more than LONG words) and words (blank-separated) of the distinct lines of every document that aren't blank."""
     own = with_canonical(docs.select("doc_id", F.col(text).alias("text")), F.col("text"), "own").select("doc_id", F.array_distinct("own").alias("own"))
     own = own.select("doc_id", F.explode_outer("own").alias("words")).where("words <> ''")
     head = F.substring_index("words", " ", LEADING)
-    leaf = F.xxhash64(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))), head)
-    return own.select("doc_id", leaf.alias("leaf"), F.xxhash64("words").alias("line"), "words")
+    blanks = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
+    return own.select("doc_id", F.xxhash64(blanks, head).alias("leaf"), F.xxhash64("words").alias("line"), (blanks >= LONG).alias("long"), "words")
 
 
 def recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(doc_id, leaf, line) of all lines, and line, first (the document that keeps it) of those whose template recurs."""
     found = lines(docs, text)
-    all_lines = written(found.select("doc_id", "leaf", "line"))
-    distinct = written(all_lines.groupBy("leaf", "line").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")))
-    leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("kinds")).where(F.col("docs") >= min_docs)
+    need = F.when(F.col("long"), min(min_docs, MIN_LONG)).otherwise(min_docs)
+    all_lines = written(found.select("doc_id", "leaf", "line", "long"))
+    distinct = written(all_lines.groupBy("leaf", "line").agg(F.max("long").alias("long"), F.min("doc_id").alias("first"), F.count("*").alias("docs")))
+    leaves = distinct.groupBy("leaf").agg(F.max("long").alias("long"), F.sum("docs").alias("docs"), F.count("*").alias("kinds")).where(F.col("docs") >= need)
     # A leaf of one line needs no generalising
-    plain = distinct.join(leaves.where("kinds = 1").select("leaf"), "leaf", "left_semi").select("leaf", "line", "first", "docs")
+    plain = distinct.join(leaves.where("kinds = 1").select("leaf"), "leaf", "left_semi").select("leaf", "line", "long", "first", "docs")
     several = written(leaves.where("kinds > 1").select("leaf"))
     spelt = found.join(several, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("words").alias("words")).join(distinct.withColumnRenamed("leaf", "leaf_"), "line")
-    spelt = written(spelt.where("leaf = leaf_").select("leaf", "line", "first", "docs", F.split("words", " ").alias("words")))
-    placed = spelt.select("leaf", "line", "docs", F.posexplode("words").alias("place", "word"))
-    constant = placed.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("with")).where(F.col("with") >= min_docs).drop("with")
+    spelt = written(spelt.where("leaf = leaf_").select("leaf", "line", "long", "first", "docs", F.split("words", " ").alias("words")))
+    placed = spelt.select("leaf", "line", "long", "docs", F.posexplode("words").alias("place", "word"))
+    constant = placed.groupBy("leaf", "place", "word").agg(F.max("long").alias("long"), F.sum("docs").alias("with")).where(F.col("with") >= need).drop("with", "long")
     shared = placed.join(constant, ["leaf", "place", "word"]).where(F.col("place") >= LEADING).groupBy("line").agg(F.count("*").alias("constant"))
     rest = F.greatest(F.size("words") - LEADING, F.lit(0))
     member = spelt.join(shared.withColumnRenamed("line", "line_"), F.col("line") == F.col("line_"), "left")
-    member = member.where(100 * F.coalesce("constant", F.lit(0)) >= similar * rest).select("leaf", "line", "first", "docs")
+    member = member.where(100 * F.coalesce("constant", F.lit(0)) >= similar * rest).select("leaf", "line", "long", "first", "docs")
     templates = plain.unionByName(member)
-    whole = templates.groupBy("leaf").agg(F.min("first").alias("first"), F.sum("docs").alias("docs")).where((F.col("docs") >= min_docs) & F.col("first").isNotNull())
+    whole = templates.groupBy("leaf").agg(F.max("long").alias("long"), F.min("first").alias("first"), F.sum("docs").alias("docs")).where((F.col("docs") >= need) & F.col("first").isNotNull())
     return all_lines, written(templates.select("leaf", "line").join(whole.select("leaf", "first"), "leaf").select("leaf", "line", "first"))
 
 

@@ -60,3 +60,18 @@ def test_empty(spark):
     assert templates.drop_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "a b c d")] * 4, "doc_id long, text string")
     assert [r.n_dropped for r in templates.drop_lines(df).collect()] == [0] * 4
+
+
+def test_long_lines_of_two_documents(spark):
+    """Lines of more than 50 words take two documents, exact or varied; shorter ones take three."""
+    of = lambda k, n: [f"{k}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)]
+    exact, short, varied, other = of("x", 51), of("y", 50), of("z", 60), of("q", 60)
+    changed = [w if i not in (7, 40) else "changed" for i, w in enumerate(varied)]
+    lone = varied[:3] + other[3:]
+    rows = [(1, "\n".join(" ".join(x) for x in (exact, varied, short))), (2, "\n".join(" ".join(x) for x in (["own", "line"], exact, changed))), (3, "\n".join(" ".join(x) for x in (short, lone))), (4, " ".join(other) + "\n" + " ".join(other))]
+    rows += [(5, f"{' '.join(of('p', 55))} 7"), (None, f"{' '.join(of('p', 55))} 8"), (None, " ".join(of("n", 55)))]
+    got = templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = {r.text for r in got}
+    assert text == {rows[0][1], "own line", rows[2][1], rows[3][1], rows[4][1], "", rows[6][1]}
+    at = {n > 50: brute([(d, "\n".join(x for x in (t or "").split("\n") if (len(x.split()) > 50) == (n > 50))) for d, t in rows], 2 if n > 50 else 3) for n in (50, 51)}
+    assert sum(r.n_dropped for r in got) == sum(r[3] for b in at.values() for r in b) == 3
