@@ -21,13 +21,18 @@ def flanks(rows: DataFrame, genome: DataFrame, width: int, tolerance: int = 0, r
 
     rows: name, seq (aligned, `width` columns), seq_start, seq_end. Reasons: partial, coordinates, sequence, edge. A name with
     an assembly before a colon is looked up without it if it isn't there as a whole."""
-    first = F.length(F.regexp_extract("seq", r"^([^A-Za-z]*)", 1))
-    last = F.length("seq") - F.length(F.regexp_extract("seq", r"([^A-Za-z]*)$", 1)) - 1
     g = genome.select(F.col("chrom"), F.col("length"), F.col("seq").alias("g_seq"))
     whole = rows.join(g, F.col("name") == F.col("chrom"), "left")
     short = g.select(F.col("chrom").alias("chrom2"), F.col("length").alias("length2"), F.col("g_seq").alias("g_seq2"))
     r = whole.join(short, F.col("chrom").isNull() & (F.element_at(F.split("name", ":"), -1) == F.col("chrom2")), "left")
     r = r.withColumn("g_seq", F.coalesce("g_seq", "g_seq2")).withColumn("length", F.coalesce("length", "length2"))
+    return flanked(r, width, tolerance, reach)
+
+
+def flanked(r: DataFrame, width: int, tolerance: int = 0, reach: int = 10) -> DataFrame:
+    """As flanks, of instances that have their chromosome beside them, as g_seq and length."""
+    first = F.length(F.regexp_extract("seq", r"^([^A-Za-z]*)", 1))
+    last = F.length("seq") - F.length(F.regexp_extract("seq", r"([^A-Za-z]*)$", 1)) - 1
     lb, rb = F.col("seq_start") - 1, F.col("seq_end")
     reason = (
         F.when((first > tolerance) | (last + tolerance + 1 < width) | ~F.col("seq").rlike("[A-Za-z]"), "partial")
@@ -43,12 +48,13 @@ def site_scores(windows: DataFrame, reach: int) -> DataFrame:
     """length, offset and the sum over windows(left, right) of pair scores and a bonus for each base.
 
     A repeat of `length` bases ends `offset` bases into the element on the left and as much short of the end on the right."""
-    w = windows.select(F.monotonically_increasing_id().alias("w"), "left", "right").select("*", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("length"))
-    w = w.select("*", F.explode(F.sequence(F.lit(0), F.col("length"))).alias("offset"))
-    w = w.select("length", "offset", "left", "right", F.explode(F.sequence(F.lit(1), F.col("length"))).alias("j"))
-    start = F.lit(reach) - F.col("length") + F.col("offset") + F.col("j")
-    pair = X.site_pair_score(F.substring(F.col("left"), start, F.lit(1)), F.substring(F.col("right"), start, F.lit(1)))
-    return w.groupBy("length", "offset").agg((F.sum(pair) + F.round(F.count("*") * BONUS, 1)).alias("score"))
+    pair = lambda i: X.site_pair_score(F.substring("left", i, 1), F.substring("right", i, 1))
+    sums = windows.agg(F.count("*").alias("n"), F.array(*[F.sum(pair(i)) for i in range(1, 2 * reach + 1)]).alias("sums")).where("n > 0")
+    w = sums.select("n", "sums", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("length"))
+    w = w.select("n", "sums", "length", F.explode(F.sequence(F.lit(0), F.col("length"))).alias("offset"))
+    own = F.slice("sums", F.lit(reach) - F.col("length") + F.col("offset") + 1, F.col("length"))
+    score = F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0).cast("long")))
+    return w.select("length", "offset", (score + F.round(F.col("n") * F.col("length") * BONUS, 1)).alias("score"))
 
 
 def best_site(scores: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import text as X
+from strandloom.operators import sites
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 ALIGNED = "ACGT-ACGTACGTRACGTYACGT-AC"
 BASES = "ACGTTACGTACGTAACGTCACGTGAC"
 WIDTH = 40
 PIECE = 24
+REACH, INSTANCE = 10, 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,5 +119,17 @@ occ AS (
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two windows of 20 bases of every chromosome of 60 or more."""
-    return genome(spark, sf_dir).where("length >= 60").select(F.substring("seq", 5, 20).alias("left"), F.substring("seq", 30, 20).alias("right"))
+    """Two windows of 2 * REACH bases at the ends of every instance, with the reason why an instance has none.
+
+    Instances of INSTANCE bases lie every 2 * REACH bases of a chromosome, the first so that its left window begins the chromosome, and one
+    more so that its right window ends it: in chromosomes of 50 bases or more windows cover every base. An instance has its own stretch of the chromosome beside it, so
+    that the work is in proportion to the bases and nothing is joined. A chromosome shorter than a stretch has one instance, at its edge, without windows."""
+    size = INSTANCE + 2 * REACH
+    g = genome(spark, sf_dir).where("length is not null")
+    last = F.greatest(F.col("length") - size, F.lit(0))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), last, F.lit(2 * REACH).cast("long")), F.array(last)))
+    at = g.select("chrom", F.col("seq").cast("binary").alias("whole"), F.explode(starts).alias("at"))
+    pieces = at.select(F.concat("chrom", F.lit("+"), "at").alias("name"), F.substring("whole", F.col("at").cast("int") + 1, F.lit(size)).cast("string").alias("g_seq"))
+    own = F.rpad(F.substring("g_seq", REACH + 1, INSTANCE), INSTANCE, "A")
+    rows = pieces.select(F.lit(0).alias("row_idx"), "name", own.alias("seq"), F.lit(REACH + 1).cast("long").alias("seq_start"), F.lit(REACH + INSTANCE).cast("long").alias("seq_end"), F.lit("+").alias("orient"), "g_seq", F.length("g_seq").cast("long").alias("length"))
+    return sites.flanked(rows, INSTANCE, reach=REACH)

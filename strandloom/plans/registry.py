@@ -248,16 +248,20 @@ s AS (
   FROM x GROUP BY ALL)"""
 
 
+def windows(spark, sf_dir):
+    return derive.windows(spark, sf_dir).where("reason is null")
+
+
 @query(f"WITH {TSD} SELECT * FROM s")
 def tsd_scores(spark, sf_dir):
-    return sites.site_scores(derive.windows(spark, sf_dir), 10)
+    return sites.site_scores(windows(spark, sf_dir), derive.REACH)
 
 
 @query(f"""WITH {TSD},
 a AS (SELECT length, "offset", CAST(trunc(score / length + 0.5) AS BIGINT) AS average FROM s)
 SELECT length, "offset", average FROM a ORDER BY average DESC, length DESC, "offset" DESC LIMIT 1""")
 def tsd_best(spark, sf_dir):
-    return sites.best_site(sites.site_scores(derive.windows(spark, sf_dir), 10))
+    return sites.best_site(sites.site_scores(windows(spark, sf_dir), derive.REACH))
 
 
 @query(f"""WITH {GEN}, {SITE_MATRIX},
@@ -270,7 +274,7 @@ b AS (SELECT i - 1 AS pos, unnest([substr(l, i, 1), substr(r, i, 1)]) AS base FR
 t AS (SELECT pos, cand, idx, sum(score) AS total FROM b JOIN m ON base = obs GROUP BY ALL)
 SELECT CAST(pos AS INTEGER) AS pos, cand AS letter FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY total DESC, idx) AS k FROM t) WHERE k = 1""")
 def tsd_consensus(spark, sf_dir):
-    return sites.site_consensus(sites.site_letters(derive.windows(spark, sf_dir), 5, 2, 10))
+    return sites.site_consensus(sites.site_letters(windows(spark, sf_dir), 5, 2, derive.REACH))
 
 
 @query(r"""
@@ -395,6 +399,8 @@ def lint_files(spark, sf_dir):
 
 @query(f"""WITH {GEN} SELECT chrom AS hit_no, chrom AS name, 1 AS start, 20 AS "end", '+' AS orient, rpad(repeat(' ', 10) || substr(g, 11, 20), 40, ' ') AS seq FROM gen WHERE length(g) >= 60""")
 def blast_projection(spark, sf_dir):
-    g = derive.genome(spark, sf_dir).where("length >= 60")
-    hits = g.select(F.col("chrom").alias("hit_no"), F.col("chrom").alias("qseqid"), F.lit(1).alias("qstart"), F.lit(20).alias("qend"), F.lit(11).alias("sstart"), F.lit(30).alias("send"), F.lit("+").alias("orientation"), F.substring("seq", 11, 20).alias("qseq"), F.substring("seq", 11, 20).alias("sseq"))
-    return pairwise.project(hits, 40)
+    """Each chromosome as a hit on a subject of ten bases more on either side."""
+    length = F.col("length").cast("int")
+    g = derive.genome(spark, sf_dir)
+    hits = g.select(F.col("chrom").alias("hit_no"), F.col("chrom").alias("qseqid"), F.lit(1).alias("qstart"), length.alias("qend"), F.lit(11).alias("sstart"), (length + 10).alias("send"), F.lit("+").alias("orientation"), F.col("seq").alias("qseq"), F.col("seq").alias("sseq"))
+    return pairwise.project(hits, F.col("qend") + 20)

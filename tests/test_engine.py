@@ -368,3 +368,36 @@ def test_alignments_of_whole_texts(spark, whole_texts, name):
         assert {r.ref for r in got.collect()} == {r.msa_id for r in derive.alignments(spark, at).where("not is_reference").collect()}
     else:
         assert max(int(r.msa_id.split("/")[1]) for r in got.collect()) > 0
+
+
+def test_windows_and_projections_of_whole_chromosomes(spark, tmp_path):
+    import duckdb
+    from strandloom.plans import derive, registry
+
+    rng = random.Random(3)
+    docs = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=k)).strip()) for i, k in enumerate([0, 5, 44, 50, 58, 90, 200, 777, 1200])] + [(20, None), (21, "x" * 44), (22, "xyzab" * 9)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    at = str(tmp_path)
+    whole = {r.chrom: r.seq for r in derive.genome(spark, at).collect() if r.seq is not None}
+    chunks = []
+    letters = {f"c{i}": "".join(c for c in t if c.isalpha()) for i, t in docs if t is not None}
+    for t in letters.values():
+        starts = sorted({*range(0, len(t) - 44, 20), len(t) - 45}) if len(t) >= 45 else []
+        seen = {x for s in starts for x in (*range(s, s + 20), *range(s + 25, s + 45))}
+        assert len(t) < 50 or seen == set(range(len(t)))
+        chunks += [t[s : s + 45] for s in starts]
+    found = derive.windows(spark, at).collect()
+    assert sorted((r.left, r.right) for r in found if r.reason is None) == sorted((whole_[:20], whole_[25:45]) for whole_ in ("".join(dict(zip(derive.ALPHABET, derive.BASES))[c] for c in x) for x in chunks))
+    assert {r.name.split("+")[0] for r in found} == set(whole) and {r.name.split("+")[0] for r in found if r.reason == "edge"} == {c for c, t in letters.items() if len(t) < 45}
+
+    # The registered SQL takes letters 5-24 and 30-49 of texts of 60 letters or more
+    sql = duckdb.connect()
+    sql.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    sql.executemany("INSERT INTO documents VALUES (?, ?)", [(i, "aaaa" + x + "a" * 11) for i, x in enumerate(chunks)])
+    for name in ("tsd_scores", "tsd_best", "tsd_consensus"):
+        got = registry.QUERIES[name](spark, at)
+        want = sql.sql(registry.ORACLE_SQL[name])
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    hits = {r.name: r for r in registry.QUERIES["blast_projection"](spark, at).collect()}
+    assert {c: (hits[c].start, hits[c].end, hits[c].seq) for c in whole} == {c: (1, len(s), " " * 10 + s + " " * 10) for c, s in whole.items()}
