@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, written
@@ -48,20 +48,26 @@ def slack(n, percent: int = PERCENT):
     return n * (100 - percent) // 100
 
 
+def named(text: str) -> Column:
+    """A 64-bit name of a text."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def described(docs: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and node (a name of the set; null if empty) of every row."""
+    """doc_id, name (a hash of the text), n_shingles and node (a name of the set; null if empty) of every row."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             n, node = [], []
-            for own in sets(batch.column(1), width):
+            for own in sets(batch.column(2), width):
                 n.append(len(own))
                 node.append(digest(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "name", "n_shingles", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), named(text).alias("name"), F.col(text).cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, name long, n_shingles long, node long")
 
 
 def postings(docs: DataFrame, width: int, percent: int, ranges: int, text: str) -> DataFrame:
@@ -72,10 +78,13 @@ def postings(docs: DataFrame, width: int, percent: int, ranges: int, text: str)
 
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         token, of = np.concatenate(tokens), np.repeat(np.arange(len(tokens), dtype=np.uint32), sizes)
+        tokens.clear()  # else they take their memory twice
         order = np.argsort(token, kind="stable")
         token, of = token[order], of[order]
+        del order
         part = ((token >> np.uint64(KEPT - 32)) * np.uint64(ranges)) >> np.uint64(32)
         edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
+        del part
         names, cuts = np.array(names, np.int64), np.array(cuts, np.int32)
         parts, blobs = [], []
         for r in range(ranges):
@@ -291,23 +300,28 @@ def links(docs: DataFrame, rows: DataFrame, total: int, width: int, percent: int
     return members.groupBy("component", "low", "high").applyInPandas(compare, "a long, b long")
 
 
-def join_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: two rows link when their sets' Jaccard similarity is at least percent / 100."""
+def grouped_rows(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
+    """doc_id, name, n_shingles and component_id of every row."""
     rows = checkpoint(described(docs, width, text))
     total = rows.agg(F.sum("n_shingles")).head()[0] or 0
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     found = checkpoint(components(links(docs, rows, total, width, percent, text)).withColumnRenamed("node", "named"))
     grouped = least.join(found, F.col("node") == F.col("named"), "left").withColumn("component", F.coalesce("component", "node"))
     ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.select(F.col("node").alias("of"), "component").join(ids, "component").select("of", "component_id")
-    out = rows.join(named, F.col("node") == F.col("of"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_node = grouped.select(F.col("node").alias("of"), "component").join(ids, "component").select("of", "component_id")
+    out = rows.join(by_node, F.col("node") == F.col("of"), "left")
+    return out.select("doc_id", "name", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def join_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: two rows link when their sets' Jaccard similarity is at least percent / 100."""
+    return grouped_rows(docs, width, percent, text).drop("name")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """docs without those that a group has besides the one of least doc_id; doc_id is taken for a key.
+    """docs without those that a group has besides the one of least doc_id.
 
-    Rows with null doc_id stay unless their group has another row with one. Of rows alike in doc_id and text all stay or go."""
-    groups = join_groups(docs.select("doc_id", text), width, percent, text)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    Rows with null doc_id stay unless their group has another row with one. Rows of one doc_id and different texts go each with its own group; of rows alike in both all stay or go."""
+    groups = grouped_rows(docs.select("doc_id", text), width, percent, text)
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("name").alias("gone_name")).distinct()
+    return docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (named(text) == F.col("gone_name")), "left_anti")

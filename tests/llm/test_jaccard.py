@@ -96,3 +96,11 @@ def test_boundary():
     assert jaccard.boundary({2: 10, 50: 10}, 3.0) == 2
     assert jaccard.boundary({2: 10, 5: 10}, 30.0) == 5
     assert np.all(jaccard.slack(np.array([1, 9, 10, 19, 20])) == [0, 0, 1, 1, 2])
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(30))
+    rows = [(1, text("a")), (None, text("a")), (None, text("b")), (None, text("c")), (None, None), (2, text("d")), (3, text("d")), (3, text("e")), (3, text("f")), (None, text("g")), (None, text("g"))]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    gone = [(None, text("a")), (3, text("d"))]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in rows if r not in gone)
