@@ -172,6 +172,15 @@ def consensus_rules(records: DataFrame) -> DataFrame:
     return ranked(bad.select("file", "record_num", R.label().alias("label"), F.lit("WARN").alias("severity"), F.lit("rf_consensus_mismatch").alias("check"), F.lit("RF differs from the consensus of the rows").alias("message")))
 
 
+def repeated_ids(records: DataFrame) -> DataFrame:
+    """Records whose ID, in any case, others of their file have too, with the number of them, `copies`.
+
+    IDs are counted first and only those that repeat are joined back, so an ID that a third of all records has is no window of one task."""
+    named = records.withColumn("low", F.lower(X.trimmed(R.first_of("ID")))).where("low <> ''")
+    copies = named.groupBy(F.col("file").alias("of_file"), F.col("low").alias("of")).agg(F.count("*").alias("copies")).where("copies > 1")
+    return named.join(copies, (F.col("file") == F.col("of_file")) & (F.col("low") == F.col("of"))).drop("of_file", "of", "low")
+
+
 def file_rules(records: DataFrame) -> DataFrame:
     """Findings on files as a whole, and repeated IDs."""
     row = lambda df, severity, check, message: df.select("file", F.lit(None).cast("int").alias("record_num"), F.lit("FILE").alias("label"), F.lit(severity).alias("severity"), F.lit(check).alias("check"), message.alias("message"))
@@ -195,8 +204,7 @@ def file_rules(records: DataFrame) -> DataFrame:
         row(sums.where("old > 0"), "INFO", "seqid_legacy_format", text(F.col("old").cast("string"), " records have identifiers of older forms: ", listed("with_old", "old"))),
         row(sums.where("cited > 0"), "WARN", "citation_fields_unused", F.lit("RT, RA and RL are not used")),
     ]
-    named = records.withColumn("low", F.lower(X.trimmed(R.first_of("ID")))).where("low <> ''")
-    again = named.withColumn("copies", F.count("*").over(Window.partitionBy("file", "low"))).where("copies > 1")
+    again = repeated_ids(records)
     severity, check = F.when(accession, "INFO").otherwise("ERROR"), F.when(accession, "duplicate_id_update").otherwise("duplicate_id")
     out.append(again.select("file", "record_num", R.label().alias("label"), severity.alias("severity"), check.alias("check"), text("ID ", X.quoted(X.trimmed(R.first_of("ID"))), " occurs ", F.col("copies").cast("string"), " times").alias("message")))
     found = out[0]

@@ -59,11 +59,23 @@ def clear_flanks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.when(seq.rlike("[A-Za-z]"), out).otherwise(F.repeat(F.lit(" "), F.length(seq))))
 
 
+def totals(rows: DataFrame, include_reference: bool = False) -> DataFrame:
+    """msa_id, col and the score of every letter of the alphabet in each column where something counts, a column for each letter."""
+    at = F.instr(F.lit(alphabet.LETTERS), F.col("base"))
+    against = lambda c: F.element_at(F.array(*[F.lit(alphabet.consensus_score(c, o)) for o in alphabet.LETTERS]), at)
+    return profile(rows, include_reference).groupBy("msa_id", "col").agg(*[F.sum(F.col("n") * against(c)).alias(c) for c in alphabet.LETTERS])
+
+
+def lines(letters: DataFrame, name: str = "line") -> DataFrame:
+    """msa_id and an array of letters(msa_id, col, letter) in order of their columns, to lay beside the rows of an alignment."""
+    return letters.groupBy(F.col("msa_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("col", "letter"))).alias(name))
+
+
 def best_letters(rows: DataFrame, include_reference: bool = False) -> DataFrame:
     """msa_id, col and the letter of greatest score in each column; N wins ties, then the first of the alphabet. N where nothing counts."""
-    own = profile(rows, include_reference).join(F.broadcast(alphabet.scores(rows.sparkSession)), F.col("base") == F.col("obs"))
-    summed = own.groupBy("msa_id", "col", "cand", "idx").agg(F.sum(F.col("n") * F.col("score")).alias("total"))
-    best = summed.groupBy("msa_id", "col").agg(F.max(F.struct("total", (F.col("cand") == "N").cast("int").alias("n"), (-F.col("idx")).alias("i"), "cand"))["cand"].alias("letter"))
+    found = totals(rows, include_reference)
+    entry = lambda i, c: F.struct(F.col(c).alias("total"), F.lit(int(c == "N")).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("cand"))
+    best = found.select("msa_id", "col", F.array_max(F.array(*[entry(i, c) for i, c in enumerate(alphabet.LETTERS)]))["cand"].alias("letter"))
     return columns(rows).join(best, ["msa_id", "col"], "left").select("msa_id", "col", F.coalesce("letter", F.lit("N")).alias("letter"))
 
 
@@ -76,10 +88,13 @@ def consensus_letters(rows: DataFrame, include_reference: bool = False, cg: int
     rows = clear_flanks(rows)
     letters = best_letters(rows, include_reference)
     kept = letters.where("letter <> '-'")
-    by_row = Window.partitionBy("msa_id", "row_idx").orderBy("col")
-    grid = cells(counted(rows, include_reference)).join(kept, ["msa_id", "col"])
-    pairs = grid.select("msa_id", "col", "letter", F.col("base").alias("hl"), F.lead("base").over(by_row).alias("hr"), F.lead("letter").over(by_row).alias("right"))
-    pairs = pairs.where("right is not null and hl <> ' ' and hr <> ' '").groupBy("msa_id", "col", "letter", "right", "hl", "hr").agg(F.count("*").alias("n"))
+    # Each row's letters beside those of the consensus, so that no cell is shuffled
+    beside = counted(rows, include_reference).join(lines(kept), F.col("msa_id") == F.col("of"))
+    beside = beside.select("msa_id", "line", F.split(F.upper("seq"), "").alias("own"))
+    beside = beside.select("msa_id", "line", F.transform("line", lambda x: F.get("own", x["col"])).alias("own"))
+    duo = lambda x, i: F.struct(x["col"].alias("col"), x["letter"].alias("letter"), F.get("line", i + 1)["letter"].alias("right"), F.get("own", i).alias("hl"), F.get("own", i + 1).alias("hr"))
+    duos = F.filter(F.transform("line", duo), lambda x: x["right"].isNotNull() & (x["hl"] != " ") & (x["hr"] != " "))
+    pairs = beside.select("msa_id", F.inline(duos)).groupBy("msa_id", "col", "letter", "right", "hl", "hr").agg(F.count("*").alias("n"))
     known = lambda c: F.when(F.instr(F.lit(alphabet.LETTERS), F.col(c)) > 0, F.col(c)).otherwise("N")
     by = alphabet.scores_by_observed(rows.sparkSession)
     pairs = pairs.withColumn("kl", known("hl")).withColumn("kr", known("hr"))
@@ -123,20 +138,30 @@ def divergence(rows: DataFrame, against: DataFrame) -> DataFrame:
 
     Columns whose letter is a gap and blanks are passed over. Of a CpG site's two transitions together count one, one alone a
     tenth; `ti_adjusted` is kept in tenths and divided once."""
-    own = cells(rows.where(~F.col("is_reference"))).join(against.select("msa_id", "col", F.upper("letter").alias("cons")), ["msa_id", "col"])
-    own = own.where("cons <> '-' and base <> ' '")
-    order = Window.partitionBy("msa_id", "row_idx").orderBy("col")
-    kind = X.substitution(F.col("cons"), F.col("base"))
-    own = own.withColumn("ti", F.when(kind == "ti", 1).otherwise(0)).withColumn("tv", F.when(kind == "tv", 1).otherwise(0))
-    own = own.withColumn("well", (F.col("cons").isin(*"ACGT") & F.col("base").isin(*"ACGT")).cast("int"))
-    own = own.withColumn("site", ((F.lag("cons").over(order) == "C") & (F.col("cons") == "G")))
-    own = own.withColumn("site", F.coalesce("site", F.lit(False)))
-    both = F.lag("ti").over(order) + F.col("ti")
-    tenths = F.when(F.col("site"), F.when(both == 2, 10).when(both == 1, 1).otherwise(0)).when(F.coalesce(F.lead("site").over(order), F.lit(False)), 0).otherwise(10 * F.col("ti"))
-    own = own.withColumn("tenths", tenths)
-    sums = own.groupBy("msa_id", "row_idx").agg(*[F.sum(c).cast("long").alias(c) for c in ("ti", "tv", "well", "tenths")], F.sum(F.col("site").cast("long")).alias("cpg_sites"))
-    base = rows.where(~F.col("is_reference")).select("msa_id", "row_idx")
-    sums = base.join(sums, ["msa_id", "row_idx"], "left").na.fill(0)
+    line = lines(against.select("msa_id", "col", F.upper("letter").alias("letter")))
+    own = rows.where(~F.col("is_reference")).join(line, F.col("msa_id") == F.col("of"), "left").select("msa_id", "row_idx", "line", F.split(F.upper("seq"), "").alias("own"))
+    pair = lambda x: F.struct(x["letter"].alias("c"), F.get("own", x["col"]).alias("o"))
+    own = own.select("msa_id", "row_idx", F.filter(F.transform("line", pair), lambda x: (x["c"] != "-") & (x["o"] != " ") & (x["o"] != "")).alias("pairs"))
+
+    def kinds(x: Column) -> Column:
+        well = F.instr(F.lit("ACGT"), x["c"]).cast("boolean") & F.instr(F.lit("ACGT"), x["o"]).cast("boolean")
+        ti = F.concat(x["c"], x["o"]).isin("AG", "GA", "CT", "TC")
+        return F.struct(x["c"].alias("c"), ti.cast("int").alias("ti"), (well & ~ti & (x["c"] != x["o"])).cast("int").alias("tv"), well.cast("int").alias("well"))
+
+    own = own.select("msa_id", "row_idx", F.transform("pairs", kinds).alias("kinds"))
+
+    def tenths(x: Column, i: Column) -> Column:
+        before, after = F.get("kinds", i - 1), F.get("kinds", i + 1)
+        site = F.coalesce(before["c"] == "C", F.lit(False)) & (x["c"] == "G")
+        both = before["ti"] + x["ti"]
+        value = F.when(site, F.when(both == 2, 10).when(both == 1, 1).otherwise(0)).when((x["c"] == "C") & F.coalesce(after["c"] == "G", F.lit(False)), 0).otherwise(10 * x["ti"])
+        return F.struct(x["ti"].alias("ti"), x["tv"].alias("tv"), x["well"].alias("well"), value.alias("tenths"), site.cast("int").alias("cpg_sites"))
+
+    names = ("ti", "tv", "well", "tenths", "cpg_sites")
+    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in names])
+    own = own.select("msa_id", "row_idx", F.transform("kinds", tenths).alias("kinds"))
+    own = own.select("msa_id", "row_idx", F.coalesce(F.aggregate("kinds", none, lambda s, x: F.struct(*[(s[c] + x[c]).alias(c) for c in names])), none).alias("s"))
+    sums = own.select("msa_id", "row_idx", *[F.col(f"s.{c}").alias(c) for c in names])
     adjusted = F.col("tenths") / 10
     return sums.select(
         "msa_id", "row_idx", "ti", "tv", adjusted.alias("ti_adjusted"), "well", "cpg_sites",
@@ -161,8 +186,7 @@ def statistics(rows: DataFrame) -> DataFrame:
 
 def column_scores(rows: DataFrame) -> DataFrame:
     """The greatest score of any letter in each column; 0 where nothing counts."""
-    own = profile(rows).join(F.broadcast(alphabet.scores(rows.sparkSession)), F.col("base") == F.col("obs"))
-    best = own.groupBy("msa_id", "col", "cand").agg(F.sum(F.col("n") * F.col("score")).alias("total")).groupBy("msa_id", "col").agg(F.max("total").alias("score"))
+    best = totals(rows).select("msa_id", "col", F.greatest(*alphabet.LETTERS).alias("score"))
     return columns(rows).join(best, ["msa_id", "col"], "left").select("msa_id", "col", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
 
 

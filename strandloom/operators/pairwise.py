@@ -21,50 +21,96 @@ def sides(hits: DataFrame, reference: str = "subj") -> DataFrame:
     )
 
 
-def cells(hits: DataFrame) -> DataFrame:
-    """Every column of every hit: ref, hit_no, i, base (of the reference), own and pos, the place of the base or of the next one."""
-    pairs = F.arrays_zip(F.split("ref_seq", "").alias("base"), F.split("seq", "").alias("own"))
-    c = hits.select("ref", "hit_no", "ref_start", F.posexplode(pairs).alias("i", "x")).select("ref", "hit_no", "ref_start", "i", "x.base", "x.own").where("base <> ''")
-    order = Window.partitionBy("ref", "hit_no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return c.withColumn("pos", F.col("ref_start") + F.coalesce(F.sum((F.col("base") != "-").cast("int")).over(order), F.lit(0)))
-
-
-def joined(c: DataFrame, keys: list[str], order: str, piece: str, name: str) -> DataFrame:
-    """Pieces of text of each key, in order."""
-    return c.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, piece))), lambda x: x[piece]), "").alias(name))
+def parsed(hits: DataFrame) -> DataFrame:
+    """hits with their reference's bases, the letters opposite those, and the places (`ins_pos`) and texts (`ins_text`) of insertions.
+
+    An insertion stands before the base of its place; one after the last base has the place after it."""
+
+    def run(batches):
+        import re
+
+        import pyarrow as pa
+
+        runs = re.compile("-+")
+        for batch in batches:
+            at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            bases, letters, places, texts = [], [], [], []
+            for start, top, own in zip(at["ref_start"].to_pylist(), at["ref_seq"].to_pylist(), at["seq"].to_pylist()):
+                pos, text, kept, seen, end = [], [], [], 0, 0
+                for m in runs.finditer(top):
+                    kept.append(own[end : m.start()])
+                    seen += m.start() - end
+                    end = m.end()
+                    pos.append(start + seen)
+                    text.append(own[m.start() : end])
+                kept.append(own[end : len(top)])
+                bases.append(top.replace("-", ""))
+                letters.append("".join(kept))
+                places.append(pos)
+                texts.append(text)
+            new = [pa.array(bases, pa.string()), pa.array(letters, pa.string()), pa.array(places, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "bases", "letters", "ins_pos", "ins_text"])
+
+    slim = hits.where("ref_seq is not null and seq is not null").select("ref", "hit_no", "name", "start", "end", "orient", F.col("ref_start").cast("long").alias("ref_start"), "ref_seq", "seq")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
+    return slim.mapInArrow(run, fields + ", bases string, letters string, ins_pos array<long>, ins_text array<string>").drop("ref_seq", "seq")
+
+
+def laid(rows: DataFrame, schema: str) -> DataFrame:
+    """The text of every hit of rows(..., ref_start, letters, ins_pos, ins_text, rooms): its letters, and at each place with room its insertion, dashes filling the rest."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n in ("ref_start", "letters", "ins_pos", "ins_text", "rooms")}
+            out = []
+            for start, letters, pos, text, rooms in zip(at["ref_start"], at["letters"], at["ins_pos"], at["ins_text"], at["rooms"]):
+                mine, pieces, end = dict(zip(pos, text)), [], 0
+                for room in rooms:
+                    i = room["pos"] - start
+                    pieces += [letters[end:i], mine.get(room["pos"], "").ljust(room["room"], "-")]
+                    end = i
+                out.append("".join(pieces) + letters[end:])
+            keep = [n for n in batch.schema.names if n not in ("letters", "ins_pos", "ins_text", "rooms")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in keep], pa.array(out, pa.string())], [*keep, "own"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def merge(hits: DataFrame) -> DataFrame:
     """One alignment of the hits of each ref: ref, row_idx (0 for the reference), name, start, end, orient and seq.
 
     Before each base the widest insertion of any hit makes room for all; a hit's own letters come first there, dashes fill the
-    rest. Bases are named by the hits that cover them, the last in order wins; a place that none covers is an error. Hits are
-    spread by the places they cover, and nothing grows with hits times places."""
-    c = cells(hits)
-    bases = c.where("base <> '-'").groupBy("ref", "pos").agg(F.max_by("base", "hit_no").alias("base"))
-    own = c.groupBy("ref", "hit_no", "pos").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("base") == "-", F.struct("i", "own")))), lambda x: x["own"]), "").alias("inserted"),
-        F.max(F.when(F.col("base") != "-", F.col("own"))).alias("letter"),
-    )
-    room = own.groupBy("ref", "pos").agg(F.max(F.length("inserted")).alias("room"))
+    rest. Bases are named by the hits that cover them, the last in order wins; a place that none covers is an error. Only what hits
+    insert and the distinct stretches of a reference that they cover are shuffled by place; hits themselves stay whole rows. A hit without a
+    base of the reference, or with a null sequence, adds no row."""
+    own = parsed(hits).where("bases <> ''")
+    stretches = own.groupBy("ref", "ref_start", "bases").agg(F.max("hit_no").alias("hit_no"))
+    named = stretches.select("ref", "ref_start", "hit_no", F.posexplode(F.split("bases", "")).alias("i", "base")).where("base <> ''")
+    bases = named.groupBy("ref", (F.col("ref_start") + F.col("i")).alias("pos")).agg(F.max_by("base", "hit_no").alias("base"))
+    wide = own.where(F.size("ins_pos") > 0).select("ref", F.explode(F.arrays_zip("ins_pos", "ins_text")).alias("x"))
+    room = wide.groupBy("ref", F.col("x.ins_pos").alias("pos")).agg(F.max(F.length("x.ins_text")).alias("room"))
     span = bases.groupBy("ref").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
     places = span.select("ref", "a", "b", F.explode(F.sequence("a", F.col("b") + 1)).alias("pos")).join(bases, ["ref", "pos"], "left").join(room, ["ref", "pos"], "left")
     hole = F.raise_error(F.concat(F.lit("no hit covers place "), F.col("pos"), F.lit(" of "), F.col("ref"))).cast("string")
     places = places.withColumn("room", F.coalesce("room", F.lit(0))).withColumn("base", F.when(F.col("pos") > F.col("b"), "").when(F.col("base").isNull(), hole).otherwise(F.col("base")))
-    wide = F.col("room") + F.length("base")
-    places = places.withColumn("offset", F.sum(wide).over(Window.partitionBy("ref").orderBy("pos")) - wide)
-    text = places.withColumn("piece", F.concat(F.repeat(F.lit("-"), F.col("room")), F.col("base")))
-    top = joined(text, ["ref", "a", "b"], "pos", "piece", "seq")
-    top = top.select("ref", F.lit(0).alias("row_idx"), F.col("ref").alias("name"), F.col("a").alias("start"), F.col("b").alias("end"), F.lit("+").alias("orient"), "seq")
-    keys = ["ref", "hit_no", "name", "start", "end", "orient", "ref_start"]
-    slots = hits.withColumn("ref_end", F.col("ref_start") + F.length(F.replace("ref_seq", F.lit("-"), F.lit(""))))
-    slots = slots.select(*keys, F.explode(F.sequence("ref_start", "ref_end")).alias("pos"))
-    slots = slots.join(places.select("ref", "pos", "room", "offset"), ["ref", "pos"]).join(own, ["ref", "hit_no", "pos"], "left")
-    inserted = F.coalesce("inserted", F.lit(""))
-    slots = slots.withColumn("piece", F.concat(inserted, F.repeat(F.lit("-"), F.col("room") - F.length(inserted)), F.coalesce("letter", F.lit(""))))
-    rows = joined(slots, keys, "pos", "piece", "own").join(places.select("ref", F.col("pos").alias("ref_start"), "offset"), ["ref", "ref_start"])
-    rows = rows.join(top.select("ref", F.length("seq").alias("width")), "ref")
-    seq = F.rpad(F.concat(F.repeat(F.lit(" "), F.col("offset").cast("int")), F.col("own")), F.col("width"), F.lit(" "))
+    # One row for each reference: its text, its places with room, and where each place begins
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "room", "base")))
+    line = places.groupBy("ref", "a", "b").agg(ordered.alias("line"))
+    text = F.array_join(F.transform("line", lambda x: F.concat(F.repeat(F.lit("-"), x["room"]), x["base"])), "")
+    rooms = F.transform(F.filter("line", lambda x: x["room"] > 0), lambda x: F.struct(x["pos"], x["room"]))
+    line = line.select("ref", "a", "b", text.alias("seq"), rooms.alias("rooms"))
+    top = line.select("ref", F.lit(0).alias("row_idx"), F.col("ref").alias("name"), F.col("a").alias("start"), F.col("b").alias("end"), F.lit("+").alias("orient"), "seq")
+    beside = own.join(line.select(F.col("ref").alias("of"), "a", "rooms", F.length("seq").alias("width")), F.col("ref") == F.col("of"))
+    # What stands before the hit's first place: the reference's bases there and the room before each
+    before = F.col("ref_start") - F.col("a") + F.aggregate(F.filter("rooms", lambda x: x["pos"] < F.col("ref_start")), F.lit(0).cast("long"), lambda s, x: s + x["room"])
+    end = F.col("ref_start") + F.length("bases")
+    beside = beside.withColumn("before", before.cast("int")).withColumn("rooms", F.filter("rooms", lambda x: (x["pos"] >= F.col("ref_start")) & (x["pos"] <= end)))
+    beside = beside.select("ref", "hit_no", "name", "start", "end", "orient", "ref_start", "before", "width", "letters", "ins_pos", "ins_text", "rooms")
+    kept = [f for f in beside.schema.fields if f.name not in ("letters", "ins_pos", "ins_text", "rooms")]
+    rows = laid(beside, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", own string")
+    seq = F.rpad(F.concat(F.repeat(F.lit(" "), F.col("before")), F.col("own")), F.col("width"), F.lit(" "))
     place = F.row_number().over(Window.partitionBy("ref").orderBy("hit_no"))
     return top.unionByName(rows.select("ref", place.alias("row_idx"), "name", "start", "end", "orient", seq.alias("seq")))
 

@@ -13,6 +13,10 @@ ALIGNED = "ACGT-ACGTACGTRACGTYACGT-AC"
 BASES = "ACGTTACGTACGTAACGTCACGTGAC"
 WIDTH = 40
 PIECE = 24
+#: Bases from one record to the next; kinds of records, and how far off the wrong ones are.
+STEP = 400
+KINDS = 14
+SHIFTED = {1: -1, 2: -1, 3: 2, 6: 10, 10: -2, 11: -3, 12: 1, 13: 3}
 REACH, INSTANCE = 10, 25
 
 
@@ -36,12 +40,13 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(first, F.col("msa_id") == F.col("s")).select("msa_id", "row_idx", (F.col("row_idx") == F.col("first")).alias("is_reference"), "seq")
 
 
-#: The SQL reads only the first WIDTH letters of a text: it has the rows of the alignments source/0, under the name of the source.
 ALN = f"""
 aln AS (
-  SELECT source AS msa_id, doc_id AS row_idx, doc_id = min(doc_id) OVER (PARTITION BY source) AS is_reference,
-         rpad(substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{ALPHABET}', '{ALIGNED}'), 1, {WIDTH}), {WIDTH}, '-') AS seq
-  FROM documents),
+  SELECT source || '/' || block AS msa_id, doc_id AS row_idx, doc_id = min(doc_id) OVER (PARTITION BY source, block) AS is_reference,
+         rpad(substr(whole, block * {WIDTH} + 1, {WIDTH}), {WIDTH}, '-') AS seq
+  FROM (
+    SELECT source, doc_id, whole, unnest(range(0, greatest(1, (length(whole) + {WIDTH - 1}) // {WIDTH}))) AS block
+    FROM (SELECT source, doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{ALPHABET}', '{ALIGNED}') AS whole FROM documents))),
 flat AS (
   SELECT msa_id, row_idx, is_reference,
          CASE WHEN regexp_matches(seq, '[A-Z]') THEN
@@ -50,7 +55,7 @@ flat AS (
            || translate(regexp_extract(seq, '([^A-Z]*)$', 1), '-', ' ')
          ELSE repeat(' ', {WIDTH}) END AS seq
   FROM aln),
-cols AS (SELECT DISTINCT msa_id, CAST(unnest(range(0, {WIDTH})) AS INTEGER) AS col FROM aln),
+cols AS (SELECT msa_id, CAST(i AS INTEGER) AS col FROM (SELECT DISTINCT msa_id FROM aln), range(0, {WIDTH}) t(i)),
 res AS (SELECT msa_id, row_idx, is_reference, CAST(i AS INTEGER) AS col, substr(seq, CAST(i + 1 AS BIGINT), 1) AS base FROM aln, range(0, {WIDTH}) t(i)),
 fres AS (SELECT msa_id, row_idx, is_reference, CAST(i AS INTEGER) AS col, substr(seq, CAST(i + 1 AS BIGINT), 1) AS base FROM flat, range(0, {WIDTH}) t(i))"""
 
@@ -63,28 +68,40 @@ def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record of coordinates for each chromosome of 60 bases or more, right or wrong by doc_id."""
+    """Records of coordinates, one for every STEP bases of each chromosome of 60 bases or more, right or wrong by document and place.
+
+    The kinds take turns: right, half-open, one to three bases off to either side, on the other strand, out of reach, with an unknown base,
+    without coordinates, and of a chromosome that isn't there."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.translate(letters(), ALPHABET, BASES).alias("g")).where(F.length("g") >= 60)
-    kind, at = F.col("doc_id") % 10, (10 + F.col("doc_id") % 17).cast("int")
-    piece = F.substring(F.col("g"), at, F.lit(PIECE))
-    shift = F.when(kind == 1, -1).when(kind == 2, -1).when(kind == 3, 2).when(kind == 6, 10).otherwise(0)
+    nth = F.sequence(F.lit(0), F.floor((F.length("g") - 60) / STEP).cast("int"))
+    # Sequences are bytes here, of which any part is reached at once
+    d = d.select("doc_id", F.col("g").cast("binary").alias("g"), F.explode(nth).alias("nth"))
+    kind = (F.col("doc_id") + F.col("nth")) % KINDS
+    at = (F.col("nth") * STEP + 10 + F.col("doc_id") % 17).cast("int")
+    piece = F.substring(F.col("g"), at, F.lit(PIECE)).cast("string")
+    shift = F.lit(0)
+    for of, by in SHIFTED.items():
+        shift = F.when(kind == of, by).otherwise(shift)
     seq = F.when(kind.isin(4, 5), X.reverse_complement(piece)).when(kind == 7, F.concat(F.substring(piece, 1, PIECE - 1), F.lit("N"))).otherwise(piece)
     known = kind != 8
+    chrom = F.concat(F.lit("c"), "doc_id")
     return d.select(
-        F.lit("f").alias("file"), F.lit(0).alias("metadata_idx"), F.col("doc_id").cast("int").alias("rec_order"), F.concat(F.lit("r"), "doc_id").alias("original_id"), F.lit(None).cast("string").alias("assembly_id"),
-        F.when(kind == 9, "none").otherwise(F.concat(F.lit("c"), "doc_id")).alias("sequence_id"), F.when(known, (at + shift).cast("long")).alias("start"),
+        chrom.alias("file"), F.lit(0).alias("metadata_idx"), F.col("nth").alias("rec_order"), F.concat(F.lit("r"), "doc_id", F.lit("/"), "nth").alias("original_id"), F.lit(None).cast("string").alias("assembly_id"),
+        F.when(kind == 9, "none").otherwise(chrom).alias("sequence_id"), F.when(known, (at + shift).cast("long")).alias("start"),
         F.when(known, (at + shift + PIECE - 1 + F.when(kind == 1, 1).otherwise(0)).cast("long")).alias("end"), F.when(known, F.when(kind == 5, "-").otherwise("+")).alias("orient"),
         F.lit("V2").alias("inferred_version"), seq.alias("sequence"), F.lit(None).cast("string").alias("aligned_seq"), F.lit("").alias("metadata"), F.lit(None).cast("string").alias("validated"),
     )
 
 
+SHIFT_SQL = "CASE kind " + " ".join(f"WHEN {of} THEN {by}" for of, by in SHIFTED.items()) + " ELSE 0 END"
 GEN = f"""
 gen AS (SELECT doc_id, 'c' || doc_id AS chrom, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{ALPHABET}', '{BASES}') AS g FROM documents),
-cut AS (SELECT doc_id, g, doc_id % 10 AS kind, 10 + doc_id % 17 AS place, substr(g, 10 + doc_id % 17, {PIECE}) AS piece FROM gen WHERE length(g) >= 60),
+nth AS (SELECT doc_id, g, unnest(range(0, (length(g) - 60) // {STEP} + 1)) AS nth FROM gen WHERE length(g) >= 60),
+cut AS (SELECT doc_id, nth, (doc_id + nth) % {KINDS} AS kind, nth * {STEP} + 10 + doc_id % 17 AS place, substr(g, nth * {STEP} + 10 + doc_id % 17, {PIECE}) AS piece FROM nth),
 rec AS (
-  SELECT CAST(doc_id AS INTEGER) AS rec_order, CASE WHEN kind = 9 THEN 'none' ELSE 'c' || doc_id END AS sequence_id,
-         CASE WHEN kind <> 8 THEN place + CASE kind WHEN 1 THEN -1 WHEN 2 THEN -1 WHEN 3 THEN 2 WHEN 6 THEN 10 ELSE 0 END END AS s,
-         CASE WHEN kind <> 8 THEN place + CASE kind WHEN 1 THEN 0 WHEN 2 THEN -1 WHEN 3 THEN 2 WHEN 6 THEN 10 ELSE 0 END + {PIECE - 1} END AS e,
+  SELECT 'c' || doc_id AS file, CAST(nth AS INTEGER) AS rec_order, CASE WHEN kind = 9 THEN 'none' ELSE 'c' || doc_id END AS sequence_id,
+         CASE WHEN kind <> 8 THEN place + {SHIFT_SQL} END AS s,
+         CASE WHEN kind <> 8 THEN place + {SHIFT_SQL} + {PIECE - 1} + CASE kind WHEN 1 THEN 1 ELSE 0 END END AS e,
          CASE WHEN kind = 8 THEN NULL WHEN kind = 5 THEN '-' ELSE '+' END AS o,
          CASE WHEN kind IN (4, 5) THEN translate(reverse(piece), 'ACGT', 'TGCA') WHEN kind = 7 THEN substr(piece, 1, {PIECE - 1}) || 'N' ELSE piece END AS q
   FROM cut),
@@ -92,20 +109,20 @@ tried AS (
   SELECT rec.*, gen.g, CASE WHEN e - s = length(q) THEN s + 1 ELSE s END AS b, coalesce(e - s = length(q), FALSE) AS half, translate(reverse(q), 'ACGT', 'TGCA') AS rq
   FROM rec LEFT JOIN gen ON rec.sequence_id = gen.chrom),
 hit AS (
-  SELECT rec_order, min(struct_pack(nth := CASE d WHEN 0 THEN 0 WHEN -3 THEN 1 WHEN -2 THEN 2 WHEN -1 THEN 3 ELSE 3 + d END, d := d, plus := substr(g, CAST(b + d AS BIGINT), length(q)) = q, minus := substr(g, CAST(b + d AS BIGINT), length(q)) = rq)) AS h
+  SELECT file, rec_order, min(struct_pack(nth := CASE d WHEN 0 THEN 0 WHEN -3 THEN 1 WHEN -2 THEN 2 WHEN -1 THEN 3 ELSE 3 + d END, d := d, plus := substr(g, CAST(b + d AS BIGINT), length(q)) = q, minus := substr(g, CAST(b + d AS BIGINT), length(q)) = rq)) AS h
   FROM tried, range(-3, 4) t(d)
   WHERE g IS NOT NULL AND b + d >= 1 AND e + d <= length(g) AND e - b + 1 = length(q)
     AND (substr(g, CAST(b + d AS BIGINT), length(q)) = q OR substr(g, CAST(b + d AS BIGINT), length(q)) = rq)
-  GROUP BY rec_order),
+  GROUP BY file, rec_order),
 lab AS (
-  SELECT t.rec_order, t.sequence_id, t.q, t.rq, h.h IS NOT NULL AS located,
+  SELECT t.file, t.rec_order, t.sequence_id, t.q, t.rq, h.h IS NOT NULL AS located,
          CASE WHEN h.h IS NULL THEN CASE WHEN t.g IS NULL THEN t.s ELSE t.b END ELSE t.b + h.h.d END AS start,
          CASE WHEN h.h IS NULL THEN t.e ELSE t.e + h.h.d END AS end_,
          CASE WHEN h.h IS NULL THEN t.o WHEN h.h.d = 0 AND ((h.h.plus AND h.h.minus) OR (CASE WHEN h.h.plus THEN '+' ELSE '-' END) = t.o) THEN t.o WHEN h.h.plus THEN '+' ELSE '-' END AS orient,
          t.o, t.half, h.h.d AS d
-  FROM tried t LEFT JOIN hit h ON t.rec_order = h.rec_order),
+  FROM tried t LEFT JOIN hit h ON t.file = h.file AND t.rec_order = h.rec_order),
 val AS (
-  SELECT rec_order, sequence_id, q, rq, start, end_ AS "end", orient,
+  SELECT file, rec_order, sequence_id, q, rq, start, end_ AS "end", orient,
          CASE WHEN located THEN
            CASE WHEN NOT half AND orient = o AND d = 0 THEN 'valid'
            ELSE 'fixed' || CASE WHEN half THEN '_halfopen' ELSE '' END || CASE WHEN orient = o THEN '' ELSE '_orient' END
@@ -114,7 +131,7 @@ val AS (
 pat AS (SELECT q AS pattern, '+' AS strand, q AS word FROM val WHERE validated IS NULL UNION SELECT q, '-', rq FROM val WHERE validated IS NULL),
 occ AS (
   SELECT pattern, chrom, CAST(i - 1 AS BIGINT) AS pos, strand
-  FROM (SELECT chrom, i, substr(g, CAST(i AS BIGINT), {PIECE}) AS piece FROM gen, range(1, 20001) t(i) WHERE i <= length(g) - {PIECE - 1}) s JOIN pat ON s.piece = pat.word
+  FROM (SELECT chrom, i, substr(g, i, {PIECE}) AS piece FROM (SELECT chrom, g, unnest(range(1, length(g) - {PIECE - 2})) AS i FROM gen)) s JOIN pat ON s.piece = pat.word
 )"""
 
 

@@ -77,7 +77,8 @@ def consensus_first_pass(spark, sf_dir):
     return msa.best_letters(msa.clear_flanks(derive.alignments(spark, sf_dir)))
 
 
-@query(f"WITH RECURSIVE {ALN}, {MATRIX}, {FIRST_PASS}, {FULL} SELECT msa_id, string_agg(letter, '' ORDER BY col) AS consensus FROM cons GROUP BY msa_id")
+@query(f"""WITH RECURSIVE {ALN}, {MATRIX}, {FIRST_PASS}, {FULL}
+SELECT regexp_extract(msa_id, '^(.*)/', 1) AS msa_id, string_agg(letter, '' ORDER BY CAST(regexp_extract(msa_id, '/([0-9]+)$', 1) AS INTEGER), col) AS consensus FROM cons GROUP BY 1""")
 def consensus(spark, sf_dir):
     """The consensus of each source: those of its alignments, in order."""
     own = msa.consensus(derive.alignments(spark, sf_dir)).select(F.regexp_extract("msa_id", "^(.*)/", 1).alias("msa_id"), F.regexp_extract("msa_id", "/([0-9]+)$", 1).cast("int").alias("col"), F.col("consensus").alias("letter"))
@@ -92,7 +93,17 @@ def column_quality(spark, sf_dir):
     return msa.column_scores(derive.alignments(spark, sf_dir))
 
 
-@query()
+#: A segment from i is as long as it can be where its sum is never less than at i and its end is the first place of the greatest sum; those inside another go.
+@query(f"""WITH {ALN}, {MATRIX},
+prof AS (SELECT msa_id, col, base, count(*) AS n FROM res WHERE NOT is_reference GROUP BY ALL),
+tot AS (SELECT msa_id, col, cand, sum(n * score) AS total FROM prof JOIN m ON base = obs GROUP BY ALL),
+q AS (SELECT cols.msa_id, cols.col, CAST(coalesce(max(total), 0) AS BIGINT) AS score FROM cols LEFT JOIN tot ON tot.msa_id = cols.msa_id AND tot.col = cols.col GROUP BY ALL),
+cum AS (SELECT msa_id, col, sum(-score) OVER (PARTITION BY msa_id ORDER BY col) AS s FROM q),
+sums AS (SELECT msa_id, col, s FROM cum UNION ALL SELECT DISTINCT msa_id, -1, 0 FROM q),
+lim AS (SELECT a.msa_id, a.col AS i, a.s, min(b.col) AS lim FROM sums a LEFT JOIN sums b ON a.msa_id = b.msa_id AND b.col > a.col AND b.s <= a.s GROUP BY ALL),
+seg AS (SELECT l.msa_id, l.i, arg_max(b.col, struct_pack(s := b.s, first := -b.col)) AS j, max(b.s) - l.s AS score FROM lim l JOIN sums b ON b.msa_id = l.msa_id AND b.col > l.i AND (l.lim IS NULL OR b.col < l.lim) GROUP BY l.msa_id, l.i, l.s)
+SELECT x.msa_id, CAST(x.i + 1 AS INTEGER) AS start, CAST(x.j AS INTEGER) AS "end", CAST(x.score AS BIGINT) AS score FROM seg x
+WHERE NOT EXISTS (SELECT 1 FROM seg y WHERE y.msa_id = x.msa_id AND y.i <= x.i AND y.j >= x.j AND (y.i < x.i OR y.j > x.j))""")
 def low_quality_blocks(spark, sf_dir):
     return msa.low_quality_blocks(derive.alignments(spark, sf_dir))
 
@@ -107,29 +118,34 @@ def reference_letters(rows):
     return msa.cells(rows.where("is_reference")).select("msa_id", "col", F.col("base").alias("letter"))
 
 
-KIMURA = f"""{ALN},
-pos AS (
+def kimura_sql(letters: str, x: str = "") -> str:
+    """CTEs that end in k{x}: every instance's divergence from `letters`(msa_id, col, base)."""
+    return f"""
+pos{x} AS (
   SELECT r.msa_id, r.row_idx, r.col, r.base AS o, c.base AS c, lag(c.base) OVER w AS pc, lead(c.base) OVER w AS nc
-  FROM res r JOIN res c ON c.msa_id = r.msa_id AND c.col = r.col AND c.is_reference
+  FROM res r JOIN ({letters}) c ON c.msa_id = r.msa_id AND c.col = r.col
   WHERE NOT r.is_reference AND c.base <> '-' AND r.base <> ' '
   WINDOW w AS (PARTITION BY r.msa_id, r.row_idx ORDER BY r.col)),
-flag AS (
+flag{x} AS (
   SELECT *, CAST(c || o IN ('AG', 'GA', 'CT', 'TC') AS INTEGER) AS ti,
          CAST(contains('ACGT', c) AND contains('ACGT', o) AND c <> o AND c || o NOT IN ('AG', 'GA', 'CT', 'TC') AS INTEGER) AS tv,
          CAST(contains('ACGT', c) AND contains('ACGT', o) AS INTEGER) AS well, coalesce(pc = 'C' AND c = 'G', FALSE) AS site, coalesce(c = 'C' AND nc = 'G', FALSE) AS next_site
-  FROM pos),
-part AS (
+  FROM pos{x}),
+part{x} AS (
   SELECT *, CASE WHEN site THEN CASE lag(ti) OVER (PARTITION BY msa_id, row_idx ORDER BY col) + ti WHEN 2 THEN 10 WHEN 1 THEN 1 ELSE 0 END WHEN next_site THEN 0 ELSE 10 * ti END AS tenths
-  FROM flag),
-agg AS (SELECT msa_id, row_idx, CAST(sum(ti) AS BIGINT) AS ti, CAST(sum(tv) AS BIGINT) AS tv, CAST(sum(well) AS BIGINT) AS well, CAST(sum(tenths) AS BIGINT) AS tenths, CAST(sum(CAST(site AS INTEGER)) AS BIGINT) AS cpg_sites FROM part GROUP BY ALL),
-allr AS (SELECT a.msa_id, a.row_idx, coalesce(ti, 0) AS ti, coalesce(tv, 0) AS tv, coalesce(well, 0) AS well, coalesce(tenths, 0) AS tenths, coalesce(cpg_sites, 0) AS cpg_sites FROM aln a LEFT JOIN agg ON agg.msa_id = a.msa_id AND agg.row_idx = a.row_idx WHERE NOT a.is_reference),
-k AS (
+  FROM flag{x}),
+agg{x} AS (SELECT msa_id, row_idx, CAST(sum(ti) AS BIGINT) AS ti, CAST(sum(tv) AS BIGINT) AS tv, CAST(sum(well) AS BIGINT) AS well, CAST(sum(tenths) AS BIGINT) AS tenths, CAST(sum(CAST(site AS INTEGER)) AS BIGINT) AS cpg_sites FROM part{x} GROUP BY ALL),
+allr{x} AS (SELECT a.msa_id, a.row_idx, coalesce(ti, 0) AS ti, coalesce(tv, 0) AS tv, coalesce(well, 0) AS well, coalesce(tenths, 0) AS tenths, coalesce(cpg_sites, 0) AS cpg_sites FROM aln a LEFT JOIN agg{x} g ON g.msa_id = a.msa_id AND g.row_idx = a.row_idx WHERE NOT a.is_reference),
+k{x} AS (
   SELECT *, tenths / 10.0::DOUBLE AS ti_adjusted,
          CASE WHEN well = 0 THEN 0 WHEN 1 - 2.0 * ti / well - 1.0 * tv / well <= 0 OR 1 - 2.0 * tv / well <= 0 THEN NULL
               ELSE greatest(100 * (-0.5 * ln(1 - 2.0::DOUBLE * ti / well - 1.0::DOUBLE * tv / well) - 0.25 * ln(1 - 2.0::DOUBLE * tv / well)), 0) END AS k1,
          CASE WHEN well = 0 THEN 0 WHEN 1 - 0.2 * tenths / well - 1.0 * tv / well <= 0 OR 1 - 2.0 * tv / well <= 0 THEN NULL
               ELSE greatest(100 * (-0.5 * ln(1 - 2.0::DOUBLE * (tenths / 10.0::DOUBLE) / well - 1.0::DOUBLE * tv / well) - 0.25 * ln(1 - 2.0::DOUBLE * tv / well)), 0) END AS k2
-  FROM allr)"""
+  FROM allr{x})"""
+
+
+KIMURA = f"{ALN}, " + kimura_sql("SELECT * FROM res WHERE is_reference")
 number = lambda c: F.round(F.when(~F.isnan(c), F.col(c)), 6)  # noqa: E731  null for NaN
 
 
@@ -147,9 +163,12 @@ def kimura_mean(spark, sf_dir):
     return found.select("msa_id", F.round("kimura", 6).alias("kimura"), F.round("kimura_adjusted", 6).alias("kimura_adjusted"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {KIMURA}, {MATRIX}, {FIRST_PASS}, {FULL}, {kimura_sql("SELECT msa_id, col, letter AS base FROM cons", "2")}
+SELECT k.msa_id, k.row_idx, round(CAST(coalesce(k.k1, 100) AS DOUBLE), 6) + 0.0::DOUBLE AS from_reference, round(CAST(coalesce(k2.k1, 100) AS DOUBLE), 6) + 0.0::DOUBLE AS from_consensus, coalesce(k.k1, 100) >= 90 AS high
+FROM k JOIN k2 ON k2.msa_id = k.msa_id AND k2.row_idx = k.row_idx""")
 def statistics(spark, sf_dir):
-    return msa.statistics(derive.alignments(spark, sf_dir))
+    found = msa.statistics(derive.alignments(spark, sf_dir))
+    return found.withColumn("from_reference", F.round("from_reference", 6)).withColumn("from_consensus", F.round("from_consensus", 6))
 
 
 @query(f"WITH {ALN} SELECT msa_id, row_idx, translate(reverse(regexp_replace(upper(seq), '[^ACGTRYKMSWBDHVNX\\- ]', 'N', 'g')), 'ATGCRYKMBVDH', 'TACGYRMKVBHD') AS iupac, translate(reverse(seq), 'ACGT', 'TGCA') AS plain, translate(seq, '-_~', '...') AS dotted, replace(replace(seq, '-', ''), '.', '') AS bases FROM aln")
@@ -191,9 +210,9 @@ def trim_ambiguous(spark, sf_dir):
     return msa.trim_ambiguous(derive.alignments(spark, sf_dir))
 
 
-@query(f'WITH {GEN} SELECT rec_order, start, "end", orient, validated FROM val')
+@query(f'WITH {GEN} SELECT file, rec_order, start, "end", orient, validated FROM val')
 def coord_validate(spark, sf_dir):
-    return coords.validate(derive.records(spark, sf_dir), derive.genome(spark, sf_dir)).select("rec_order", "start", "end", "orient", "validated")
+    return coords.validate(derive.records(spark, sf_dir), derive.genome(spark, sf_dir)).select("file", "rec_order", "start", "end", "orient", "validated")
 
 
 @query(f"WITH {GEN} SELECT pattern, chrom, pos, strand FROM occ")
@@ -203,21 +222,43 @@ def remap_hits(spark, sf_dir):
     return coords.occurrences(open_.select(F.col("sequence").alias("pattern")), g)
 
 
-@query(f"""WITH {GEN},
+RANKED = f"""{GEN},
 h AS (
-  SELECT rec_order, chrom, pos, strand, start, q, CAST(coalesce(chrom = sequence_id, FALSE) AS INTEGER) AS own, max(CAST(coalesce(chrom = sequence_id, FALSE) AS INTEGER)) OVER (PARTITION BY rec_order) AS any_own
-  FROM val JOIN occ ON occ.pattern = val.q WHERE validated IS NULL)
-SELECT 'f' AS file, rec_order, chrom AS hit_chrom, pos + 1 AS hit_start, pos + length(q) AS hit_end, strand AS hit_strand,
-       CAST(row_number() OVER (PARTITION BY rec_order ORDER BY coalesce(abs(pos - start), 4611686018427387904), chrom, strand, pos) AS INTEGER) AS place, count(*) OVER (PARTITION BY rec_order) AS hits
-FROM h WHERE own = any_own""")
+  SELECT file, rec_order, chrom, pos, strand, start, q, CAST(coalesce(chrom = sequence_id, FALSE) AS INTEGER) AS own, max(CAST(coalesce(chrom = sequence_id, FALSE) AS INTEGER)) OVER (PARTITION BY file, rec_order) AS any_own
+  FROM val JOIN occ ON occ.pattern = val.q WHERE validated IS NULL),
+ranked AS (
+  SELECT file, rec_order, chrom AS hit_chrom, pos + 1 AS hit_start, pos + length(q) AS hit_end, strand AS hit_strand,
+         CAST(row_number() OVER (PARTITION BY file, rec_order ORDER BY coalesce(abs(pos - start), 4611686018427387904), chrom, strand, pos) AS INTEGER) AS place, count(*) OVER (PARTITION BY file, rec_order) AS hits
+  FROM h WHERE own = any_own)"""
+
+
+@query(f"WITH {RANKED} SELECT * FROM ranked")
 def remap_ranked(spark, sf_dir):
     g = derive.genome(spark, sf_dir)
     return coords.ranked_hits(coords.validate(derive.records(spark, sf_dir), g), g)
 
 
-@query()
+#: The records of a sequence or its reverse complement choose in turn, each the first place that none before it has.
+@query(f"""WITH RECURSIVE {RANKED},
+places AS (SELECT file, rec_order, list(struct_pack(c := hit_chrom, a := hit_start, z := hit_end, o := hit_strand) ORDER BY place) AS places FROM ranked GROUP BY ALL),
+turn AS (
+  SELECT val.file, val.rec_order, least(val.q, val.rq) AS key, places, row_number() OVER (PARTITION BY least(val.q, val.rq) ORDER BY val.file, val.rec_order) AS nth
+  FROM val JOIN places ON places.file = val.file AND places.rec_order = val.rec_order),
+held AS (SELECT least(q, rq) AS key, list(struct_pack(c := sequence_id, a := start, z := "end", o := orient)) AS held FROM val WHERE validated IS NOT NULL AND start IS NOT NULL GROUP BY ALL),
+first AS (SELECT turn.*, coalesce(held, []) AS held FROM turn LEFT JOIN held ON held.key = turn.key WHERE nth = 1),
+walk(file, rec_order, key, nth, n, taken) AS (
+  SELECT file, rec_order, key, nth, len(places), list_append(held, coalesce(list_filter(places, lambda p: NOT list_contains(held, p))[1], places[1])) FROM first
+  UNION ALL
+  SELECT t.file, t.rec_order, t.key, t.nth, len(places), list_append(taken, coalesce(list_filter(places, lambda p: NOT list_contains(taken, p))[1], places[1]))
+  FROM walk w JOIN turn t ON t.key = w.key AND t.nth = w.nth + 1),
+chosen AS (SELECT file, rec_order, n, taken[-1] AS p FROM walk)
+SELECT val.file, val.rec_order,
+       CASE WHEN p IS NOT NULL OR (validated IS NOT NULL AND start IS NOT NULL AND "end" IS NOT NULL AND orient IS NOT NULL) THEN 'g' END AS assembly_id,
+       coalesce(p.c, sequence_id) AS sequence_id, coalesce(p.a, start) AS start, coalesce(p.z, "end") AS "end", coalesce(p.o, orient) AS orient,
+       coalesce(validated, CASE WHEN n = 1 THEN 'fixed_remapped_unique' WHEN n > 1 THEN 'fixed_remapped_ambig' END, 'invalid') AS validated
+FROM val LEFT JOIN chosen ON chosen.file = val.file AND chosen.rec_order = val.rec_order""")
 def remap_claim(spark, sf_dir):
-    return coords.curate(derive.records(spark, sf_dir), derive.genome(spark, sf_dir), "g").select("rec_order", "assembly_id", "sequence_id", "start", "end", "orient", "validated")
+    return coords.curate(derive.records(spark, sf_dir), derive.genome(spark, sf_dir), "g").select("file", "rec_order", "assembly_id", "sequence_id", "start", "end", "orient", "validated")
 
 
 @query(f"""WITH {GEN}
@@ -226,19 +267,38 @@ def label_counts(spark, sf_dir):
     return coords.label_counts(coords.validate(derive.records(spark, sf_dir), derive.genome(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {ALN},
+top AS (SELECT msa_id, col, base AS t, 1 + coalesce(sum(CAST(base <> '-' AS INTEGER)) OVER (PARTITION BY msa_id ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM res WHERE is_reference),
+own AS (
+  SELECT r.msa_id, r.row_idx, t.pos, coalesce(string_agg(r.base, '' ORDER BY r.col) FILTER (t.t = '-' AND r.base <> '-'), '') AS inserted, coalesce(max(r.base) FILTER (t.t <> '-'), '') AS letter
+  FROM res r JOIN top t ON t.msa_id = r.msa_id AND t.col = r.col WHERE NOT r.is_reference GROUP BY ALL),
+room AS (SELECT msa_id, pos, max(length(inserted)) AS room FROM own GROUP BY ALL),
+bases AS (SELECT top.msa_id, top.pos, coalesce(max(t) FILTER (t <> '-'), '') AS base FROM top GROUP BY ALL),
+made AS (
+  SELECT b.msa_id, string_agg(repeat('-', CAST(room AS BIGINT)) || base, '' ORDER BY b.pos) AS seq, max(b.pos) FILTER (base <> '') AS size
+  FROM bases b JOIN room ON room.msa_id = b.msa_id AND room.pos = b.pos GROUP BY ALL)
+SELECT msa_id AS ref, CAST(0 AS INTEGER) AS row_idx, msa_id AS name, CAST(1 AS BIGINT) AS start, CAST(size AS BIGINT) AS "end", '+' AS orient, seq FROM made WHERE size > 0
+UNION ALL
+SELECT own.msa_id, CAST(dense_rank() OVER (PARTITION BY own.msa_id ORDER BY own.row_idx) AS INTEGER), CAST(own.row_idx AS VARCHAR), 1,
+       length(replace(string_agg(inserted || letter, '' ORDER BY own.pos), '-', '')), '+', string_agg(inserted || repeat('-', CAST(room - length(inserted) AS BIGINT)) || letter, '' ORDER BY own.pos)
+FROM own JOIN room ON room.msa_id = own.msa_id AND room.pos = own.pos JOIN made ON made.msa_id = own.msa_id WHERE size > 0 GROUP BY own.msa_id, own.row_idx""")
 def pairwise_merge(spark, sf_dir):
     rows = derive.alignments(spark, sf_dir)
     top = rows.where("is_reference").select(F.col("msa_id").alias("ref"), F.col("seq").alias("top"))
     pairs = F.filter(F.arrays_zip(F.split("top", "").alias("t"), F.split("seq", "").alias("s")), lambda x: (x["t"] != "-") | (x["s"] != "-"))
     side = lambda k: F.array_join(F.transform(pairs, lambda x: x[k]), "")
     both = rows.where("not is_reference").join(top, F.col("msa_id") == F.col("ref"))
-    hits = both.select("ref", F.col("row_idx").alias("hit_no"), F.lit(1).alias("ref_start"), side("t").alias("ref_seq"), F.col("row_idx").cast("string").alias("name"), F.lit(1).alias("start"), F.length(side("s")).alias("end"), F.lit("+").alias("orient"), side("s").alias("seq"))
+    hits = both.select("ref", F.col("row_idx").alias("hit_no"), F.lit(1).alias("ref_start"), side("t").alias("ref_seq"), F.col("row_idx").cast("string").alias("name"), F.lit(1).alias("start"), F.length(F.replace(side("s"), F.lit("-"), F.lit(""))).alias("end"), F.lit("+").alias("orient"), side("s").alias("seq"))
     return pairwise.merge(hits)
 
 
+#: Both windows of an instance every 20 bases of a chromosome, and of one at its end.
+SITES = """
+w AS (
+  SELECT substr(g, place + 1, 20) AS l, substr(g, place + 26, 20) AS r
+  FROM (SELECT g, unnest(list_distinct(list_append(range(0, length(g) - 44, 20), length(g) - 45))) AS place FROM gen WHERE length(g) >= 45))"""
 TSD = f"""{GEN},
-w AS (SELECT substr(g, 5, 20) AS l, substr(g, 30, 20) AS r FROM gen WHERE length(g) >= 60),
+{SITES},
 x AS (
   SELECT a AS length, b AS "offset", substr(l, CAST(10 - a + b + j AS BIGINT), 1) AS p, substr(r, CAST(10 - a + b + j AS BIGINT), 1) AS q
   FROM w, range(1, 11) t(a), range(0, 11) u(b), range(1, 11) v(j) WHERE b <= a AND j <= a),
@@ -264,8 +324,7 @@ def tsd_best(spark, sf_dir):
     return sites.best_site(sites.site_scores(windows(spark, sf_dir), derive.REACH))
 
 
-@query(f"""WITH {GEN}, {SITE_MATRIX},
-w AS (SELECT substr(g, 5, 20) AS l, substr(g, 30, 20) AS r FROM gen WHERE length(g) >= 60),
+@query(f"""WITH {GEN}, {SITE_MATRIX}, {SITES},
 s AS (SELECT substr(l, 8, 5) AS l, substr(r, 8, 5) AS r FROM w),
 z AS (
   SELECT l, r, list_sum(list_transform(range(1, 6), lambda i: CASE WHEN substr(l, i, 1) = substr(r, i, 1) THEN CASE WHEN substr(l, i, 1) IN ('A', 'T') THEN 9 ELSE 10 END
@@ -322,16 +381,17 @@ def identifier_parse(spark, sf_dir):
 
 @query("""SELECT d.p_partkey, count(*) OVER (PARTITION BY lower(trim(p_brand))) AS copies FROM part d QUALIFY copies > 1""")
 def duplicate_ids(spark, sf_dir):
-    from pyspark.sql import Window
-
-    parts = derive.table(spark, sf_dir, "part").withColumn("copies", F.count("*").over(Window.partitionBy(F.lower(X.trimmed(F.col("p_brand"))))))
-    return parts.where("copies > 1").select("p_partkey", "copies")
+    gf = F.array(F.struct(F.lit("ID").alias("tag"), F.col("p_brand").alias("value")))
+    recs = derive.table(spark, sf_dir, "part").select(F.lit("part").alias("file"), F.col("p_partkey").alias("record_num"), gf.alias("gf"))
+    return lint.repeated_ids(recs).select(F.col("record_num").alias("p_partkey"), "copies")
 
 
-@query("""SELECT c_custkey, c_mktsegment AS value FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
+@query("""SELECT c_custkey, 'tp_unknown' AS "check", 'TP "' || c_mktsegment || '" is no class' AS message FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
 def unknown_classes(spark, sf_dir):
     known = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "name string")
-    return derive.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("value")).join(known, F.col("value") == F.col("name"), "left_anti")
+    gf = F.array(F.struct(F.lit("TP").alias("tag"), F.col("c_mktsegment").alias("value")))
+    recs = derive.table(spark, sf_dir, "customer").select(F.lit("customer").alias("file"), F.col("c_custkey").alias("record_num"), gf.alias("gf"))
+    return lint.table_rules(recs, {"classification": known}).select(F.col("record_num").alias("c_custkey"), "check", "message")
 
 
 @query("""
@@ -397,7 +457,7 @@ def lint_files(spark, sf_dir):
     return lint.file_rules(source_records(spark, sf_dir)).groupBy("file", "severity", "check").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {GEN} SELECT chrom AS hit_no, chrom AS name, 1 AS start, 20 AS "end", '+' AS orient, rpad(repeat(' ', 10) || substr(g, 11, 20), 40, ' ') AS seq FROM gen WHERE length(g) >= 60""")
+@query(f"""WITH {GEN} SELECT chrom AS hit_no, chrom AS name, 1 AS start, CAST(length(g) AS INTEGER) AS "end", '+' AS orient, repeat(' ', 10) || g || repeat(' ', 10) AS seq FROM gen""")
 def blast_projection(spark, sf_dir):
     """Each chromosome as a hit on a subject of ten bases more on either side."""
     length = F.col("length").cast("int")

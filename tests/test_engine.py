@@ -334,70 +334,48 @@ def test_entry(spark):
 
 @pytest.fixture(scope="module")
 def whole_texts(spark, tmp_path_factory):
-    """A folder of documents longer than an alignment is wide, and the same in SQL's reach: a row for each 40 letters."""
+    """A folder of documents longer than an alignment is wide, and the same in SQL's reach."""
     import duckdb
 
     at = tmp_path_factory.mktemp("whole")
     rng = random.Random(9)
-    docs = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz .\n", k=rng.choice([3, 50, 130, 420]))), f"src{i % 3}") for i in range(40)] + [(40, "", "src0"), (41, "12", "src1")]
+    docs = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz .\n", k=rng.choice([3, 50, 130, 420, 1300]))), f"src{i % 3}") for i in range(40)] + [(40, "", "src0"), (41, "12", "src1"), (42, "x" * 44, "src2"), (43, "xyzab" * 9, "src2")]
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{at}/documents.parquet")
-    only = [(i, "".join(c for c in t if c.isalpha()), s) for i, t, s in docs]
-    blocks = [(i, t[k : k + 40], f"{s}/{k // 40}") for i, t, s in only for k in range(0, max(len(t), 1), 40)]
     sql = duckdb.connect()
     sql.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
-    sql.executemany("INSERT INTO documents VALUES (?, ?, ?)", blocks)
-    return str(at), sql
+    sql.executemany("INSERT INTO documents VALUES (?, ?, ?)", docs)
+    return str(at), sql, {i: ("".join(c for c in t if c.isalpha()), s) for i, t, s in docs}
 
 
-ALIGNED = "profile coverage consensus_first_pass consensus column_quality conservation kimura_pairs kimura_mean sequence_functions trim slice_columns min_length sub_range trim_ambiguous low_quality_blocks statistics pairwise_merge"
-
-
-@pytest.mark.parametrize("name", ALIGNED.split())
-def test_alignments_of_whole_texts(spark, whole_texts, name):
-    from strandloom.plans import derive, registry
-
-    at, sql = whole_texts
-    got = registry.QUERIES[name](spark, at)
-    if name in registry.ORACLE_SQL:
-        want = sql.sql(registry.ORACLE_SQL[name])
-        if name == "consensus":
-            want = sql.sql("SELECT split_part(msa_id, '/', 1) AS msa_id, string_agg(consensus, '' ORDER BY CAST(split_part(msa_id, '/', 2) AS INTEGER)) AS consensus FROM want GROUP BY 1")
-        assert got.columns == want.columns
-        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
-    elif name == "pairwise_merge":
-        assert {r.ref for r in got.collect()} == {r.msa_id for r in derive.alignments(spark, at).where("not is_reference").collect()}
-    else:
-        assert max(int(r.msa_id.split("/")[1]) for r in got.collect()) > 0
+def test_derived_tables_leave_no_letter_out(spark, whole_texts):
+    from strandloom.plans import derive
 
-
-def test_windows_and_projections_of_whole_chromosomes(spark, tmp_path):
-    import duckdb
-    from strandloom.plans import derive, registry
-
-    rng = random.Random(3)
-    docs = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=k)).strip()) for i, k in enumerate([0, 5, 44, 50, 58, 90, 200, 777, 1200])] + [(20, None), (21, "x" * 44), (22, "xyzab" * 9)]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    at = str(tmp_path)
-    whole = {r.chrom: r.seq for r in derive.genome(spark, at).collect() if r.seq is not None}
+    at, _, docs = whole_texts
+    aligned, bases = (dict(zip(derive.ALPHABET, x)) for x in (derive.ALIGNED, derive.BASES))
+    rows = {(r.msa_id, r.row_idx): r.seq for r in derive.alignments(spark, at).collect()}
+    assert rows == {(f"{s}/{k // 40}", i): "".join(aligned[c] for c in t[k : k + 40]).ljust(40, "-") for i, (t, s) in docs.items() for k in range(0, max(len(t), 1), 40)}
+    found = derive.windows(spark, at).collect()
     chunks = []
-    letters = {f"c{i}": "".join(c for c in t if c.isalpha()) for i, t in docs if t is not None}
-    for t in letters.values():
+    for t, _ in docs.values():
         starts = sorted({*range(0, len(t) - 44, 20), len(t) - 45}) if len(t) >= 45 else []
         seen = {x for s in starts for x in (*range(s, s + 20), *range(s + 25, s + 45))}
         assert len(t) < 50 or seen == set(range(len(t)))
-        chunks += [t[s : s + 45] for s in starts]
-    found = derive.windows(spark, at).collect()
-    assert sorted((r.left, r.right) for r in found if r.reason is None) == sorted((whole_[:20], whole_[25:45]) for whole_ in ("".join(dict(zip(derive.ALPHABET, derive.BASES))[c] for c in x) for x in chunks))
-    assert {r.name.split("+")[0] for r in found} == set(whole) and {r.name.split("+")[0] for r in found if r.reason == "edge"} == {c for c, t in letters.items() if len(t) < 45}
+        chunks += ["".join(bases[c] for c in t[s : s + 45]) for s in starts]
+    assert sorted((r.left, r.right) for r in found if r.reason is None) == sorted((c[:20], c[25:]) for c in chunks)
+    assert {r.name.split("+")[0] for r in found if r.reason == "edge"} == {f"c{i}" for i, (t, _) in docs.items() if len(t) < 45}
+    planted = derive.records(spark, at).collect()
+    assert {(r.file, r.rec_order) for r in planted} == {(f"c{i}", k) for i, (t, _) in docs.items() if len(t) >= 60 for k in range((len(t) - 60) // 400 + 1)}
 
-    # The registered SQL takes letters 5-24 and 30-49 of texts of 60 letters or more
-    sql = duckdb.connect()
-    sql.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    sql.executemany("INSERT INTO documents VALUES (?, ?)", [(i, "aaaa" + x + "a" * 11) for i, x in enumerate(chunks)])
-    for name in ("tsd_scores", "tsd_best", "tsd_consensus"):
-        got = registry.QUERIES[name](spark, at)
-        want = sql.sql(registry.ORACLE_SQL[name])
-        assert got.columns == want.columns
-        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
-    hits = {r.name: r for r in registry.QUERIES["blast_projection"](spark, at).collect()}
-    assert {c: (hits[c].start, hits[c].end, hits[c].seq) for c in whole} == {c: (1, len(s), " " * 10 + s + " " * 10) for c, s in whole.items()}
+
+ALIGNED = "profile coverage consensus_first_pass consensus column_quality conservation kimura_pairs kimura_mean sequence_functions trim slice_columns min_length sub_range trim_ambiguous low_quality_blocks statistics pairwise_merge"
+PLACED = "coord_validate remap_hits remap_ranked remap_claim label_counts tsd_scores tsd_best tsd_consensus blast_projection"
+
+
+@pytest.mark.parametrize("name", f"{ALIGNED} {PLACED}".split())
+def test_registered_sql_of_whole_texts(spark, whole_texts, name):
+    from strandloom.plans import registry
+
+    at, sql, _ = whole_texts
+    got, want = registry.QUERIES[name](spark, at), sql.sql(registry.ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
