@@ -1,13 +1,14 @@
 """Alignments as tables: profiles, consensus, divergence, quality and column edits.
 
-An alignment is the rows of one `msa_id`: (msa_id, row_idx, is_reference, seq), all of one width, a dash for a gap inside a row and
-a blank outside it. Everything groups by msa_id and column, so alignments of any number and depth spread over the cluster; Python
-runs only where a segment search needs its own state.
+An alignment is the rows of one `msa_id`: (msa_id, row_idx, is_reference, seq), all of one width and in ASCII, a dash for a gap inside a
+row and a blank outside it. Rows are never exploded to cells: letters are counted by column in Arrow batches, whose counts are summed by
+msa_id and column, so alignments of any number and depth spread over the cluster; the consensus of an alignment is laid beside its
+rows as one array. Rows with a null sequence count as empty.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,19 +21,58 @@ def cells(rows: DataFrame) -> DataFrame:
     return rows.select("msa_id", "row_idx", "is_reference", F.posexplode(F.split(F.upper("seq"), "")).alias("col", "base")).where("base <> ''")
 
 
-def residues(rows: DataFrame) -> DataFrame:
-    """The cells that aren't blank."""
-    return cells(rows).where("base <> ' '")
-
-
 def counted(rows: DataFrame, include_reference: bool) -> DataFrame:
     return rows if include_reference else rows.where(~F.col("is_reference"))
 
 
+def raw(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string column; nulls are empty."""
+    import pyarrow as pa
+
+    column = column.fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data if data is not None else pa.py_buffer(b"\0"), np.uint8), offsets
+
+
+def codes(column) -> tuple[np.ndarray, list]:
+    """Number of each value of a string column, and the values."""
+    found = column.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
+
+
+ASCII = np.array([chr(i) for i in range(128)], object)
+
+
+def letter_counts(rows: DataFrame) -> DataFrame:
+    """msa_id, col (from 0), base (upper case) and n of every letter that isn't blank, counted in batches and summed."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of, names = codes(batch.column(0))
+            data, offsets = raw(batch.column(1))
+            sizes = np.diff(offsets)
+            width = int(sizes.max())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            col = np.arange(int(sizes.sum())) - np.repeat(offsets[:-1] - offsets[0], sizes)
+            key = (of[row] * width + col) * 128 + data[offsets[0] : offsets[-1]]
+            key, n = np.unique(key[data[offsets[0] : offsets[-1]] != 32], return_counts=True)
+            at, base = key // 128, key % 128
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[i] for i in at // max(width, 1)], pa.string()), pa.array(at % max(width, 1), pa.int32()), pa.array(ASCII[base], pa.string()), pa.array(n, pa.int64())], ["msa_id", "col", "base", "n"]
+            )
+
+    found = rows.select(F.col("msa_id").cast("string").alias("msa_id"), F.upper("seq").alias("seq")).where("msa_id is not null").mapInArrow(run, "msa_id string, col int, base string, n long")
+    return found.groupBy("msa_id", "col", "base").agg(F.sum("n").alias("n"))
+
+
 def profile(rows: DataFrame, include_reference: bool = False) -> DataFrame:
     """msa_id, col, base and n for the letters of the alphabet."""
-    found = residues(counted(rows, include_reference)).where(F.instr(F.lit(alphabet.LETTERS), F.col("base")) > 0)
-    return found.groupBy("msa_id", "col", "base").agg(F.count("*").alias("n"))
+    return letter_counts(counted(rows, include_reference)).where(F.instr(F.lit(alphabet.LETTERS), F.col("base")) > 0)
 
 
 def widths(rows: DataFrame) -> DataFrame:
@@ -66,9 +106,25 @@ def totals(rows: DataFrame, include_reference: bool = False) -> DataFrame:
     return profile(rows, include_reference).groupBy("msa_id", "col").agg(*[F.sum(F.col("n") * against(c)).alias(c) for c in alphabet.LETTERS])
 
 
-def lines(letters: DataFrame, name: str = "line") -> DataFrame:
-    """msa_id and an array of letters(msa_id, col, letter) in order of their columns, to lay beside the rows of an alignment."""
-    return letters.groupBy(F.col("msa_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("col", "letter"))).alias(name))
+def beside(rows: DataFrame, letters: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns and the letters of their alignment's letters(msa_id, col, letter), as `cols` and `letters`, and seq in upper case."""
+    line = letters.groupBy(F.col("msa_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("col", F.upper("letter").alias("letter")))).alias("line"))
+    line = line.select("of", F.transform("line", lambda x: x["col"]).alias("cols"), F.array_join(F.transform("line", lambda x: x["letter"]), "").alias("letters"))
+    return rows.join(line, F.col("msa_id") == F.col("of"), how).drop("of").withColumn("seq", F.upper("seq"))
+
+
+def matched(batch):
+    """Of a batch of rows beside their letters: row, place in the line, column, letter and the row's own letter (0 beyond its end) of every entry."""
+    at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    data, offsets = raw(at["seq"])
+    letters, starts = raw(at["letters"])
+    sizes = np.diff(starts)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(int(sizes.sum())) - np.repeat(starts[:-1] - starts[0], sizes)
+    col = at["cols"].flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(row) else np.zeros(0, np.int64)
+    inside = col < np.diff(offsets)[row]
+    own = np.where(inside, data[np.where(inside, offsets[row] + col, 0)], 0)
+    return row, place, col, letters[starts[0] : starts[-1]], own
 
 
 def best_letters(rows: DataFrame, include_reference: bool = False) -> DataFrame:
@@ -88,13 +144,29 @@ def consensus_letters(rows: DataFrame, include_reference: bool = False, cg: int
     rows = clear_flanks(rows)
     letters = best_letters(rows, include_reference)
     kept = letters.where("letter <> '-'")
-    # Each row's letters beside those of the consensus, so that no cell is shuffled
-    beside = counted(rows, include_reference).join(lines(kept), F.col("msa_id") == F.col("of"))
-    beside = beside.select("msa_id", "line", F.split(F.upper("seq"), "").alias("own"))
-    beside = beside.select("msa_id", "line", F.transform("line", lambda x: F.get("own", x["col"])).alias("own"))
-    duo = lambda x, i: F.struct(x["col"].alias("col"), x["letter"].alias("letter"), F.get("line", i + 1)["letter"].alias("right"), F.get("own", i).alias("hl"), F.get("own", i + 1).alias("hr"))
-    duos = F.filter(F.transform("line", duo), lambda x: x["right"].isNotNull() & (x["hl"] != " ") & (x["hr"] != " "))
-    pairs = beside.select("msa_id", F.inline(duos)).groupBy("msa_id", "col", "letter", "right", "hl", "hr").agg(F.count("*").alias("n"))
+
+    def duos(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of, names = codes(batch.column(0))
+            row, place, col, letter, own = matched(batch)
+            pair = (row[1:] == row[:-1]) & (own[1:] != 32) & (own[:-1] != 32) & (own[1:] != 0) & (own[:-1] != 0)
+            wide = int(place.max(initial=0)) + 1
+            key = ((of[row[:-1]] * wide + place[:-1]) * 128 + own[:-1]) * 128 + own[1:]
+            key, first, n = np.unique(key[pair], return_index=True, return_counts=True)
+            at = np.flatnonzero(pair)[first]
+            text = lambda x: pa.array(ASCII[x], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[i] for i in of[row[at]]], pa.string()), pa.array(col[at], pa.int32()), text(letter[at]), text(letter[at + 1]), text(key // 128 % 128), text(key % 128), pa.array(n, pa.int64())],
+                ["msa_id", "col", "letter", "right", "hl", "hr", "n"],
+            )
+
+    own = beside(counted(rows, include_reference), kept).select(F.col("msa_id").cast("string").alias("msa_id"), "seq", "cols", "letters")
+    pairs = own.mapInArrow(duos, "msa_id string, col int, letter string, right string, hl string, hr string, n long")
+    pairs = pairs.groupBy("msa_id", "col", "letter", "right", "hl", "hr").agg(F.sum("n").alias("n"))
     known = lambda c: F.when(F.instr(F.lit(alphabet.LETTERS), F.col(c)) > 0, F.col(c)).otherwise("N")
     by = alphabet.scores_by_observed(rows.sparkSession)
     pairs = pairs.withColumn("kl", known("hl")).withColumn("kr", known("hr"))
@@ -138,30 +210,33 @@ def divergence(rows: DataFrame, against: DataFrame) -> DataFrame:
 
     Columns whose letter is a gap and blanks are passed over. Of a CpG site's two transitions together count one, one alone a
     tenth; `ti_adjusted` is kept in tenths and divided once."""
-    line = lines(against.select("msa_id", "col", F.upper("letter").alias("letter")))
-    own = rows.where(~F.col("is_reference")).join(line, F.col("msa_id") == F.col("of"), "left").select("msa_id", "row_idx", "line", F.split(F.upper("seq"), "").alias("own"))
-    pair = lambda x: F.struct(x["letter"].alias("c"), F.get("own", x["col"]).alias("o"))
-    own = own.select("msa_id", "row_idx", F.filter(F.transform("line", pair), lambda x: (x["c"] != "-") & (x["o"] != " ") & (x["o"] != "")).alias("pairs"))
-
-    def kinds(x: Column) -> Column:
-        well = F.instr(F.lit("ACGT"), x["c"]).cast("boolean") & F.instr(F.lit("ACGT"), x["o"]).cast("boolean")
-        ti = F.concat(x["c"], x["o"]).isin("AG", "GA", "CT", "TC")
-        return F.struct(x["c"].alias("c"), ti.cast("int").alias("ti"), (well & ~ti & (x["c"] != x["o"])).cast("int").alias("tv"), well.cast("int").alias("well"))
-
-    own = own.select("msa_id", "row_idx", F.transform("pairs", kinds).alias("kinds"))
-
-    def tenths(x: Column, i: Column) -> Column:
-        before, after = F.get("kinds", i - 1), F.get("kinds", i + 1)
-        site = F.coalesce(before["c"] == "C", F.lit(False)) & (x["c"] == "G")
-        both = before["ti"] + x["ti"]
-        value = F.when(site, F.when(both == 2, 10).when(both == 1, 1).otherwise(0)).when((x["c"] == "C") & F.coalesce(after["c"] == "G", F.lit(False)), 0).otherwise(10 * x["ti"])
-        return F.struct(x["ti"].alias("ti"), x["tv"].alias("tv"), x["well"].alias("well"), value.alias("tenths"), site.cast("int").alias("cpg_sites"))
-
-    names = ("ti", "tv", "well", "tenths", "cpg_sites")
-    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in names])
-    own = own.select("msa_id", "row_idx", F.transform("kinds", tenths).alias("kinds"))
-    own = own.select("msa_id", "row_idx", F.coalesce(F.aggregate("kinds", none, lambda s, x: F.struct(*[(s[c] + x[c]).alias(c) for c in names])), none).alias("s"))
-    sums = own.select("msa_id", "row_idx", *[F.col(f"s.{c}").alias(c) for c in names])
+    names = ["ti", "tv", "well", "tenths", "cpg_sites"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        code = np.full(256, 9, np.int8)
+        code[[65, 67, 71, 84]] = range(4)
+        for batch in batches:
+            row, _, _, cons, own = matched(batch)
+            kept = (cons != 45) & (own != 32) & (own != 0)
+            row, cons, own = row[kept], cons[kept], own[kept]
+            a, b = code[cons], code[own]
+            well = (a < 4) & (b < 4)
+            ti = (well & (a ^ b == 2)).astype(np.int64)
+            tv = well & (a != b) & (ti == 0)
+            site = np.zeros(len(row), bool)
+            site[1:] = (row[1:] == row[:-1]) & (cons[:-1] == 67) & (cons[1:] == 71)
+            both = ti.copy()
+            both[1:] += ti[:-1]
+            opens = np.append(site[1:], False)[: len(row)]
+            tenths = np.where(site, np.array([0, 1, 10])[both], np.where(opens, 0, 10 * ti))
+            sums = [np.bincount(row, weights=x, minlength=batch.num_rows).astype(np.int64) for x in (ti, tv, well, tenths, site)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, sums)], ["msa_id", "row_idx", *names])
+
+    own = beside(rows.where(~F.col("is_reference")), against, "left").select("msa_id", "row_idx", "seq", F.coalesce("cols", F.array().cast("array<int>")).alias("cols"), F.coalesce("letters", F.lit("")).alias("letters"))
+    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("msa_id", "row_idx"))
+    sums = own.mapInArrow(run, kinds + ", " + ", ".join(f"{c} long" for c in names))
     adjusted = F.col("tenths") / 10
     return sums.select(
         "msa_id", "row_idx", "ti", "tv", adjusted.alias("ti_adjusted"), "well", "cpg_sites",
@@ -216,18 +291,21 @@ def maximal_segments(values: list[float], threshold: float = 0) -> list[tuple[in
 def low_quality_blocks(rows: DataFrame, threshold: int = 0) -> DataFrame:
     """msa_id, start, end and score of stretches where columns score badly."""
 
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("col")
-        found = maximal_segments([-int(s) for s in group["score"]], threshold)
-        at = group["col"].tolist()
-        return pd.DataFrame([(group["msa_id"].iloc[0], at[a], at[b], int(s)) for a, b, s in found], columns=["msa_id", "start", "end", "score"])
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(name, line[a]["col"], line[b]["col"], int(s)) for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b, s in maximal_segments([-x["score"] for x in line], threshold)]
+            cols = list(zip(*rows)) if rows else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["msa_id", "start", "end", "score"])
 
-    return column_scores(rows).groupBy("msa_id").applyInPandas(find, "msa_id string, start int, end int, score long")
+    line = column_scores(rows).groupBy("msa_id").agg(F.array_sort(F.collect_list(F.struct("col", "score"))).alias("line"))
+    return line.mapInArrow(run, "msa_id string, start int, end int, score long")
 
 
 def conservation(rows: DataFrame) -> DataFrame:
     """A star for columns whose letters all agree, else a blank; reference included."""
-    own = cells(rows).where(~F.col("base").isin("-", ".", " ")).groupBy("msa_id", "col").agg(F.count_distinct("base").alias("kinds"))
+    own = letter_counts(rows).where(~F.col("base").isin("-", ".")).groupBy("msa_id", "col").agg(F.count("*").alias("kinds"))
     return columns(rows).join(own, ["msa_id", "col"], "left").select("msa_id", "col", F.when(F.col("kinds") == 1, "*").otherwise(" ").alias("mark"))
 
 
