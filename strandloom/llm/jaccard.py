@@ -10,37 +10,47 @@ but one, is done. What remains of the others is an overlap join with the fixed t
 
 The boundary is where the subsets that light nodes file and the list entries that heavy nodes scan cost least together, from
 the counts of the data at hand. Entries under one key are linked to the least of them, not with each other, and the components
-of these links are families: linked nodes are always of one family. Within a family every two nodes are compared on their whole
-sets, in blocks of at most `BLOCK` nodes, two blocks to a task; a task emits a spanning forest of the links it finds.
+of these links are families: linked nodes are always of one family.
+
+Nodes of a family are compared on their whole sets. A family of at most `BLOCK` nodes is one task. A larger one is first compared
+with `CENTRES` of its nodes, then with the few that these have most links with, each time in blocks of `BLOCK` nodes beside the centres: so
+a group of near copies falls into one cluster at the cost of its size. Only where several clusters remain, the nodes outside the largest
+are compared with all others, in blocks of nodes of like sizes (a link's sets differ in size by no more than the threshold), two blocks to a task.
+Every task emits a spanning forest of the links it finds.
 
 Counting a shingle's nodes takes postings packed by ranges of hash values, a few bytes each, so that a corpus of any size is
-counted in ranges of bounded size.
+counted in ranges of bounded size. A shingle that `HOT` nodes of one task have is known to be frequent there and then: its postings
+don't meet in its range, which only gets its name, but go on spread evenly; the order takes all counts from `HOT` on as equal.
 
-Shingles are 64-bit hashes (48 bits where only candidates depend on them) and sets are named by a 64-bit hash, so wrong results
-have a chance of about nodes ** 2 / 2 ** 65. Null and empty texts and texts without words have no shingles and link with
-nothing. Rows are told apart by their sets alone: doc_id may repeat or be null; a component's id is the least doc_id in it, null if
-there is none. Extra columns pass through `join_groups`.
+Shingles are 64-bit hashes (48 bits where only candidates depend on them) and sets are named by a 128-bit hash. Null and empty texts and texts
+without words have no shingles and link with nothing. Rows are told apart by their sets alone: doc_id may repeat or be null; a component's id
+is the least doc_id in it, null if there is none. Only doc_id and the text are read; other columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, written
+from .common import checkpoint, columns, fresh, written
 from .components import components
 from .shingles import digest, sets
 
 WIDTH, PERCENT = 3, 90
 SHARED = 2
-#: Postings of a range of hash values, about; postings after which a task hands on what it has.
-RANGE, FLUSH = 3_000_000, 3_000_000
-BLOCK = 512
-#: Bits of the filter that finds the texts of a family's nodes again.
-FILTER_BITS = 20
+#: Postings of a range of hash values, about; postings after which a task hands on what it has; ranges at most (from 1 << 35 postings on ranges grow, and are counted by parts).
+RANGE, FLUSH, RANGES = 1_000_000, 1_000_000, 1 << 15
+#: Nodes of one task with a shingle that make it a frequent one.
+HOT = 1024
+BLOCK, CENTRES, FOLLOWED = 512, 64, 8
+#: Bits of the filter that finds the texts of families' nodes again: eight for each node within these bounds (8 MB at most are broadcast).
+FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 26
 KEPT = 48
+PLAIN, NAMES, SPREAD = range(3)
 
 
 def slack(n, percent: int = PERCENT):
@@ -64,16 +74,30 @@ def described(docs: DataFrame, width: int = WIDTH, text: str = "text") -> DataFr
             for own in sets(batch.column(2), width):
                 n.append(len(own))
                 node.append(digest(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "name", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary())], ["doc_id", "name", "n_shingles", "node"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), named(text).alias("name"), F.col(text).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, name long, n_shingles long, node long")
+    return own.mapInArrow(run, "doc_id long, name long, n_shingles long, node binary")
+
+
+def pack(kind: int, token, of, names, cuts) -> bytes:
+    """Postings sorted by token, `of` numbering their nodes among names and cuts."""
+    gaps = np.diff(token)
+    wide = np.uint32 if not len(gaps) or gaps.max() < 1 << 32 else np.uint64
+    here, at = np.unique(of, return_inverse=True)
+    small = np.uint16 if len(here) < 1 << 16 else np.uint32
+    head = np.array([kind, len(here), len(token), small().itemsize, wide().itemsize], np.int64)
+    return b"".join(x.tobytes() for x in (head, names[here], cuts[here], token[:1], gaps.astype(wide), at.astype(small)))
 
 
 def postings(docs: DataFrame, width: int, percent: int, ranges: int, text: str) -> DataFrame:
-    """part, blob: shingles of the range `part` with the nodes that have them, sorted by shingle."""
+    """part, blob: shingles of the range `part` with the nodes that have them, sorted by shingle.
+
+    Postings of frequent shingles go to parts from `ranges` on, dealt by their task, and the shingles' names to their range."""
 
     def flush(tokens, names, cuts):
+        import uuid
+
         import pyarrow as pa
 
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -82,24 +106,26 @@ def postings(docs: DataFrame, width: int, percent: int, ranges: int, text: str)
         order = np.argsort(token, kind="stable")
         token, of = token[order], of[order]
         del order
-        part = ((token >> np.uint64(KEPT - 32)) * np.uint64(ranges)) >> np.uint64(32)
-        edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-        del part
-        names, cuts = np.array(names, np.int64), np.array(cuts, np.int32)
+        names, cuts = np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2), np.array(cuts, np.int32)
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        counts = np.diff(np.append(starts, len(token)))
         parts, blobs = [], []
-        for r in range(ranges):
-            a, b = edges[r], edges[r + 1]
-            if a == b:
-                continue
-            own = token[a:b]
-            gaps = np.diff(own)
-            wide = np.uint32 if not len(gaps) or gaps.max() < 1 << 32 else np.uint64
-            here, at = np.unique(of[a:b], return_inverse=True)
-            small = np.uint16 if len(here) < 1 << 16 else np.uint32
-            head = np.array([len(here), b - a, small().itemsize, wide().itemsize], np.int64)
-            blobs.append(b"".join(x.tobytes() for x in (head, names[here], cuts[here], own[:1], gaps.astype(wide), at.astype(small))))
-            parts.append(r)
-        return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        if (counts >= HOT).any():
+            frequent, often = token[starts[counts >= HOT]], np.repeat(counts >= HOT, counts)
+            parts.append(ranges + uuid.uuid4().int % ranges)
+            blobs.append(pack(SPREAD, token[often], of[often], names, cuts))
+            for r in np.unique(range_of(frequent, ranges)):
+                own = frequent[range_of(frequent, ranges) == r]
+                parts.append(int(r))
+                blobs.append(np.array([NAMES, len(own)], np.int64).tobytes() + own.tobytes())
+            token, of = token[~often], of[~often]
+        part = range_of(token, ranges)
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            parts.append(int(part[a]))
+            blobs.append(pack(PLAIN, token[a:b], of[a:b], names, cuts))
+        for at in range(0, len(parts), 256):
+            yield pa.RecordBatch.from_pydict({"part": pa.array(parts[at : at + 256], pa.int32()), "blob": pa.array(blobs[at : at + 256], pa.binary())})
 
     def run(batches):
         tokens, names, cuts, size, seen = [], [], [], 0, set()
@@ -117,81 +143,143 @@ def postings(docs: DataFrame, width: int, percent: int, ranges: int, text: str)
                 cuts.append(slack(len(own), percent) + SHARED - len(kept))
                 size += len(kept)
                 if size >= FLUSH:
-                    yield flush(tokens, names, cuts)
+                    yield from flush(tokens, names, cuts)
                     tokens, names, cuts, size, seen = [], [], [], 0, set()
         if tokens:
-            yield flush(tokens, names, cuts)
+            yield from flush(tokens, names, cuts)
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "part int, blob binary")
 
 
-def unpacked(blob: bytes):
-    """token, node and cut of every posting."""
-    names_n, n, small, wide = np.frombuffer(blob, np.int64, 4)
-    at = 32
-    names = np.frombuffer(blob, np.int64, names_n, at)
-    cuts = np.frombuffer(blob, np.int32, names_n, at := at + 8 * names_n)
-    first = np.frombuffer(blob, np.uint64, 1, at := at + 4 * names_n)
-    gaps = np.frombuffer(blob, np.uint32 if wide == 4 else np.uint64, n - 1, at := at + 8)
-    of = np.frombuffer(blob, np.uint16 if small == 2 else np.uint32, n, at + wide * (n - 1))
-    return np.cumsum(np.concatenate([first, gaps.astype(np.uint64)]), dtype=np.uint64), names[of], cuts[of]
+def range_of(token: np.ndarray, ranges: int) -> np.ndarray:
+    """Ranges of hash values, of equal widths."""
+    return ((token >> np.uint64(KEPT - 32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+class Postings:
+    """A blob of postings, read by stretches of tokens."""
+
+    def __init__(self, blob: bytes):
+        self.kind, names_n, n, small, wide = np.frombuffer(blob, np.int64, 5)
+        at = 40
+        self.names = np.frombuffer(blob, np.uint64, 2 * names_n, at).reshape(-1, 2)
+        self.cuts = np.frombuffer(blob, np.int32, names_n, at := at + 16 * names_n)
+        self.first = np.frombuffer(blob, np.uint64, 1, at := at + 4 * names_n)
+        self.gaps = np.frombuffer(blob, np.uint32 if wide == 4 else np.uint64, n - 1, at := at + 8)
+        self.of = np.frombuffer(blob, np.uint16 if small == 2 else np.uint32, n, at + wide * (n - 1))
+
+    def tokens(self) -> np.ndarray:
+        return np.cumsum(np.concatenate([self.first, self.gaps.astype(np.uint64)]), dtype=np.uint64)
+
+    def between(self, low: int, high: int):
+        """token, names and cuts of the postings of tokens from low up to high."""
+        token = self.tokens()
+        a, b = np.searchsorted(token, np.array([low, high], np.uint64)) if high < 1 << KEPT else (np.searchsorted(token, np.uint64(low)), len(token))
+        return token[a:b].copy(), self.names[self.of[a:b]], self.cuts[self.of[a:b]]
+
+
+def numbered(names: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal names, in the names' order."""
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    own = names[order]
+    new = np.ones(len(own), np.int64)
+    new[0] = 0
+    new[1:] = (own[1:] != own[:-1]).any(1)
+    out = np.empty(len(own), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
 def shared_of(buckets: int):
-    """Of a range's postings those of shingles with several nodes, by buckets of nodes."""
+    """Of a range's postings those of shingles with several nodes, by buckets of nodes; of frequent shingles' all."""
+
+    def kept(token, names, cut, count):
+        """Rows of the postings, by buckets."""
+        bucket = (names[:, 0] >> np.uint64(7)) % np.uint64(buckets)
+        order = np.lexsort((names[:, 1], names[:, 0], bucket))
+        token, names, cut, count, bucket = token[order], names[order], cut[order], count[order], bucket[order]
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else [0]
+        for i, j in zip(edges[:-1], edges[1:]):
+            own = names[i:j]
+            starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(1)]))
+            sizes = np.diff(np.append(starts, j - i)).astype(np.uint32)
+            short = token[i:j].view(np.uint8).reshape(-1, 8)[:, : KEPT // 8]
+            yield int(bucket[i]), b"".join(x.tobytes() for x in (np.array([len(starts), j - i], np.int64), own[starts], cut[i:j][starts], sizes, count[i:j], np.ascontiguousarray(short)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpacked(b) for b in group["blob"]]
-        token, node, cut = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((node, token))
-        token, node, cut = token[order], node[order], cut[order]
-        new = np.ones(len(token), bool)  # a node that several tasks saw counts once
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, cut = token[new], node[new], cut[new]
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        count = np.diff(np.append(starts, len(token)))
-        count = np.repeat(count, count)
-        several = count > 1
-        token, node, cut, count = token[several], node[several], cut[several], np.minimum(count[several], 65535).astype(np.uint16)
-        bucket = (node.astype(np.uint64) >> np.uint64(7)) % np.uint64(buckets)
-        order = np.lexsort((node, bucket))
-        token, node, cut, count, bucket = token[order], node[order], cut[order], count[order], bucket[order]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        kinds = [np.frombuffer(b, np.int64, 1)[0] for b in group["blob"]]
+        frequent = [np.frombuffer(b, np.uint64, offset=16) for k, b in zip(kinds, group["blob"]) if k == NAMES]
+        frequent = np.unique(np.concatenate(frequent)) if frequent else np.zeros(0, np.uint64)
+        own = [Postings(b) for k, b in zip(kinds, group["blob"]) if k != NAMES]
+        spread = any(k == SPREAD for k in kinds)
+        total = sum(len(p.of) for p in own)
+        parts = 1 if spread else max(1, total // (2 * RANGE))
         rows = []
-        for b in range(buckets):
-            i, j = edges[b], edges[b + 1]
-            if i == j:
+        if spread:  # one task's postings at a time
+            for p in own:
+                token, names, cut = p.between(0, 1 << KEPT)
+                rows += kept(token, names, cut, np.full(len(token), HOT, np.uint16))
+            return pd.DataFrame(rows, columns=["bucket", "blob"])
+        edges = [0, 1 << KEPT]
+        if parts > 1:  # stretches of about as many postings each
+            cuts = np.sort(np.concatenate([p.tokens()[:: max(1, len(p.of) // 64)] for p in own]))
+            edges = [0, *np.unique(cuts[np.linspace(0, len(cuts) - 1, parts + 1).astype(int)[1:-1]]).tolist(), 1 << KEPT]
+        for low, high in zip(edges, edges[1:]):
+            pieces = [x for x in (p.between(low, high) for p in own) if len(x[0])]
+            if not pieces:
                 continue
-            own = node[i:j]
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            sizes = np.diff(np.append(starts, j - i)).astype(np.uint32)
-            short = token[i:j].view(np.uint8).reshape(-1, 8)[:, : KEPT // 8]
-            rows.append((b, b"".join(x.tobytes() for x in (np.array([len(starts), j - i], np.int64), own[starts], cut[i:j][starts], sizes, count[i:j], np.ascontiguousarray(short)))))
+            token, names, cut = (np.concatenate([p[i] for p in pieces]) for i in range(3))
+            del pieces
+            node = numbered(names)
+            order = np.lexsort((node, token))
+            token, node, names, cut = token[order], node[order], names[order], cut[order]
+            new = np.ones(len(token), bool)  # a node that several tasks saw counts once
+            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            token, names, cut = token[new], names[new], cut[new]
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            size = np.diff(np.append(starts, len(token)))
+            size[np.isin(token[starts], frequent)] = HOT
+            count = np.repeat(np.minimum(size, HOT), np.diff(np.append(starts, len(token)))).astype(np.uint16)
+            several = count > 1
+            rows += kept(token[several], names[several], cut[several], count[several])
         return pd.DataFrame(rows, columns=["bucket", "blob"])
 
     return run
 
 
 def first_shared(group: pd.DataFrame) -> pd.DataFrame:
-    """node, m and tokens: the shared ones among each node's first shingles, if two or more."""
-    tokens, nodes, cuts, counts = [], [], [], []
+    """node, m and tokens: the shared ones among each node's first shingles, if two or more. Nodes of a large bucket are taken by parts of them."""
+    read = []
     for blob in group["blob"]:
         names_n, n = np.frombuffer(blob, np.int64, 2)
-        names = np.frombuffer(blob, np.int64, names_n, 16)
-        cut = np.frombuffer(blob, np.int32, names_n, at := 16 + 8 * names_n)
+        names = np.frombuffer(blob, np.uint64, 2 * names_n, 16).reshape(-1, 2)
+        cut = np.frombuffer(blob, np.int32, names_n, at := 16 + 16 * names_n)
         sizes = np.frombuffer(blob, np.uint32, names_n, at := at + 4 * names_n)
-        counts.append(np.frombuffer(blob, np.uint16, n, at := at + 4 * names_n))
-        full = np.zeros((n, 8), np.uint8)
-        full[:, : KEPT // 8] = np.frombuffer(blob, np.uint8, n * (KEPT // 8), at + 2 * n).reshape(-1, KEPT // 8)
-        tokens.append(full.view(np.uint64).ravel())
-        nodes.append(np.repeat(names, sizes))
-        cuts.append(np.repeat(cut, sizes))
-    token, node, cut, count = map(np.concatenate, (tokens, nodes, cuts, counts))
-    order = np.lexsort((token, count, node))
-    token, node, cut = token[order], node[order], cut[order]
-    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    m = cut[starts] + np.diff(np.append(starts, len(node)))
-    rows = [(node[s], k, token[s : s + k].astype(np.int64)) for s, k in zip(starts, m.tolist()) if k >= SHARED]
+        count = np.frombuffer(blob, np.uint16, n, at := at + 4 * names_n)
+        read.append((names, cut, sizes, count, np.frombuffer(blob, np.uint8, n * (KEPT // 8), at + 2 * n).reshape(-1, KEPT // 8)))
+    parts = max(1, sum(len(r[3]) for r in read) // (2 * RANGE))
+    rows = []
+    for part in range(parts):
+        pieces = []
+        for names, cut, sizes, count, short in read:
+            mine = names[:, 1] % np.uint64(parts) == part
+            each = np.repeat(mine, sizes)
+            full = np.zeros((int(each.sum()), 8), np.uint8)
+            full[:, : KEPT // 8] = short[each]
+            pieces.append((full.view(np.uint64).ravel(), np.repeat(names[mine], sizes[mine], 0), np.repeat(cut[mine], sizes[mine]), count[each]))
+        token, names, cut, count = (np.concatenate([p[i] for p in pieces]) for i in range(4))
+        del pieces
+        if not len(token):
+            continue
+        node = numbered(names)
+        order = np.lexsort((token, count, node))
+        token, node, names, cut = token[order], node[order], names[order], cut[order]
+        new = np.ones(len(token), bool)  # several tasks may have sent a frequent shingle of one node
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node, names, cut = token[new], node[new], names[new], cut[new]
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        m = cut[starts] + np.diff(np.append(starts, len(node)))
+        rows += [(names[s].tobytes(), k, token[s : s + k].astype(np.int64)) for s, k in zip(starts, m.tolist()) if k >= SHARED]
     return pd.DataFrame(rows, columns=["node", "m", "tokens"])
 
 
@@ -209,9 +297,9 @@ def boundary(sizes: dict[int, int], length: float) -> int:
 
 def families(docs: DataFrame, total: int, width: int, percent: int, text: str) -> DataFrame:
     """node, component: nodes that may link, by family."""
-    ranges = max(4, -(-total // RANGE))
+    ranges = min(max(4, -(-total // RANGE)), RANGES)
     blobs = postings(docs, width, percent, ranges, text).groupBy("part").applyInPandas(shared_of(ranges), "bucket int, blob binary")
-    first = checkpoint(blobs.groupBy("bucket").applyInPandas(first_shared, "node long, m int, tokens array<long>"))
+    first = checkpoint(blobs.groupBy("bucket").applyInPandas(first_shared, "node binary, m int, tokens array<long>"))
     lists = first.select("node", "m", F.explode("tokens").alias("key"))
     lengths = lists.groupBy("key").count().agg(F.avg("count")).head()[0] or 1.0
     at = boundary({r[0]: r[1] for r in first.groupBy("m").count().collect()}, lengths)
@@ -226,37 +314,139 @@ def families(docs: DataFrame, total: int, width: int, percent: int, text: str) -
     return components(links)
 
 
-def linked(group_sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the least index of a set that links lead to, among sets of one task."""
-    n = len(group_sets)
-    sizes = np.fromiter(map(len, group_sets), np.int64, n)
-    tokens, of = np.unique(np.concatenate(group_sets), return_inverse=True)
-    row = np.repeat(np.arange(n), sizes)
-    common = np.bincount(of, minlength=len(tokens)) > 1
-    renumber = np.cumsum(common) - 1
-    keep = common[of]
-    column, row = renumber[of[keep]], row[keep]
-    both = np.zeros((n, n), np.float32)  # counts stay below 2 ** 24 for each band of columns
-    total = np.zeros((n, n), np.int64)
-    width = min(max(1, (1 << 23) // n), max(1, int(common.sum())))
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    for start in range(0, int(common.sum()), width):
-        a, b = np.searchsorted(column, [start, start + width])
-        band = np.zeros((n, width), np.float32)
-        band[row[a:b], column[a:b] - start] = 1
-        np.matmul(band, band.T, out=both)
-        total += both.astype(np.int64)
-    near = 100 * total >= percent * (sizes[:, None] + sizes[None, :] - total)
-    root = np.full(n, -1)
-    for i in range(n):
-        if root[i] < 0:
-            root[i], waiting = i, [i]
-            while waiting:
-                new = np.flatnonzero(near[waiting.pop()] & (root < 0))
-                root[new] = i
-                waiting += new.tolist()
-    return root
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set on the left with every one on the right."""
+    columns, of = np.unique(np.concatenate(right), return_inverse=True)
+    r_row = np.repeat(np.arange(len(right)), [len(s) for s in right])
+    l_row = np.repeat(np.arange(len(left)), [len(s) for s in left])
+    token = np.concatenate(left)
+    at = np.minimum(np.searchsorted(columns, token), len(columns) - 1)
+    known = columns[at] == token
+    l_row, l_col = l_row[known], at[known]
+    # Only columns that both sides have; in bands, whose counts stay below 2 ** 24
+    both = np.unique(l_col)
+    l_col = np.searchsorted(both, l_col)
+    here = np.searchsorted(both, of)
+    kept = (here < len(both)) & (both[np.minimum(here, len(both) - 1)] == of) if len(both) else np.zeros(len(of), bool)
+    r_row, r_col = r_row[kept], here[kept]
+    lo, ro = np.argsort(l_col, kind="stable"), np.argsort(r_col, kind="stable")
+    l_row, l_col, r_row, r_col = l_row[lo], l_col[lo], r_row[ro], r_col[ro]
+    total = np.zeros((len(left), len(right)), np.int64)
+    width = max(1, (1 << 22) // max(len(left), len(right)))
+    for start in range(0, len(both), width):
+        a = np.zeros((len(left), min(width, len(both) - start)), np.float32)
+        b = np.zeros((len(right), a.shape[1]), np.float32)
+        i, j = np.searchsorted(l_col, [start, start + width])
+        a[l_row[i:j], l_col[i:j] - start] = 1
+        i, j = np.searchsorted(r_col, [start, start + width])
+        b[r_row[i:j], r_col[i:j] - start] = 1
+        total += (a @ b.T).astype(np.int64)
+    return total
+
+
+def near(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets on the left link with which on the right."""
+    both = common(left, right)
+    sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right)]
+    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (left, right) that connect all that a matrix of links connects."""
+    seen_left, seen_right, out = np.zeros(len(links), bool), np.zeros(links.shape[1], bool), []
+    for i in range(len(links)):
+        if seen_left[i]:
+            continue
+        seen_left[i], waiting = True, [(i, True)]
+        while waiting:
+            k, is_left = waiting.pop()
+            new = np.flatnonzero((links[k] & ~seen_right) if is_left else (links[:, k] & ~seen_left))
+            (seen_right if is_left else seen_left)[new] = True
+            out += [(k, int(x)) if is_left else (int(x), k) for x in new]
+            waiting += [(int(x), not is_left) for x in new]
+    return out
+
+
+def unpacked(column) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in column]
+
+
+LINKS = "a binary, b binary, degree int"
+
+
+def stars_of(percent: int):
+    """Links of a block's nodes with the centres beside it, and the block's nodes that have most of them (a null)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        centres, own = group[group["centre"]], group[~group["centre"]]
+        if not len(own) or not len(centres):
+            return pd.DataFrame([], columns=["a", "b", "degree"])
+        links = near(unpacked(own["set"]), unpacked(centres["set"]), percent)
+        node, centre = own["node"].to_numpy(), centres["node"].to_numpy()
+        rows = [(centre[c], node[i], 0) for i, c in forest(links) if centre[c] != node[i]]
+        degree = links.sum(1)
+        rows += [(None, node[i], int(degree[i])) for i in np.argsort(-degree, kind="stable")[:FOLLOWED] if degree[i]]
+        return pd.DataFrame(rows, columns=["a", "b", "degree"])
+
+    return run
+
+
+def beside(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """What stars_of finds in all blocks of members(component, members, node, set) with centres(component, node)."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = members.select("component", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "set", F.lit(False).alias("centre"))
+    chosen = members.join(centres.select(F.col("component").alias("of"), F.col("node").alias("centre")), (F.col("component") == F.col("of")) & (F.col("node") == F.col("centre")))
+    chosen = chosen.select("component", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", "set", F.lit(True).alias("centre"))
+    return own.unionByName(chosen).groupBy("component", "block").applyInPandas(stars_of(percent), LINKS)
+
+
+def first_of(df: DataFrame, n: int, *order) -> DataFrame:
+    """component and node of each family's first n; partitions hand on no more than n each."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy(*order))).where(F.col("place") <= n).select("component", "node")
+
+
+def large_links(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect what is linked in families of more than BLOCK nodes: members(component, members, node, set)."""
+    slim = members.select("component", "members", "node", (F.octet_length("set") / 8).cast("long").alias("n"))
+    one = checkpoint(beside(members, first_of(slim, CENTRES, F.xxhash64("node"), "node"), percent))
+    followed = one.where("a is null").join(slim.select("component", "node"), F.col("b") == F.col("node")).select("component", "node", "degree")
+    two = checkpoint(beside(members, first_of(followed, FOLLOWED, F.desc("degree"), "node"), percent))
+    found = one.unionByName(two).where("a is not null").select("a", "b")
+    clusters = components(found)
+    slim = checkpoint(slim.join(clusters.select(F.col("node").alias("of"), F.col("component").alias("cluster")), F.col("node") == F.col("of"), "left").select("component", "node", "n", F.coalesce("cluster", "node").alias("cluster")))
+    sizes = slim.groupBy("component", "cluster").count()
+    largest = sizes.groupBy("component").agg(F.max_by("cluster", F.struct("count", "cluster")).alias("largest"), F.count("*").alias("clusters")).where("clusters > 1")
+    # A link's sets are of one band of sizes or of neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.001 + 1e-6)).cast("int")
+    slim = slim.join(largest.select(F.col("component").alias("of"), "largest"), F.col("component") == F.col("of")).select("component", "node", band.alias("band"), (F.col("cluster") != F.col("largest")).alias("outside"))
+    counts = slim.groupBy("component", "band").agg(F.count("*").alias("all_"), F.count_if("outside").alias("out_")).select("component", "band", F.ceil(F.col("all_") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.col("out_") / BLOCK).cast("int").alias("out_blocks"))
+    counts = checkpoint(counts)
+    named = counts.select(F.col("component").alias("of"), F.col("band").alias("of_band"), "all_blocks", "out_blocks")
+    slim = slim.join(named, (F.col("component") == F.col("of")) & (F.col("band") == F.col("of_band"))).drop("of", "of_band")
+    rows = slim.join(members.select(F.col("node").alias("of"), "set"), F.col("node") == F.col("of")).drop("of")
+    side = lambda df, salt, blocks: df.withColumn(salt, F.pmod(F.xxhash64("node"), F.greatest(F.col(blocks), F.lit(1))).cast("int"))
+    other = lambda blocks: counts.select(F.col("component").alias("of"), F.col("band").alias("other"), F.col(blocks).alias("others")).where("others > 0")
+    key = F.col("component") == F.col("of")
+
+    def spread(df: DataFrame, blocks: str) -> DataFrame:
+        """Rows once for each block of their family's other side, in their band and the neighbouring ones."""
+        met = df.withColumn("other", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumnRenamed("other", "met")
+        met = met.join(other(blocks), key & (F.col("met") == F.col("other"))).drop("of", "other")
+        return met.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+
+    out = spread(side(rows.where("outside"), "salt", "out_blocks"), "all_blocks").select("component", F.col("band").alias("out_band"), F.col("salt").alias("out_block"), F.col("met").alias("all_band"), F.col("theirs").alias("all_block"), "node", "set", F.lit(True).alias("left"))
+    all_ = spread(side(rows, "salt", "all_blocks"), "out_blocks").select("component", F.col("met").alias("out_band"), F.col("theirs").alias("out_block"), F.col("band").alias("all_band"), F.col("salt").alias("all_block"), "node", "set", F.lit(False).alias("left"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["left"]], group[~group["left"]]
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=["a", "b"])
+        a, b = left["node"].to_numpy(), right["node"].to_numpy()
+        links = near(unpacked(left["set"]), unpacked(right["set"]), percent)
+        return pd.DataFrame([(a[i], b[j]) for i, j in forest(links) if a[i] != b[j]], columns=["a", "b"])
+
+    rest = out.unionByName(all_).groupBy("component", "out_band", "out_block", "all_band", "all_block").applyInPandas(compare, "a binary, b binary")
+    return found.unionByName(rest)
 
 
 def links(docs: DataFrame, rows: DataFrame, total: int, width: int, percent: int, text: str) -> DataFrame:
@@ -265,43 +455,44 @@ def links(docs: DataFrame, rows: DataFrame, total: int, width: int, percent: int
     family = families(docs, total, width, percent, text)
     sizes = family.groupBy("component").agg(F.count("*").alias("members"))
     family = checkpoint(family.join(sizes, "component"))
-    # The texts of the nodes: one row of each, found by a filter of fixed size on its doc_id and then by its node
+    # The texts of the nodes: one row of each, found by a filter on its doc_id and then by its node
     key = F.coalesce("doc_id", F.lit(-1))
     chosen = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("chosen")).join(family, "node")
     chosen = checkpoint(chosen)
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).cast("int")
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[chosen.select(bit("chosen").alias("bit")).distinct().toPandas()["bit"].to_numpy(int)] = True
-    known = spark.sparkContext.broadcast(np.packbits(bits))
+    size = 1 << min(max(8 * chosen.count(), FEWEST_BITS), MOST_BITS).bit_length() - 1
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    spelt = chosen.select(bit("chosen").alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 31)")).alias("mask")).toPandas()
+    bits = np.zeros(size // 32, np.uint32)
+    bits[spelt["word"].to_numpy(int)] = spelt["mask"].to_numpy(np.int64).astype(np.uint32)
+    known = spark.sparkContext.broadcast(bits)
 
     def run(batches):
         import pyarrow as pa
 
-        at = np.unpackbits(known.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(at[batch.column(2).to_numpy(zero_copy_only=False)]))
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((known.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
             found = [(k, digest(own), own.tobytes()) for k, own in zip(batch.column(0).to_pylist(), sets(batch.column(1), width)) if len(own)]
-            yield pa.RecordBatch.from_pydict({"key": pa.array([f[0] for f in found], pa.int64()), "name": pa.array([f[1] for f in found], pa.int64()), "set": pa.array([f[2] for f in found], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array([f[0] for f in found], pa.int64()), "name": pa.array([f[1] for f in found], pa.binary()), "set": pa.array([f[2] for f in found], pa.binary())})
 
     again = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", "text", bit("doc_id").alias("bit"))
-    again = again.mapInArrow(run, "key long, name long, set binary")
-    members = again.join(chosen, (F.col("name") == F.col("node")) & (F.col("key") == F.col("chosen"))).select("component", "members", "node", "set")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    members = members.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    again = again.mapInArrow(run, "key long, name binary, set binary")
+    members = again.join(chosen, (F.col("name") == F.col("node")) & (F.col("key") == F.col("chosen"))).select("component", "members", "node", "set").dropDuplicates(["node"])
+    members = written(members)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        node = group["node"].to_numpy()
-        root = linked([np.frombuffer(s, np.uint64) for s in group["set"]], percent)
-        other = root != np.arange(len(root))
-        return pd.DataFrame({"a": node[root[other]], "b": node[other]})
+        node, own = group["node"].to_numpy(), unpacked(group["set"])
+        return pd.DataFrame([(node[i], node[j]) for i, j in forest(near(own, own, percent)) if i != j], columns=["a", "b"])
 
-    return members.groupBy("component", "low", "high").applyInPandas(compare, "a long, b long")
+    found = members.where(F.col("members") <= BLOCK).groupBy("component").applyInPandas(compare, "a binary, b binary")
+    large = members.where(F.col("members") > BLOCK)
+    return found if large.isEmpty() else found.unionByName(large_links(large, percent))
 
 
 def grouped_rows(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
     """doc_id, name, n_shingles and component_id of every row."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent is over 50 and at most 100: below, sets may link on one shingle alone")
     rows = checkpoint(described(docs, width, text))
     total = rows.agg(F.sum("n_shingles")).head()[0] or 0
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -323,5 +514,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str =
 
     Rows with null doc_id stay unless their group has another row with one. Rows of one doc_id and different texts go each with its own group; of rows alike in both all stay or go."""
     groups = grouped_rows(docs.select("doc_id", text), width, percent, text)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("name").alias("gone_name")).distinct()
-    return docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (named(text) == F.col("gone_name")), "left_anti")
+    gone_id, gone_name = fresh(docs, "gone_id", "gone_name")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone_id), F.col("name").alias(gone_name)).distinct()
+    kept = docs.join(written(gone), F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (named(text) == F.col(gone_name)), "left_anti")
+    return kept.select(*columns(docs))

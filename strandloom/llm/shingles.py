@@ -35,11 +35,31 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 LETTER = stream(1, 256)
-PLACES = stream(2, 64)
+#: A letter's multiplier is that of its place in a stretch of a word times that of the stretch.
+STRETCH = 1 << 12
+PLACES, STRETCHES = stream(2, STRETCH), stream(4, 1)
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some bytes, and where each begins."""
+    """Hashes of the words of some bytes, and where each begins. Long texts are taken by pieces that end at white space, so the work space is about that of PART bytes or of the longest word."""
+    if len(data) <= 2 * PART:
+        return piece_words(data)
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + PART, len(data))
+        while end < len(data):  # on to the next white space
+            space = np.flatnonzero(SPACE[data[end : end + PART]])
+            end += int(space[0]) if len(space) else min(PART, len(data) - end)
+            if len(space):
+                break
+        hashes, starts = piece_words(data[at:end])
+        found.append((hashes, starts + at))
+        at = end
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def piece_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, of bytes taken at once."""
     inside = ~SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -47,11 +67,13 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, U), starts
     at = np.flatnonzero(inside)
-    global PLACES
+    global STRETCHES
     place = at - np.repeat(starts, np.diff(np.append(np.searchsorted(at, starts), len(at))))
-    if (longest := int(place.max())) >= len(PLACES):
-        PLACES = stream(2, 2 * longest)
-    values = LETTER[FOLD[data[at]]] * PLACES[place]
+    values = LETTER[FOLD[data[at]]] * PLACES[place % STRETCH]
+    if (stretch := int(place.max()) // STRETCH) > 0:
+        if stretch >= len(STRETCHES):
+            STRETCHES = stream(4, 2 * stretch)
+        values *= np.where(place < STRETCH, U(1), STRETCHES[place // STRETCH])
     return mixed(np.add.reduceat(values, np.searchsorted(at, starts))), starts
 
 
@@ -95,8 +117,8 @@ def sets(column: pa.Array, width: int):
         row = end
 
 
-def digest(own: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
+def digest(own: np.ndarray) -> bytes:
+    """A 128-bit name of a set."""
     import xxhash
 
-    return int(np.array(xxhash.xxh3_64_intdigest(own.tobytes()), U).astype(np.int64))
+    return xxhash.xxh3_128_digest(own.tobytes())

@@ -104,3 +104,107 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
     got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     gone = [(None, text("a")), (3, text("d"))]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in rows if r not in gone)
+
+
+def inverted_brute(rows, width=3, percent=90):
+    """As brute, comparing only rows that share a shingle which few have, besides those of equal sets and of few shingles."""
+    sets = [frozenset(word_sets(t, width)) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    distinct = {}
+    for i, s in enumerate(sets):
+        if s:
+            root[find(i)] = find(distinct.setdefault(s, i))
+    nodes = sorted(distinct.values())
+    for a, i in enumerate(nodes):
+        for j in nodes[:a]:
+            x, y = sets[i], sets[j]
+            if find(i) != find(j) and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, *_) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: least[find(i)] for i, (d, *_) in enumerate(rows)}
+
+
+def test_large_families(spark):
+    """A shingle that all documents share, near copies of one document, a long chain of candidates that don't link, and one of those that do."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    origin = [word() for _ in range(120)]
+    texts = ["one two three " + " ".join(origin)]
+    for _ in range(699):  # each near the origin, most not near each other
+        own = list(origin)
+        for _ in range(rng.choice([1, 2])):
+            own[rng.randrange(len(own))] = word()
+        texts.append("one two three " + " ".join(own))
+    chain = [word() for _ in range(8 * 700)]
+    texts += ["one two three " + " ".join(chain[8 * i : 8 * i + 13]) for i in range(690)]
+    step = [word() for _ in range(60)]
+    for i in range(150):
+        step[i % 60] = word()
+        if i % 2 == 0:
+            texts.append("one two three " + " ".join(step))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.join_groups(df).collect()}
+    want = inverted_brute(rows)
+    assert got == want and len({want[i] for i in range(700)}) == 1 and len({want[i] for i in range(700, 1390)}) == 690
+
+
+def test_frequent_shingles_and_parts_change_nothing(monkeypatch):
+    """Postings by ranges, as one task has them or as several with frequent shingles apart, and read by parts."""
+    rng = np.random.default_rng(5)
+    names = rng.integers(0, 1 << 63, (300, 2)).astype(np.uint64)
+    common = np.sort(rng.integers(0, 1 << jaccard.KEPT, 3)).astype(np.uint64)
+    pool = rng.integers(0, 1 << jaccard.KEPT, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.choice(pool, 12)])) for _ in names]
+
+    def first(parts, hot):
+        import pandas as pd
+
+        blobs = []
+        for chosen in parts:
+            token = np.concatenate([sets[i] for i in chosen])
+            of = np.repeat(np.arange(len(chosen)), [len(sets[i]) for i in chosen])
+            order = np.argsort(token, kind="stable")
+            token, of = token[order], of[order]
+            cuts = np.array([jaccard.slack(len(sets[i]), 60) + jaccard.SHARED - len(sets[i]) for i in chosen], np.int32)
+            spread = np.isin(token, common) if hot else np.zeros(len(token), bool)
+            if hot:
+                blobs += [(1, jaccard.pack(jaccard.SPREAD, token[spread], of[spread], names[chosen], cuts)), (0, np.array([jaccard.NAMES, len(common)], np.int64).tobytes() + common.tobytes())]
+            blobs.append((0, jaccard.pack(jaccard.PLAIN, token[~spread], of[~spread], names[chosen], cuts)))
+        out = [jaccard.shared_of(2)(pd.DataFrame({"blob": [b for p, b in blobs if p == part]})) for part in (0, 1) if any(p == part for p, _ in blobs)]
+        rows = pd.concat(out)
+        found = pd.concat([jaccard.first_shared(g) for _, g in rows.groupby("bucket")])
+        return sorted((r.node, r.m, tuple(r.tokens)) for r in found.itertuples())
+
+    everyone = list(range(len(names)))
+    monkeypatch.setattr(jaccard, "HOT", 200)
+    want = first([everyone], False)
+    halves = [everyone[:180], everyone[120:]]  # some nodes are in both
+    assert first(halves, False) == want and first(halves, True) == want and len(want) > 200
+    monkeypatch.setattr(jaccard, "RANGE", 40)
+    assert first([everyone], False) == want and first(halves, True) == want
+
+
+def test_thresholds_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "q", "z")], "doc_id long, text string, gone_id string")
+    with pytest.raises(ValueError):
+        jaccard.join_groups(df, percent=50)
+    assert sorted(map(tuple, jaccard.one_of_each(df).collect())) == [(1, "a b c d e f", "x"), (3, "q", "z")]
+
+
+def test_long_texts_are_taken_by_pieces(monkeypatch):
+    text = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000)) + " " + "v" * 9000 + " end of it"
+    whole = list(shingles.sets(pa.array([text, "a b"]), 3))
+    monkeypatch.setattr(shingles, "PART", 1 << 10)
+    parts = list(shingles.sets(pa.array([text, "a b"]), 3))
+    assert all((a == b).all() for a, b in zip(whole, parts)) and len(whole[0]) == len(word_sets(text))
