@@ -2,14 +2,15 @@
 
 Components are taken as floor(256 * x). Candidates are dealt by descending length into blocks. Both sides are rotated by the
 eigenvectors of the candidates' Gram matrix (the right singular vectors of the whole table), so that the leading coordinates
-carry most of a product. In a block a query stops where the product of lengths cannot reach the k-th best score it has; of the
-candidates before that, those are scored whose product over the leading coordinates, plus the product of the lengths of what
-remains (Cauchy-Schwarz), can reach it. Scores are sums of integers; bounds allow for the rounding of doubles. Every query
-starts with the k-th best score of the block of longest candidates, an exact lower bound.
+carry most of a product. A task takes its blocks by descending length, and a query passes over a block, or the rest of one, where the product
+of lengths cannot reach the k-th best score it has; of the candidates before that, those are scored whose product over the leading
+coordinates, plus the product of the lengths of what remains (Cauchy-Schwarz), can reach it. Scores are sums of integers; bounds allow for
+the rounding of doubles. Every query starts with the k-th best score of the block of longest candidates, an exact lower bound.
 
 Vectors that are null, empty or hold null or non-finite components take no part; those of another dimension than a query's are no
-candidates of it. Integer products must stay below 2 ** 53. A row is no candidate of a query with its vec_id, so repeated ids are not
-found by each other; rows with null vec_id take no part. Extra columns are not read.
+candidates of it. Integer products must stay below 2 ** 53: longer vectors raise ValueError. A row is no candidate of a query with its
+vec_id, so repeated ids are not found by each other; rows with null vec_id take no part. Query rows alike in id and vector are one query;
+those of one id and different vectors are queries each, with a list of their own under that id. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
-from .vectors import QUERIES, Top, best, pack, pairs, unpack, usable
+from .vectors import QUERIES, Top, batch_matrices, best, block_batch, found_batch, grid, numbers, pack, unpack, usable
 
 SCALE = 256
 LEADING = 16
 CHUNK = 512
-FIELDS = "query_id long, vec_id long, score long"
+#: Squared length up to which sums of products are exact in doubles.
+EXACT = 2.0**53
+FIELDS = "number long, query_id long, vec_id long, score long"
 
 
 def rotation(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -33,11 +36,10 @@ def rotation(vectors: DataFrame) -> dict[int, np.ndarray]:
     def gram(batches):
         import pyarrow as pa
 
-        from .vectors import matrices
-
         sums: dict[int, np.ndarray] = {}
-        for _, x in matrices(batches):
-            sums[x.shape[1]] = sums.get(x.shape[1], 0) + x.T @ x
+        for batch in batches:
+            for dim, _, x in batch_matrices(batch):
+                sums[dim] = sums.get(dim, 0) + x.T @ x
         for dim, g in sums.items():
             yield pa.RecordBatch.from_pydict({"dim": pa.array([dim] * dim * dim, pa.int32()), "cell": pa.array(np.arange(dim * dim), pa.int32()), "g": pa.array(g.ravel())})
 
@@ -55,12 +57,15 @@ def lengths(data: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.sqrt((data**2).sum(1)) * (1 + 1e-9), rest * (1 + 1e-9) + 1e-6
 
 
-def search(q_ids, q, floors, c_ids, c, v, k: int):
-    """For each query its Top; c by descending length."""
+def search(q_ids, q, tops, c_ids, c, v, longest: float) -> None:
+    """Adds to each query's Top; c by descending length."""
+    live = np.arange(len(q))
+    q_all = np.sqrt((q**2).sum(1)) * (1 + 1e-9)
+    live = live[q_all * longest * (1 + 1e-9) >= np.array([t.floor for t in tops])]
+    if not len(live):
+        return  # no vector of the block can reach any query's best
     qr, cr = q @ v, c @ v
     (q_len, q_rest), (c_len, c_rest) = lengths(q, qr), lengths(c, cr)
-    tops = [Top(k, f) for f in floors]
-    live = np.arange(len(q))
     for start in range(0, len(c), CHUNK):
         part = slice(start, start + CHUNK)
         floor = np.array([tops[i].floor for i in live])
@@ -75,7 +80,6 @@ def search(q_ids, q, floors, c_ids, c, v, k: int):
             at = at[c_ids[at] != q_ids[i]]
             if len(at):
                 tops[i].add(c_ids[at], np.rint(c[at] @ q[i]))
-    return tops
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -86,43 +90,37 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", v
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     plain = lambda ids, x: (ids, x, b"")
     by_length = rows.withColumn("length", length).repartitionByRange(F.desc("length")).sortWithinPartitions(F.desc("length"))
-    blocks = checkpoint(pack(by_length.select("vec_id", "v"), plain))
-    asked = rows.where("asks").select("vec_id", "v")
-    size = asked.count()
+    blocks = checkpoint(pack(by_length.select("vec_id", "v", F.lit(0).cast("long").alias("cell")), plain))
+    longest = blocks.agg(F.max("longest")).head()[0]
+    if longest is not None and longest**2 >= EXACT:
+        raise ValueError("vectors are too long for exact products: their integer squares must sum to less than 2 ** 53")
     turn = spark.sparkContext.broadcast(rotation(rows.select("vec_id", "v")))  # a d x d matrix
     no_floor = lambda ids, x: (ids, x, np.full(len(ids), -np.inf).tobytes())
-    queries = pack(asked.repartition(max(1, -(-size // QUERIES))), no_floor, QUERIES)
-
-    def found(batch, row):
-        q_ids, q, floors = unpack(batch, "q_", row)
-        c_ids, c, _ = unpack(batch, "c_", row)
-        order = np.argsort(-(c**2).sum(1), kind="stable")
-        return q_ids, q, search(q_ids, q, np.frombuffer(floors), c_ids[order], c[order], turn.value[q.shape[1]], k)
-
-    def with_floor(batches):
+    asked = rows.where("asks").select("vec_id", "v", F.lit(0).cast("long").alias("cell")).distinct()
+    queries = checkpoint(pack(asked, no_floor, QUERIES))
+
+    def searched(asks, rows):
+        """ids, numbers and Tops of all blocks of queries after all blocks of candidates, by descending length."""
+        read = [unpack(a) for a in asks]
+        tops = [[Top(k, f) for f in np.frombuffer(extra)] for _, _, extra in read]
+        for row in sorted(rows, key=lambda r: -r["longest"]):
+            c_ids, c, _ = unpack(row)
+            order = np.argsort(-(c**2).sum(1), kind="stable")
+            for (ids, q, _), own in zip(read, tops):
+                search(ids, q, own, c_ids[order], c[order], turn.value[row["dim"]], row["longest"])
+        return [(numbers(a["block"], len(r[0])), r[0]) for a, r in zip(asks, read)], tops
+
+    def with_floor(asks, rows):
+        _, tops = searched(asks, rows)
+        return [block_batch(a, extra=np.array([t.floor for t in own]).tobytes()) for a, own in zip(asks, tops)]
+
+    def scored(asks, rows):
         import pyarrow as pa
 
-        for batch in batches:
-            for row in range(batch.num_rows):
-                _, _, tops = found(batch, row)
-                fields = [n for n in batch.schema.names if n.startswith("q_")]
-                values = {n[2:]: batch.column(batch.schema.get_field_index(n)).slice(row, 1) for n in fields}
-                values["extra"] = pa.array([np.array([t.floor for t in tops]).tobytes()], pa.binary())
-                yield pa.RecordBatch.from_pydict(values)
-
-    def scored(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                q_ids, _, tops = found(batch, row)
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array(np.repeat(q_ids, [len(t.ids) for t in tops]), pa.int64()),
-                    "vec_id": pa.array(np.concatenate([t.ids for t in tops]) if tops else [], pa.int64()),
-                    "score": pa.array(np.concatenate([t.scores for t in tops]).astype(np.int64) if tops else [], pa.int64()),
-                })
+        return [found_batch(*searched(asks, rows), pa.int64())]
 
     heads = blocks.groupBy("dim").agg(F.max_by("block", "longest").alias("block")).select("block")  # a name for each dimension
-    longest = blocks.join(F.broadcast(heads), "block", "left_semi")
-    seeded = checkpoint(pairs(queries, longest).mapInArrow(with_floor, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)))
-    return best(pairs(seeded, blocks).mapInArrow(scored, FIELDS), k)
+    first = blocks.join(F.broadcast(heads), "block", "left_semi")
+    # Queries of a dimension without a candidate block have none later either
+    seeded = checkpoint(grid(queries, first, with_floor, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)))
+    return best(grid(seeded, blocks, scored, FIELDS), k)

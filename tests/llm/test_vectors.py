@@ -64,3 +64,44 @@ def test_tree_and_bound():
     x = neighbours.bound(0.95)
     sample = (np.random.default_rng(2).standard_normal((200_000, neighbours.PROJECTED)) ** 2).sum(1)
     assert abs((sample < x).mean() - 0.95) < 0.01
+
+
+def test_recall_over_many_blocks(spark):
+    rng = np.random.default_rng(11)
+    n, dim = 45_000, 32
+    centres = rng.standard_normal((60, dim))
+    x = centres[rng.integers(0, 60, n)] + 0.6 * rng.standard_normal((n, dim))
+    x[:6000] = x[0]  # a hot cell
+    x[:6000] += 1e-3 * rng.standard_normal((6000, dim))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    unit = x / np.sqrt((x**2).sum(1, keepdims=True))
+    whole = np.floor(256 * x)
+    asks = F.col("vec_id") % 100 == 0
+    got, exact = {}, {}
+    for r in neighbours.nearest(df, asks).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for r in topk.top_k(df, asks).collect():
+        exact.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    hits = 0
+    for q in range(0, n, 100):
+        near = unit @ unit[q]
+        near[q] = -2
+        hits += len(got[q] & set(np.argsort(-near, kind="stable")[:5].tolist()))
+        score = whole @ whole[q]
+        score[q] = -np.inf
+        top = np.lexsort((np.arange(n), -score))[:5]
+        assert [exact[q][k] for k in range(1, 6)] == [(int(i), int(score[i])) for i in top]
+    recall = hits / (5 * len(got))
+    print(f"recall over {-(-n // 2048)} blocks: {recall:.4f}")
+    assert len(got) == 450 and recall >= 0.95
+
+
+def test_repeated_queries_and_long_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (None, [5.0, 5.0]), *[(i, [float(i), 10.0 - i]) for i in range(1, 10)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for search in (topk.top_k, neighbours.nearest):
+        found = sorted((r.rank, r.vec_id) for r in search(df, F.col("vec_id") == 0).collect())
+        # two queries of id 0, each with five of its own
+        assert [r for r, _ in found] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and all(i for _, i in found)
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e18]), (1, [1e18])], "vec_id long, embedding array<double>"), F.lit(True))
