@@ -3,11 +3,13 @@
 Each class, toxic and ordinary, has a character model of words: the probability of a letter after the six before it (blanks
 before the word's first, an end mark after its last) from the class's own counts, discounted, and backing off to
 continuation counts that both classes share. An expression too rare for a class's own counts is so judged by the shared ones,
-which favour neither class. A word's evidence is the log-likelihood ratio of the two models. A document is judged by the
-ratio of its length-normalised log-likelihoods, by its strongest words and by the share of words with strong evidence; a
-logistic regression turns these into a score. It is fitted on a fifth of the training rows that the models did not count.
+which favour neither class. An expression's evidence is the difference of its log-likelihoods under the two models, each divided by its
+length; a document's is that of its most toxic expression, and one slope and one constant make a score of it. (Divided by the length of
+a whole document, a few toxic expressions disappear among hundreds of others.) Slope and constant are fitted on a fifth of the training rows
+that the models did not count.
 
-The fit uses at most about `TRAINING_DOCUMENTS` labelled documents, picked by a hash of doc_id. Scores read whole texts.
+The fit uses at most about `TRAINING_DOCUMENTS` labelled documents, picked by a hash of doc_id. Letters are whole code points: those
+that the sample has most, up to `ALPHABET`, are letters of their own and all others are one more. Scores read whole texts.
 
 Null and empty texts and texts without letters have no evidence and get the score of its absence. Repeated labels of a document count
 as toxic if any is; null labels count as none. Without labels of both classes every score is 0. Extra columns pass through.
@@ -23,20 +25,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import with_columns
-from .common import training_row
+from .common import checkpoint, training_row
 
 TRAINING_DOCUMENTS = 12_000
+#: Steps of the share of documents that is learnt from.
+STEPS = 1 << 50
 DISCOUNT = 0.75
-#: Letters of a word that are taken at a time; longer runs are cut.
-LONGEST = 64
-STRONG = 4.0
-REMEMBERED = 400_000
+#: Words whose evidence a worker keeps, and the longest of these.
+REMEMBERED, LONGEST = 400_000, 64
 #: Words that are judged together.
 AT_ONCE = 50_000
-LETTERS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
-#: Bits of a letter in an n-gram's key, and the marks before and after a word.
-BITS, BEFORE, AFTER = 9, 1, 2
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Bits of a letter in an n-gram's key, the marks before and after a word, and the letter for all that the alphabet lacks.
+BITS, BEFORE, AFTER, OTHER = 9, 1, 2, 3
 MASK = (1 << BITS) - 1
+#: Letters with numbers of their own.
+ALPHABET = MASK - OTHER
 #: Letters of the longest n-grams; their keys fill 63 bits.
 ORDER = 7
 
@@ -46,10 +50,19 @@ def words(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-def ngrams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all n-grams of words, and the index of each one's word."""
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def ngrams(batch: list[str], alphabet: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all n-grams of words, and the index of each one's word. alphabet: sorted code points; without one the first 511 are their own numbers."""
     sizes = np.fromiter(map(len, batch), np.int64, len(batch)) + 1
-    letters = np.frombuffer((chr(AFTER).join(batch) + chr(AFTER)).encode("utf-32-le", "replace"), np.uint32).astype(np.int64) & MASK
+    points = code_points(chr(AFTER).join(batch) + chr(AFTER))
+    if alphabet is None:
+        letters = np.where(points <= MASK, points, OTHER)
+    else:
+        at, known = at_keys(alphabet, points) if len(alphabet) else (0, False)
+        letters = np.where(points == AFTER, AFTER, np.where(known, at + OTHER + 1, OTHER))
     ends = np.cumsum(sizes)
     within = np.arange(len(letters)) - np.repeat(ends - sizes, sizes)
     key = letters.copy()
@@ -61,9 +74,10 @@ def ngrams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Evidence of letters in context, as two tables sorted by key, and the weights of a document's features."""
+    """Evidence of letters in context, as two tables sorted by key, and the constant and slope of a score."""
 
-    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
+    def __init__(self, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, alphabet: np.ndarray | None = None):
+        self.alphabet = alphabet
         order = np.argsort(keys)
         self.keys, counts = keys[order], [toxic[order].astype(float), ordinary[order].astype(float)]
         backoff = shared(self.keys)
@@ -76,36 +90,38 @@ class Model:
             p = np.maximum(c - DISCOUNT, 0) / np.maximum(total[at], 1) + left[at] * backoff
             self.evidence += sign * np.log(np.maximum(p, 1e-12))
             self.leftover += sign * np.log(left)
-        self.weights = np.zeros(len(FEATURES) + 1)
+        self.weights = np.zeros(2)
         self.known: dict[str, float] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
-    def judge(self, batch: list[str]) -> None:
-        """Remembers the evidence of words."""
-        if len(self.known) + len(batch) > REMEMBERED:
-            self.known.clear()
-        key, word = ngrams(batch)
+    def judged(self, batch: list[str]) -> np.ndarray:
+        """Evidence of words: the log-likelihood ratio of each, by its length."""
+        key, word = ngrams(batch, self.alphabet)
         own, seen = at_keys(self.keys, key)
         ctx, near = at_keys(self.contexts, key >> BITS)
         ratio = np.where(seen, self.evidence[own], np.where(near, self.leftover[ctx], 0.0))
-        self.known.update(zip(batch, np.bincount(word, ratio, len(batch)).tolist()))
+        return np.bincount(word, ratio, len(batch)) / np.bincount(word, minlength=len(batch))
 
     def evidence_of(self, found: list[str]) -> np.ndarray:
-        """Evidence of each of some words."""
-        known = self.known
-        if new := [w for w in set(found) if w not in known]:
-            self.judge(new)
-        try:
-            return np.fromiter(map(known.__getitem__, found), float, len(found))
-        except KeyError:  # forgotten meanwhile
-            self.judge(list(set(found)))
-            return np.fromiter(map(known.__getitem__, found), float, len(found))
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """A row for each text."""
-        out = np.zeros((len(texts), 6))  # evidence, length, the three strongest words', strong words
+        """Evidence of each of some words, that of the shorter ones remembered."""
+        mine = dict.fromkeys(found)
+        if new := [w for w in mine if w not in self.known]:
+            values = dict(zip(new, self.judged(new).tolist()))
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+            self.known.update((w, v) for w, v in values.items() if len(w) <= LONGEST)
+            if missing := [w for w in mine if w not in self.known and w not in values]:
+                values |= dict(zip(missing, self.judged(missing).tolist()))
+            lookup = lambda w: values[w] if w in values else self.known[w]
+        else:
+            lookup = self.known.__getitem__
+        return np.fromiter(map(lookup, found), float, len(found))
+
+    def strongest(self, texts: list[str | None]) -> np.ndarray:
+        """The evidence of each text's most toxic word; 0 where there is none."""
+        out = np.full(len(texts), -np.inf)
         waiting: list[tuple[int, list[str]]] = []
         size = 0
         for i, text in enumerate(texts):
@@ -114,31 +130,23 @@ class Model:
                 waiting.append((i, found[start : start + AT_ONCE]))
                 size += len(waiting[-1][1])
                 if size >= AT_ONCE:
-                    self.add(out, waiting)
+                    self.compare(out, waiting)
                     waiting, size = [], 0
-        self.add(out, waiting)
-        length = np.maximum(out[:, 1], 1)
-        return np.column_stack([10 * out[:, 0] / length, out[:, 2] / 4, out[:, 3] / 4, out[:, 4] / 4, np.log1p(out[:, 5])])
+        self.compare(out, waiting)
+        return np.where(np.isfinite(out), out, 0.0)
 
-    def add(self, out: np.ndarray, waiting: list[tuple[int, list[str]]]) -> None:
-        """Adds the evidence of parts of texts."""
+    def compare(self, out: np.ndarray, waiting: list[tuple[int, list[str]]]) -> None:
+        """Takes parts of texts in."""
+        if not waiting:
+            return
         values = self.evidence_of([w for _, part in waiting for w in part])
-        start = 0
-        for i, part in waiting:
-            v = values[start : start + len(part)]
-            start += len(part)
-            out[i, 0] += v.sum()
-            out[i, 1] += sum(map(len, part)) + len(part)
-            out[i, 2:5] = np.sort(np.concatenate([out[i, 2:5], v]))[-3:][::-1]
-            out[i, 5] += (v > STRONG).sum()
+        of = np.repeat([i for i, _ in waiting], [len(part) for _, part in waiting])
+        np.maximum.at(out, of, values)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights[1:] + self.weights[0], -500, 500)))
-
-
-FEATURES = ("mean", "first", "second", "third", "strong")
+        return 1 / (1 + np.exp(-np.clip(self.strongest(texts) * self.weights[1] + self.weights[0], -500, 500)))
 
 
 def at_keys(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,9 +193,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_DOCUMENTS) ->
     size = known.count()
     if not size:
         return empty
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, limit / size) * (1 << 20)))
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(STEPS)) < int(min(1.0, limit / size) * STEPS))
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")  # about `limit` ids at most
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0
+    rows = checkpoint(rows.select("text", "is_toxic", fold.alias("fold")))
+
+    def letters(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            points, n = np.unique(code_points("".join("".join(words(t)) for t in batch.column(0).to_pylist())), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"point": points, "n": n.astype(np.int64)})
+
+    top = rows.select("text").mapInArrow(letters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(ALPHABET)
+    alphabet = np.sort(np.array([r["point"] for r in top.collect()], np.int64))
 
     def count(batches):
         import pyarrow as pa
@@ -199,24 +218,25 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_DOCUMENTS) ->
                 found[toxic].update(set(words(text)))  # an expression counts once a document
         for toxic, c in found.items():
             if c:
-                key, word = ngrams(list(c))
+                key, word = ngrams(list(c), alphabet)
                 keys, at = np.unique(key, return_inverse=True)
                 n = np.bincount(at, np.fromiter(c.values(), float, len(c))[word]).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"key": keys, "toxic": n * toxic, "ordinary": n * (not toxic)})
 
-    grams = rows.where(~fold).select("text", "is_toxic").mapInArrow(count, "key long, toxic long, ordinary long")
-    table = grams.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
-    if not table["toxic"].any() or not table["ordinary"].any():
+    grams = rows.where("not fold").select("text", "is_toxic").mapInArrow(count, "key long, toxic long, ordinary long")
+    table = grams.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
+    key, toxic, ordinary = (table[c].to_numpy() for c in ("key", "toxic", "ordinary"))
+    del table
+    if not toxic.any() or not ordinary.any():
         return empty
-    model = Model(*(table[c].to_numpy() for c in ("key", "toxic", "ordinary")))
+    model = Model(key, toxic, ordinary, alphabet)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
-    added = [T.StructField("features", T.ArrayType(T.DoubleType()))]
-    judged = with_columns(rows.where(fold).select("text", "is_toxic"), added, lambda b: [shared_model.value.features(b.column(0).to_pylist()).tolist()])
-    judged = judged.select("features", "is_toxic").toPandas()
-    if judged["is_toxic"].nunique() == 2:
-        model.weights = regression(np.array(judged["features"].tolist()), judged["is_toxic"].to_numpy(float))
-    else:
-        model.weights = np.array([-4.0, 0.0, 1.0, 1.0, 1.0, 1.0])
+    added = [T.StructField("strongest", T.DoubleType())]
+    judged = with_columns(rows.where("fold").select("text", "is_toxic"), added, lambda b: [shared_model.value.strongest(b.column(0).to_pylist()).tolist()])
+    judged = judged.select("strongest", "is_toxic").toArrow()
+    x, y = judged["strongest"].to_numpy(), np.array(judged["is_toxic"].to_pylist(), bool)
+    # Without examples of both classes: as likely as not from where a letter is e times likelier in toxic words
+    model.weights = regression(x[:, None], y.astype(float)) if y.any() and not y.all() else np.array([-4.0, 4.0])
     return model
 
 
