@@ -5,37 +5,64 @@ A batch is a table of signed counts: an insert adds a document's, a delete takes
 Deltas are summed by key before they are stored, so a batch is as small as its keys, whatever its rows.
 
 A commit is idempotent: the data are written under a name of their own, then a marker named after the batch is created, which
-only one writer can; a batch that has a marker is left as it is, and data without a marker count for nothing. Totals are the
-same in whatever order batches are committed. `compact` folds all batches into one table, named by a marker that lists them.
+only one writer can where the store's rename replaces nothing, as in HDFS; a batch that has a marker is left as it is, and data without
+a marker count for nothing. Totals are the same in whatever order batches are committed. `compact` folds the batches of one moment into one
+table, named by a marker that lists them; what is committed meanwhile counts besides it.
 
 Null source or language is a key of its own. Null texts have no tokens but count as documents. Keys whose documents and tokens are
-both zero are left out. An unknown tokenizer version raises KeyError. Extra columns are not read.
+both zero are left out. An unknown tokenizer version raises KeyError. Very long texts are counted whole. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import cache
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD
+from .bpe import with_columns
+from .common import WORD, word_count
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, documents long, tokens long"
-#: Tokenizer versions by name: how many tokens a text has.
-TOKENIZERS = {
-    "words/1": WORD,
-    "pieces/1": WORD[:-1] + "{1,8}",
-    "pieces/2": WORD[:-1] + "{1,4}",
-}
+#: Tokenizer versions: words, counted by a pattern, and vocabularies by the file that holds them.
+WORDS = "words/1"
+TOKENIZERS = {WORDS: None, "byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
 
 
-def counted(docs: DataFrame, version: str, name: str | None = None) -> DataFrame:
-    """doc_id, source, lang, tokenizer and tokens of every document; `name` is the version it is filed under."""
-    tokens = F.coalesce(F.regexp_count("text", F.lit(TOKENIZERS[version])), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", "lang", F.lit(name or version).alias("tokenizer"), tokens.alias("tokens"))
+@cache
+def vocabulary(file: str):
+    """The encoder of a vocabulary, loaded once by each worker."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(file), "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding(file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def with_counts(docs: DataFrame, versions: list[str], text: str = "text") -> DataFrame:
+    """docs with a column of each version's name: the tokens of the text; 0 for null. Special tokens' names are ordinary text."""
+    files = {v: TOKENIZERS[v] for v in versions}
+    encoded = [v for v in versions if v != WORDS]
+
+    def make(batch):
+        texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        return [[len(vocabulary(files[v]).encode_ordinary(t)) for t in texts] for v in encoded]
+
+    out = with_columns(docs, [T.StructField(v, T.LongType()) for v in encoded], make) if encoded else docs
+    return out.withColumn(WORDS, word_count(F.col(text))) if WORDS in versions else out
+
+
+def counted(docs: DataFrame, version: str) -> DataFrame:
+    """doc_id, source, lang, tokenizer and tokens of every document."""
+    slim = docs.select("doc_id", "source", "lang", F.col("text").cast("string").alias("text"))
+    return with_counts(slim, [version]).select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), F.col(f"`{version}`").alias("tokens"))
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -63,10 +90,6 @@ class Rollup:
         self.fs = self.at("commits").getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(self.at("commits"))
 
-    def committed(self) -> dict[str, str]:
-        """Marker names of batches, with the folder of each one's data."""
-        return {name: self.text(f"commits/{name}") for name in self.names() if not name.startswith("base=")}
-
     def names(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at("commits")))
 
@@ -91,7 +114,7 @@ class Rollup:
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Adds a batch of deltas(source, lang, tokenizer, sign, tokens), once; False if it was there."""
         name = "batch=" + quote(batch, safe="")
-        if name in self.names() or any(name in self.covered(b) for b in self.bases()):
+        if name in self.names():
             return False
         summed = deltas.groupBy(*KEYS).agg(F.sum(F.col("sign").cast("long")).alias("documents"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens"))
         folder = f"data/{uuid.uuid4().hex}"
@@ -107,16 +130,20 @@ class Rollup:
 
     def sources(self) -> tuple[list[str], list[str]]:
         """Folders to add up, and the batches they hold."""
-        bases = self.bases()
-        base = bases[-1] if bases else None
+        names = self.names()  # once: what comes later is not of this moment
+        base = max((n for n in names if n.startswith("base=")), default=None)
         held = self.covered(base) if base else []
-        rest = {n: f for n, f in self.committed().items() if n not in held}
+        seen = set(held)
+        rest = {n: self.text(f"commits/{n}") for n in names if not n.startswith("base=") and n not in seen}
         folders = ([self.text(f"commits/{base}").split("\n")[0]] if base else []) + list(rest.values())
         return folders, held + list(rest)
 
     def totals(self) -> DataFrame:
         """documents and tokens by key."""
-        folders, _ = self.sources()
+        return self.summed(self.sources()[0])
+
+    def summed(self, folders: list[str]) -> DataFrame:
+        """documents and tokens by key in some folders."""
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
@@ -124,7 +151,7 @@ class Rollup:
 
     def compact(self) -> None:
         """Folds what is committed into one table; markers stay, so that replays are still known."""
-        _, held = self.sources()
+        folders, held = self.sources()
         folder = f"data/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{self.path}/{folder}")
+        self.summed(folders).write.parquet(f"{self.path}/{folder}")
         self.mark(f"base={len(self.bases()):08d}", "\n".join([folder, *held]))
