@@ -5,7 +5,8 @@ reader can begin at any record. Writing groups equal payloads: of those of at le
 is a response and the others are revisits that refer to it and carry its HTTP headers without the payload. Reading checks the
 version line, the mandatory headers, both lengths and, for responses, the payload's SHA-1; anything else raises ValueError.
 
-Equal payloads are those of equal SHA-1. Null html is an empty payload. Rows that share the largest page_id of their payload
+Equal payloads are those of equal SHA-256; SHA-1 is only written to the headers. Reading checks besides that every revisit refers to a
+response of its digest and length. Record ids are named after page_ids, so rows of one page_id have one record id. Null html is an empty payload. Rows that share the largest page_id of their payload
 are all responses. A null page_id is never the largest; it is written and read as null; if a payload has only such rows, they
 are responses. Archives are written under names of their own, and only those of tasks that ended are read.
 """
@@ -52,7 +53,8 @@ def train(pages: DataFrame) -> bytes:
     some = pages.where("html is not null and html <> ''")
     share = min(1.0, DICTIONARY_PAGES / max(1, some.count()))
     picked = some.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    texts = sorted(r.html.encode() for r in picked.select(F.substring("html", 1, DICTIONARY_CHARS).alias("html")).collect())
+    # Copies of a page that was picked are all picked: only one of them is fetched
+    texts = sorted(r.html.encode() for r in picked.select(F.substring("html", 1, DICTIONARY_CHARS).alias("html")).distinct().limit(2 * DICTIONARY_PAGES).collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except zstandard.ZstdError:
@@ -62,11 +64,11 @@ def train(pages: DataFrame) -> bytes:
 def with_types(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_digest, record_type and refers_to of pages(page_id, url, html)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", digest(F.col("payload")))
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", digest(F.col("payload"))).withColumn("same", F.unhex(F.sha2("payload", 256)))
     # One row for each payload that more than one page has; pages are joined with these alone
-    again = rows.where(F.length("payload") >= LEAST).groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies"))
-    again = again.where("copies > 1").select(F.col("payload_digest").alias("of"), "kept")
-    rows = rows.join(again, F.col("payload_digest") == F.col("of"), "left")
+    again = rows.where(F.length("payload") >= LEAST).groupBy("same").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies"))
+    again = again.where("copies > 1").select(F.col("same").alias("of"), "kept")
+    rows = rows.join(again, F.col("same") == F.col("of"), "left")
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     return rows.select(
         "page_id", "url", "payload", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("kept")).alias("refers_to")
@@ -139,7 +141,7 @@ def opened(uri: str, mode: str):
     """A stream on a file of any store that pyarrow knows."""
     from pyarrow import fs
 
-    where, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    where, path = fs.FileSystem.from_uri(uri)
     if mode == "w":
         where.create_dir(path.rpartition("/")[0], recursive=True)
         return where.open_output_stream(path)
@@ -173,6 +175,9 @@ def write(rows: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
             done.append((path, records))
         yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in done], pa.string()), "records": pa.array([n for _, n in done], pa.int64())})
 
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
     named = rows.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")
     return checkpoint(named.mapInArrow(run, "path string, records long"))
 
@@ -228,7 +233,16 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
     return archives.select("path", "records").mapInArrow(run, FIELDS if payloads else FIELDS.rpartition(",")[0])
 
 
+def verified(records: DataFrame) -> DataFrame:
+    """Records as read, whose revisits must refer to a response of their digest and length."""
+    known = records.where("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest"), F.col("payload_bytes").alias("of_bytes")).distinct()
+    out = records.join(known, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("of_digest")) & (F.col("payload_bytes") == F.col("of_bytes")), "left")
+    lost = F.raise_error(F.concat(F.lit("a revisit refers to no response of its payload: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("?")))).cast("long")
+    checked = F.when((F.col("record_type") == "revisit") & F.col("of").isNull(), lost).otherwise(F.col("refers_to"))
+    return out.select(*[checked.alias(c) if c == "refers_to" else c for c in records.columns])
+
+
 def round_trip(pages: DataFrame, folder: str | None = None, payloads: bool = False) -> DataFrame:
     """Writes pages as archives in the shared folder and reads them back."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read(write(with_types(pages), folder, train(pages)), payloads)
+    return verified(read(write(with_types(pages), folder, train(pages)), payloads))

@@ -34,3 +34,13 @@ def test_rejects_what_is_broken(tmp_path):
             warc.parse(bad)
     with pytest.raises(ValueError):
         list(warc.records_of(io.BytesIO(b"12345678")))
+
+
+def test_revisits_are_checked_and_frequent_pages_fetched_once(spark):
+    pages = spark.createDataFrame([(i, "http://x", "<p>same page</p>" * 30) for i in range(500)] + [(900, None, None), (900, None, None)], "page_id long, url string, html string")
+    assert len(warc.train(pages)) > 0
+    read = warc.round_trip(pages)
+    assert read.where("record_type = 'response'").count() == 3 and read.count() == 502
+    lost = read.where("not (record_type = 'response' and page_id = 499)")
+    with pytest.raises(Exception, match="no response"):
+        warc.verified(lost).collect()
