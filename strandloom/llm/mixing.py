@@ -2,15 +2,17 @@
 
 Every document gets a key from a hash of its id and text, uniform and the same in every run. Within a source the documents
 stand in the order of their keys, and the mix takes them from the start until the source's budget of words is met, beginning
-again when all are taken. Order and sums are distributed: the leading digits of a key name its range, of which each source has
-`RANGES`; a document's place is the sum of its source's ranges before its own plus the running sum inside the range. So a
-source of any size is spread over as many tasks as it has ranges, and no task holds more than one range of one source.
+again when all are taken. Order and sums are distributed: the leading digits of a key name its range, and there are so many ranges that one
+holds about `RANGE_ROWS` rows of a source at most, whatever the number of rows; a document's place is the sum of its source's ranges before
+its own plus the running sum inside the range. So a source of any size is spread over as many tasks as it has ranges. Targets take one row
+for each source in one task.
 
 The sum of all sizes is shared by weight; a source's target stops at `MOST` times its size, and the excess is shared among the
 others by weight until none is above. The budget is the target, rounded down to whole words by the largest remainder of half.
 
 Null and empty texts have size 0 and nothing is taken of them. The null source is a source of its own, which sorts last.
-Rows that are alike in id and text are interchangeable. The input's other columns may have any names.
+Rows that are alike in id and text stand in the order of a hash of their other columns, and rows alike in all are interchangeable.
+Empty tables give empty ones. The input's other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,13 +20,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, word_count
+from .common import WORD, checkpoint, columns, fresh, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Hexadecimal digits that name a range of keys.
-RANGE_DIGITS = 2
-RANGES = 16**RANGE_DIGITS
+#: Rows of a range, at most and about; hexadecimal digits that name a range, at least.
+RANGE_ROWS, LEAST_DIGITS = 250_000, 2
+
+
+def range_digits(rows: int) -> int:
+    """Digits of the ranges' names for so many rows, all of one source if need be."""
+    digits = LEAST_DIGITS
+    while rows > RANGE_ROWS * 16**digits:
+        digits += 1
+    return digits
 
 
 def key(doc_id: Column, text: Column) -> Column:
@@ -54,9 +63,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source, key, size, source_size, target, start (words of the source before the document) and taken (words the mix takes of it, repeats counted)."""
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key(F.col("doc_id"), F.col("text")).alias("key"))
-    rows = checkpoint(rows.withColumn("range", F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("int")))
+    rows = checkpoint(rows)
+    rows = rows.withColumn("range", F.conv(F.substring("key", 1, range_digits(rows.count())), 16, 10).cast("long"))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    ranges = checkpoint(ranges)  # at most RANGES rows for each source
+    ranges = checkpoint(ranges)  # a row for each range of each source
     offset = F.coalesce(F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     goal = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, most)
     goal = goal.withColumnRenamed("source", "named")
@@ -77,23 +87,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     """The mixed documents: each as often as the mix takes it whole, and its first words once more where a budget ends within it.
 
     Columns are those of docs; a shortened text keeps the white space between its words, and n_chars, if there, is its length."""
-    alike = ["doc_id", "key"]
-    chosen = plan(docs, weights, most).where("taken > 0").groupBy(*alike).agg(F.first("size").alias("size_"), F.collect_list("taken").alias("takes_"))
-    # of rows alike in id and text each gets its own entry of the list
-    named = docs.withColumn("key_", key(F.col("doc_id"), F.col("text")))
-    named = named.withColumn("row_", F.row_number().over(Window.partitionBy("doc_id", "key_").orderBy(F.lit(1))))
-    chosen = chosen.select(F.col("doc_id").alias("id_"), F.col("key").alias("of_"), "size_", "takes_")
-    both = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("of_")))
-    both = both.withColumn("take_", F.get("takes_", F.col("row_") - 1)).where("take_ > 0")
-    whole = F.floor(F.col("take_") / F.col("size_")).cast("int")
-    rest = (F.col("take_") - whole * F.col("size_")).cast("int")
-    parts = F.concat(F.array_repeat(F.col("size_"), whole), F.when(rest > 0, F.array(rest.cast("long"))).otherwise(F.array().cast("array<long>")))
-    both = both.withColumn("words_", F.explode(parts))
-    text = F.when(F.col("words_") < F.col("size_"), first_words(F.col("text"), F.col("words_"))).otherwise(F.col("text"))
+    own, row, of_id, of, sizes, takes, take, words = fresh(docs, "key_", "row_", "id_", "of_", "size_", "takes_", "take_", "words_")
+    chosen = plan(docs, weights, most).where("taken > 0").groupBy("doc_id", "key").agg(F.first("size").alias(sizes), F.sort_array(F.collect_list("taken"), asc=False).alias(takes))
+    # Of rows alike in id and text each gets its own entry of the list
+    named = docs.withColumn(own, key(F.col("doc_id"), F.col("text")))
+    others = [c for c, f in zip(columns(docs), docs.schema.fields) if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    named = named.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.xxhash64(*others) if others else F.lit(1))))
+    chosen = chosen.select(F.col("doc_id").alias(of_id), F.col("key").alias(of), sizes, takes)
+    both = named.join(chosen, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(own) == F.col(of)))
+    both = both.withColumn(take, F.get(takes, F.col(row) - 1)).where(F.col(take) > 0)
+    whole = F.floor(F.col(take) / F.col(sizes)).cast("int")
+    rest = (F.col(take) - whole * F.col(sizes)).cast("int")
+    parts = F.concat(F.array_repeat(F.col(sizes), whole), F.when(rest > 0, F.array(rest.cast("long"))).otherwise(F.array().cast("array<long>")))
+    both = both.withColumn(words, F.explode(parts))
+    text = F.when(F.col(words) < F.col(sizes), first_words(F.col("text"), F.col(words))).otherwise(F.col("text"))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*columns(docs))
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -5,7 +5,8 @@ leading `LEADING` words, lead to a leaf. In a leaf a word is constant at its pla
 it there, else variable; lines of whose words after the leading ones at least `SIMILAR` percent are constant form the leaf's
 template, its variable places generalised. A template whose lines come from at least `MIN_DOCS` documents recurs: its lines are
 dropped from every document but the first, that with the least doc_id, so that nothing is lost altogether. For lines of more than
-`LONG` words two documents are enough, both for a constant word and for a template.
+`LONG` words two documents are enough, both for a constant word and for a template. Documents are counted by line and summed over the lines of a
+leaf, so a document counts once for each of the different lines that it has there.
 
 Blank lines stay. Null texts stay null and have no lines; empty texts have none either. A line that a document repeats counts once.
 Repeated rows count as a document each and share what is dropped from their doc_id; documents with null doc_id share theirs, and are
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import columns, fresh, written
 
 LEADING = 3
 MIN_DOCS = 3
@@ -28,6 +29,8 @@ SIMILAR = 60
 #: Words from which on a line is too long to recur by chance, and the documents that it then takes.
 LONG, MIN_LONG = 50, 2
 #: A word with a digit; it begins where no word goes on, and what it has matched it keeps, so that long words cost no more than their length.
+#: Parts that the lines of one template are joined in, so that a line which all documents have is not one task's.
+SALTS = 16
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 MASK = "<*>"
 
@@ -37,21 +40,16 @@ def holds(text: Column, *pieces: str) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in pieces])
 
 
-def with_canonical(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """df with an array of a text's lines, masked, with single blanks between words and none around them; `name` begins the names of helper columns too.
-
-    Every step is a column of its own, so that none is evaluated for each mention of it; texts that need no replacing only pass a search."""
-    m, s, t = (f"{name}{x}" for x in ("_masked", "_spaced", "_trimmed"))
-    df = df.withColumn(m, F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, MASK)).otherwise(text))
-    df = df.withColumn(s, F.when(holds(F.col(m), "  ", "\t", "\x0b", "\x0c", "\r"), F.regexp_replace(m, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col(m)))
-    edge = holds(F.col(s), " \n", "\n ") | F.col(s).startswith(" ") | F.col(s).endswith(" ")
-    df = df.withColumn(t, F.when(edge, F.regexp_replace(s, r"(?<![^\n])\x20|\x20(?![^\n])", "")).otherwise(F.col(s)))
-    return df.withColumn(name, F.split(t, "\n", -1)).drop(m, s, t)
+def canonical(text: Column) -> Column:
+    """A text's lines, masked, with single blanks between words and none around them. Each step only rewrites lines that need it."""
+    masked = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, VARIABLE, MASK)).otherwise(x))
+    spaced = F.transform(masked, lambda x: F.when(holds(x, "  ", "\t", "\x0b", "\x0c", "\r"), F.regexp_replace(x, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(x))
+    return F.transform(spaced, lambda x: F.trim(x))
 
 
 def lines(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, leaf, line (a hash), long (of more than LONG words) and words (blank-separated) of the distinct lines of every document that aren't blank."""
-    own = with_canonical(docs.select("doc_id", F.col(text).alias("text")), F.col("text"), "own").select("doc_id", F.array_distinct("own").alias("own"))
+    own = docs.select("doc_id", F.array_distinct(canonical(F.col(text))).alias("own"))
     own = own.select("doc_id", F.explode_outer("own").alias("words")).where("words <> ''")
     head = F.substring_index("words", " ", LEADING)
     blanks = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
@@ -72,10 +70,9 @@ def recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, sim
     spelt = written(spelt.where("leaf = leaf_").select("leaf", "line", "long", "first", "docs", F.split("words", " ").alias("words")))
     placed = spelt.select("leaf", "line", "long", "docs", F.posexplode("words").alias("place", "word"))
     constant = placed.groupBy("leaf", "place", "word").agg(F.max("long").alias("long"), F.sum("docs").alias("with")).where(F.col("with") >= need).drop("with", "long")
-    shared = placed.join(constant, ["leaf", "place", "word"]).where(F.col("place") >= LEADING).groupBy("line").agg(F.count("*").alias("constant"))
+    shared = placed.join(constant, ["leaf", "place", "word"]).where(F.col("place") >= LEADING).groupBy("leaf", "line").agg(F.count("*").alias("constant"))
     rest = F.greatest(F.size("words") - LEADING, F.lit(0))
-    member = spelt.join(shared.withColumnRenamed("line", "line_"), F.col("line") == F.col("line_"), "left")
-    member = member.where(100 * F.coalesce("constant", F.lit(0)) >= similar * rest).select("leaf", "line", "long", "first", "docs")
+    member = spelt.join(shared, ["leaf", "line"], "left").where(100 * F.coalesce("constant", F.lit(0)) >= similar * rest).select("leaf", "line", "long", "first", "docs")
     templates = plain.unionByName(member)
     whole = templates.groupBy("leaf").agg(F.max("long").alias("long"), F.min("first").alias("first"), F.sum("docs").alias("docs")).where((F.col("docs") >= need) & F.col("first").isNotNull())
     return all_lines, written(templates.select("leaf", "line").join(whole.select("leaf", "first"), "leaf").select("leaf", "line", "first"))
@@ -84,18 +81,20 @@ def recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, sim
 def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, similar: int = SIMILAR) -> DataFrame:
     """docs with the lines of recurring templates dropped from the text column, and two columns more: n_lines (not blank, before) and n_dropped."""
     all_lines, templates = recurring(docs, text, min_docs, similar)
-    hits = all_lines.join(templates.withColumnRenamed("leaf", "leaf_"), "line").where(F.col("leaf") == F.col("leaf_")).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    gone = written(hits.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines")))
-    both = docs.select(*[F.col(f"`{c}`") for c in docs.columns]).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-    touched = F.when(F.col("gone_lines").isNotNull(), F.col(text))
-    both = with_canonical(both, touched, "own_").withColumn("raw_", F.split(touched, "\n", -1))
-    stays = lambda x: (x["own_"] == "") | ~F.array_contains(F.col("gone_lines"), F.xxhash64(x["own_"]))
-    both = both.withColumn("kept_lines", F.filter(F.arrays_zip("raw_", "own_"), stays))
-    kept = F.array_join(F.transform("kept_lines", lambda x: x["raw_"]), "\n")
+    own, raw, kept, gone_id, gone_lines = fresh(docs, "own_", "raw_", "kept_", "gone_id", "gone_lines")
+    salted = templates.select(F.col("leaf").alias("leaf_"), F.col("line").alias("line_"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
+    hits = all_lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, (F.col("line") == F.col("line_")) & (F.col("salt") == F.col("salt_")))
+    hits = hits.where(F.col("leaf") == F.col("leaf_")).where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    gone = written(hits.groupBy(F.col("doc_id").alias(gone_id)).agg(F.collect_set("line").alias(gone_lines)))
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)), "left")
+    touched = F.when(F.col(gone_lines).isNotNull(), F.col(text))
+    both = both.withColumn(own, canonical(touched)).withColumn(raw, F.split(touched, "\n", -1))
+    stays = lambda x: (x[own] == "") | ~F.array_contains(F.col(gone_lines), F.xxhash64(x[own]))
+    both = both.withColumn(kept, F.filter(F.arrays_zip(raw, own), stays))
+    left = F.when(F.col(gone_lines).isNotNull(), F.array_join(F.transform(kept, lambda x: x[raw]), "\n")).otherwise(F.col(text))
     blank = F.lit(" \t\x0b\x0c\r")
     size = F.size(F.filter(F.split(F.col(text), "\n", -1), lambda x: F.trim(x, blank) != ""))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(size).cast("long")
-    n_dropped = F.when(F.col("gone_lines").isNotNull(), F.size("raw_") - F.size("kept_lines")).otherwise(0).cast("long")
-    out = both.select("*", F.when(F.col("gone_lines").isNotNull(), kept).otherwise(F.col(text)).alias("kept_text"), n_lines.alias("n_lines_"), n_dropped.alias("n_dropped_"))
-    others = [F.col(f"`{c}`") if c != text else F.col("kept_text").alias(text) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*others, F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"))
+    n_dropped = F.when(F.col(gone_lines).isNotNull(), F.size(raw) - F.size(kept)).otherwise(0).cast("long")
+    others = [c if name != text else left.alias(text) for c, name in zip(columns(docs), docs.columns) if name not in ("n_lines", "n_dropped")]
+    return both.select(*others, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

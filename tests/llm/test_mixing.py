@@ -50,3 +50,23 @@ def test_empty(spark):
     assert mixing.plan(df).count() == 0 and mixing.mix(df).count() == 0
     df = spark.createDataFrame([(1, None, None), (2, "", "s")], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.plan(df).collect()] == [(0.0, 0)] * 2
+
+
+def test_helper_names_as_columns(spark):
+    rows = [(1, "a b c", "s", 7, 8, 9, 10, 11, 12), (2, "d e", "s", 1, 2, 3, 4, 5, 6), (2, "d e", "s", 1, 2, 3, 4, 5, 7), (3, None, None, 0, 0, 0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, words_ int, key_ int, take_ int, id_ int, size_ int, row_ int")
+    got = sorted(map(tuple, mixing.mix(df).collect()))
+    assert got == rows[:3] and mixing.mix(df).columns == df.columns
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_ranges_grow_with_the_rows():
+    assert [mixing.range_digits(n) for n in (0, 10**6, 10**8, 10**9, 10**12)] == [2, 2, 3, 3, 6]
+
+
+def test_very_long_text(spark):
+    long = " ".join(["word"] * 300_000)
+    df = spark.createDataFrame([(1, long, "a"), (2, "b c", "a"), (3, "d", "b")], "doc_id long, text string, source string")
+    plan = {r.doc_id: r for r in mixing.plan(df).collect()}
+    assert plan[1].size == 300_000 and plan[3].taken <= 3
+    assert sum(r.taken for r in plan.values()) == sum(len(r.text.split()) for r in mixing.mix(df).collect())

@@ -75,3 +75,11 @@ def test_long_lines_of_two_documents(spark):
     assert text == {rows[0][1], "own line", rows[2][1], rows[3][1], rows[4][1], "", rows[6][1]}
     at = {n > 50: brute([(d, "\n".join(x for x in (t or "").split("\n") if (len(x.split()) > 50) == (n > 50))) for d, t in rows], 2 if n > 50 else 3) for n in (50, 51)}
     assert sum(r.n_dropped for r in got) == sum(r[3] for b in at.values() for r in b) == 3
+
+
+def test_helper_names_as_columns(spark):
+    text = "Page 1 of the archive\nown line here"
+    rows = [(i, text.replace("1", str(i)) + str(i), i, i, i, i, i, i) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, raw_ int, own_ int, gone_id int, gone_lines int, kept_text int, n_lines_ int")
+    got = sorted(map(tuple, templates.drop_lines(df).collect()))
+    assert [r[2:8] for r in got] == [(i,) * 6 for i in range(4)] and [r[-1] for r in got] == [0, 2, 2, 2] and got[1][1] == ""
