@@ -18,9 +18,11 @@ a group of near copies falls into one cluster at the cost of its size. Only wher
 are compared with all others, in blocks of nodes of like sizes (a link's sets differ in size by no more than the threshold), two blocks to a task.
 Every task emits a spanning forest of the links it finds.
 
-Counting a shingle's nodes takes postings packed by ranges of hash values, a few bytes each, so that a corpus of any size is
-counted in ranges of bounded size. A shingle that `HOT` nodes of one task have is known to be frequent there and then: its postings
-don't meet in its range, which only gets its name, but go on spread evenly; the order takes all counts from `HOT` on as equal.
+Counting a shingle's nodes takes postings packed by ranges of hash values, about six bytes each, so that a corpus of any size is
+counted in ranges of bounded size. A task hands on its nodes by flushes of about `FLUSH` postings; a posting names its node by a number within
+its flush, and counts go back to the flush, where the names are. A node that several flushes hold counts for each of them, which makes candidates
+of a few more shingles but loses none. A shingle that `HOT` nodes of one flush have is known to be frequent there and then: its postings
+don't meet in its range, which only gets its name; the order takes all counts from `HOT` on as equal.
 
 Shingles are 64-bit hashes (48 bits where only candidates depend on them) and sets are named by a 128-bit hash. Null and empty texts and texts
 without words have no shingles and link with nothing. Rows are told apart by their sets alone: doc_id may repeat or be null; a component's id
@@ -50,7 +52,8 @@ BLOCK, CENTRES, FOLLOWED = 512, 64, 8
 #: Bits of the filter that finds the texts of families' nodes again: eight for each node within these bounds (8 MB at most are broadcast).
 FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 26
 KEPT = 48
-PLAIN, NAMES, SPREAD = range(3)
+#: Kinds of blobs: postings of a range, names of frequent shingles, and what stays with a flush.
+PLAIN, FREQUENT, OWN = range(3)
 
 
 def slack(n, percent: int = PERCENT):
@@ -80,52 +83,51 @@ def described(docs: DataFrame, width: int = WIDTH, text: str = "text") -> DataFr
     return own.mapInArrow(run, "doc_id long, name long, n_shingles long, node binary")
 
 
-def pack(kind: int, token, of, names, cuts) -> bytes:
-    """Postings sorted by token, `of` numbering their nodes among names and cuts."""
+def packed(flush: int, token: np.ndarray, of: np.ndarray) -> bytes:
+    """Postings sorted by token, with their nodes' numbers in the flush."""
     gaps = np.diff(token)
     wide = np.uint32 if not len(gaps) or gaps.max() < 1 << 32 else np.uint64
-    here, at = np.unique(of, return_inverse=True)
-    small = np.uint16 if len(here) < 1 << 16 else np.uint32
-    head = np.array([kind, len(here), len(token), small().itemsize, wide().itemsize], np.int64)
-    return b"".join(x.tobytes() for x in (head, names[here], cuts[here], token[:1], gaps.astype(wide), at.astype(small)))
+    small = np.uint16 if not len(of) or of.max() < 1 << 16 else np.uint32
+    return b"".join(x.tobytes() for x in (np.array([PLAIN, flush, len(token), small().itemsize, wide().itemsize], np.int64), token[:1], gaps.astype(wide), of.astype(small)))
+
+
+def flushed(tokens: list[np.ndarray], names: list[bytes], cuts: list[int], ranges: int):
+    """(part, blob) of a flush of nodes with their sorted tokens."""
+    import xxhash
+
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    token, of = np.concatenate(tokens), np.repeat(np.arange(len(tokens), dtype=np.uint32), sizes)
+    tokens.clear()  # else they take their memory twice
+    order = np.argsort(token, kind="stable")
+    token, of = token[order], of[order]
+    del order
+    held = b"".join(names)
+    flush = xxhash.xxh3_64_intdigest(held) >> 1  # the same if the task runs again
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    counts = np.diff(np.append(starts, len(token)))
+    frequent, often = token[starts[counts >= HOT]], np.repeat(counts >= HOT, counts)
+    head = np.array([OWN, flush, len(names), int(often.sum())], np.int64)
+    yield flush % ranges, b"".join([head.tobytes(), held, np.array(cuts, np.int32).tobytes(), token[often].tobytes(), of[often].tobytes()])
+    part = range_of(frequent, ranges)
+    for r in np.unique(part):
+        own = frequent[part == r]
+        yield int(r), np.array([FREQUENT, 0, len(own)], np.int64).tobytes() + own.tobytes()
+    token, of = token[~often], of[~often]
+    part = range_of(token, ranges)
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else [0]
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield int(part[a]), packed(flush, token[a:b], of[a:b])
 
 
 def postings(docs: DataFrame, width: int, percent: int, ranges: int, text: str) -> DataFrame:
-    """part, blob: shingles of the range `part` with the nodes that have them, sorted by shingle.
-
-    Postings of frequent shingles go to parts from `ranges` on, dealt by their task, and the shingles' names to their range."""
-
-    def flush(tokens, names, cuts):
-        import uuid
+    """part, blob: shingles of the range `part` with the nodes that have them, sorted by shingle, and what stays with the flushes."""
 
+    def handed(*flush):
         import pyarrow as pa
 
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        token, of = np.concatenate(tokens), np.repeat(np.arange(len(tokens), dtype=np.uint32), sizes)
-        tokens.clear()  # else they take their memory twice
-        order = np.argsort(token, kind="stable")
-        token, of = token[order], of[order]
-        del order
-        names, cuts = np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2), np.array(cuts, np.int32)
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        counts = np.diff(np.append(starts, len(token)))
-        parts, blobs = [], []
-        if (counts >= HOT).any():
-            frequent, often = token[starts[counts >= HOT]], np.repeat(counts >= HOT, counts)
-            parts.append(ranges + uuid.uuid4().int % ranges)
-            blobs.append(pack(SPREAD, token[often], of[often], names, cuts))
-            for r in np.unique(range_of(frequent, ranges)):
-                own = frequent[range_of(frequent, ranges) == r]
-                parts.append(int(r))
-                blobs.append(np.array([NAMES, len(own)], np.int64).tobytes() + own.tobytes())
-            token, of = token[~often], of[~often]
-        part = range_of(token, ranges)
-        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else [0]
-        for a, b in zip(edges[:-1], edges[1:]):
-            parts.append(int(part[a]))
-            blobs.append(pack(PLAIN, token[a:b], of[a:b], names, cuts))
-        for at in range(0, len(parts), 256):
-            yield pa.RecordBatch.from_pydict({"part": pa.array(parts[at : at + 256], pa.int32()), "blob": pa.array(blobs[at : at + 256], pa.binary())})
+        rows = list(flushed(*flush, ranges))
+        for at in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows[at : at + 256]], pa.int32()), "blob": pa.array([r[1] for r in rows[at : at + 256]], pa.binary())})
 
     def run(batches):
         tokens, names, cuts, size, seen = [], [], [], 0, set()
@@ -143,10 +145,10 @@ def postings(docs: DataFrame, width: int, percent: int, ranges: int, text: str)
                 cuts.append(slack(len(own), percent) + SHARED - len(kept))
                 size += len(kept)
                 if size >= FLUSH:
-                    yield from flush(tokens, names, cuts)
+                    yield from handed(tokens, names, cuts)
                     tokens, names, cuts, size, seen = [], [], [], 0, set()
         if tokens:
-            yield from flush(tokens, names, cuts)
+            yield from handed(tokens, names, cuts)
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "part int, blob binary")
 
@@ -160,126 +162,78 @@ class Postings:
     """A blob of postings, read by stretches of tokens."""
 
     def __init__(self, blob: bytes):
-        self.kind, names_n, n, small, wide = np.frombuffer(blob, np.int64, 5)
-        at = 40
-        self.names = np.frombuffer(blob, np.uint64, 2 * names_n, at).reshape(-1, 2)
-        self.cuts = np.frombuffer(blob, np.int32, names_n, at := at + 16 * names_n)
-        self.first = np.frombuffer(blob, np.uint64, 1, at := at + 4 * names_n)
-        self.gaps = np.frombuffer(blob, np.uint32 if wide == 4 else np.uint64, n - 1, at := at + 8)
-        self.of = np.frombuffer(blob, np.uint16 if small == 2 else np.uint32, n, at + wide * (n - 1))
+        _, self.flush, n, small, wide = np.frombuffer(blob, np.int64, 5)
+        self.first = np.frombuffer(blob, np.uint64, 1, 40)
+        self.gaps = np.frombuffer(blob, np.uint32 if wide == 4 else np.uint64, n - 1, 48)
+        self.of = np.frombuffer(blob, np.uint16 if small == 2 else np.uint32, n, 48 + wide * (n - 1))
 
     def tokens(self) -> np.ndarray:
         return np.cumsum(np.concatenate([self.first, self.gaps.astype(np.uint64)]), dtype=np.uint64)
 
     def between(self, low: int, high: int):
-        """token, names and cuts of the postings of tokens from low up to high."""
+        """Tokens from low up to high, and their nodes' numbers."""
         token = self.tokens()
-        a, b = np.searchsorted(token, np.array([low, high], np.uint64)) if high < 1 << KEPT else (np.searchsorted(token, np.uint64(low)), len(token))
-        return token[a:b].copy(), self.names[self.of[a:b]], self.cuts[self.of[a:b]]
-
-
-def numbered(names: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal names, in the names' order."""
-    order = np.lexsort((names[:, 1], names[:, 0]))
-    own = names[order]
-    new = np.ones(len(own), np.int64)
-    new[0] = 0
-    new[1:] = (own[1:] != own[:-1]).any(1)
-    out = np.empty(len(own), np.int64)
-    out[order] = np.cumsum(new)
-    return out
-
-
-def shared_of(buckets: int):
-    """Of a range's postings those of shingles with several nodes, by buckets of nodes; of frequent shingles' all."""
-
-    def kept(token, names, cut, count):
-        """Rows of the postings, by buckets."""
-        bucket = (names[:, 0] >> np.uint64(7)) % np.uint64(buckets)
-        order = np.lexsort((names[:, 1], names[:, 0], bucket))
-        token, names, cut, count, bucket = token[order], names[order], cut[order], count[order], bucket[order]
-        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else [0]
-        for i, j in zip(edges[:-1], edges[1:]):
-            own = names[i:j]
-            starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(1)]))
-            sizes = np.diff(np.append(starts, j - i)).astype(np.uint32)
-            short = token[i:j].view(np.uint8).reshape(-1, 8)[:, : KEPT // 8]
-            yield int(bucket[i]), b"".join(x.tobytes() for x in (np.array([len(starts), j - i], np.int64), own[starts], cut[i:j][starts], sizes, count[i:j], np.ascontiguousarray(short)))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kinds = [np.frombuffer(b, np.int64, 1)[0] for b in group["blob"]]
-        frequent = [np.frombuffer(b, np.uint64, offset=16) for k, b in zip(kinds, group["blob"]) if k == NAMES]
-        frequent = np.unique(np.concatenate(frequent)) if frequent else np.zeros(0, np.uint64)
-        own = [Postings(b) for k, b in zip(kinds, group["blob"]) if k != NAMES]
-        spread = any(k == SPREAD for k in kinds)
-        total = sum(len(p.of) for p in own)
-        parts = 1 if spread else max(1, total // (2 * RANGE))
-        rows = []
-        if spread:  # one task's postings at a time
-            for p in own:
-                token, names, cut = p.between(0, 1 << KEPT)
-                rows += kept(token, names, cut, np.full(len(token), HOT, np.uint16))
-            return pd.DataFrame(rows, columns=["bucket", "blob"])
-        edges = [0, 1 << KEPT]
-        if parts > 1:  # stretches of about as many postings each
-            cuts = np.sort(np.concatenate([p.tokens()[:: max(1, len(p.of) // 64)] for p in own]))
-            edges = [0, *np.unique(cuts[np.linspace(0, len(cuts) - 1, parts + 1).astype(int)[1:-1]]).tolist(), 1 << KEPT]
-        for low, high in zip(edges, edges[1:]):
-            pieces = [x for x in (p.between(low, high) for p in own) if len(x[0])]
-            if not pieces:
-                continue
-            token, names, cut = (np.concatenate([p[i] for p in pieces]) for i in range(3))
-            del pieces
-            node = numbered(names)
-            order = np.lexsort((node, token))
-            token, node, names, cut = token[order], node[order], names[order], cut[order]
-            new = np.ones(len(token), bool)  # a node that several tasks saw counts once
-            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, names, cut = token[new], names[new], cut[new]
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            size = np.diff(np.append(starts, len(token)))
-            size[np.isin(token[starts], frequent)] = HOT
-            count = np.repeat(np.minimum(size, HOT), np.diff(np.append(starts, len(token)))).astype(np.uint16)
-            several = count > 1
-            rows += kept(token[several], names[several], cut[several], count[several])
-        return pd.DataFrame(rows, columns=["bucket", "blob"])
-
-    return run
+        a = np.searchsorted(token, np.uint64(low))
+        b = np.searchsorted(token, np.uint64(high)) if high < 1 << KEPT else len(token)
+        return token[a:b].copy(), self.of[a:b]
+
+
+def shared_of(group: pd.DataFrame) -> pd.DataFrame:
+    """Of a range's postings those of shingles with several nodes, by flush, with the counts; what stays with a flush goes on as it is."""
+    kinds = [np.frombuffer(b, np.int64, 1)[0] for b in group["blob"]]
+    frequent = [np.frombuffer(b, np.uint64, offset=24) for k, b in zip(kinds, group["blob"]) if k == FREQUENT]
+    frequent = np.unique(np.concatenate(frequent)) if frequent else np.zeros(0, np.uint64)
+    rows = [(int(np.frombuffer(b, np.int64, 1, 8)[0]), b) for k, b in zip(kinds, group["blob"]) if k == OWN]
+    own = [Postings(b) for k, b in zip(kinds, group["blob"]) if k == PLAIN]
+    parts = max(1, sum(len(p.of) for p in own) // (2 * RANGE))
+    edges = [0, 1 << KEPT]
+    if parts > 1:  # stretches of about as many postings each
+        cuts = np.sort(np.concatenate([p.tokens()[:: max(1, len(p.of) // 64)] for p in own]))
+        edges = [0, *np.unique(cuts[np.linspace(0, len(cuts) - 1, parts + 1).astype(int)[1:-1]]).tolist(), 1 << KEPT]
+    for low, high in zip(edges, edges[1:]):
+        pieces = [(p.flush, *p.between(low, high)) for p in own]
+        pieces = [p for p in pieces if len(p[1])]
+        if not pieces:
+            continue
+        token, at, size = np.unique(np.concatenate([p[1] for p in pieces]), return_inverse=True, return_counts=True)
+        size[np.isin(token, frequent)] = HOT
+        count = np.minimum(size, HOT).astype(np.uint16)[at]
+        start = 0
+        for flush, mine, of in pieces:
+            here = count[start : start + len(mine)]
+            start += len(mine)
+            several = here > 1
+            if several.any():
+                short = np.ascontiguousarray(mine[several].view(np.uint8).reshape(-1, 8)[:, : KEPT // 8])
+                head = np.array([PLAIN, flush, len(short), of.dtype.itemsize], np.int64)
+                rows.append((int(flush), b"".join([head.tobytes(), here[several].tobytes(), of[several].tobytes(), short.tobytes()])))
+    return pd.DataFrame(rows, columns=["flush", "blob"])
 
 
 def first_shared(group: pd.DataFrame) -> pd.DataFrame:
-    """node, m and tokens: the shared ones among each node's first shingles, if two or more. Nodes of a large bucket are taken by parts of them."""
-    read = []
+    """node, m and tokens: the shared ones among the first shingles of each node of a flush, if two or more."""
+    names, cuts, pieces = None, None, []
     for blob in group["blob"]:
-        names_n, n = np.frombuffer(blob, np.int64, 2)
-        names = np.frombuffer(blob, np.uint64, 2 * names_n, 16).reshape(-1, 2)
-        cut = np.frombuffer(blob, np.int32, names_n, at := 16 + 16 * names_n)
-        sizes = np.frombuffer(blob, np.uint32, names_n, at := at + 4 * names_n)
-        count = np.frombuffer(blob, np.uint16, n, at := at + 4 * names_n)
-        read.append((names, cut, sizes, count, np.frombuffer(blob, np.uint8, n * (KEPT // 8), at + 2 * n).reshape(-1, KEPT // 8)))
-    parts = max(1, sum(len(r[3]) for r in read) // (2 * RANGE))
-    rows = []
-    for part in range(parts):
-        pieces = []
-        for names, cut, sizes, count, short in read:
-            mine = names[:, 1] % np.uint64(parts) == part
-            each = np.repeat(mine, sizes)
-            full = np.zeros((int(each.sum()), 8), np.uint8)
-            full[:, : KEPT // 8] = short[each]
-            pieces.append((full.view(np.uint64).ravel(), np.repeat(names[mine], sizes[mine], 0), np.repeat(cut[mine], sizes[mine]), count[each]))
-        token, names, cut, count = (np.concatenate([p[i] for p in pieces]) for i in range(4))
-        del pieces
-        if not len(token):
-            continue
-        node = numbered(names)
-        order = np.lexsort((token, count, node))
-        token, node, names, cut = token[order], node[order], names[order], cut[order]
-        new = np.ones(len(token), bool)  # several tasks may have sent a frequent shingle of one node
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, names, cut = token[new], node[new], names[new], cut[new]
-        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        m = cut[starts] + np.diff(np.append(starts, len(node)))
-        rows += [(names[s].tobytes(), k, token[s : s + k].astype(np.int64)) for s, k in zip(starts, m.tolist()) if k >= SHARED]
+        kind, _, n, x = np.frombuffer(blob, np.int64, 4)
+        if kind == OWN:
+            names, cuts = np.frombuffer(blob, np.uint64, 2 * n, 32).reshape(-1, 2), np.frombuffer(blob, np.int32, n, 32 + 16 * n)
+            token = np.frombuffer(blob, np.uint64, x, at := 32 + 20 * n)
+            pieces.append((token, np.frombuffer(blob, np.uint32, x, at + 8 * x), np.full(x, HOT, np.uint16)))
+        else:
+            count = np.frombuffer(blob, np.uint16, n, 32)
+            of = np.frombuffer(blob, np.uint16 if x == 2 else np.uint32, n, 32 + 2 * n).astype(np.uint32)
+            full = np.zeros((n, 8), np.uint8)
+            full[:, : KEPT // 8] = np.frombuffer(blob, np.uint8, n * (KEPT // 8), 32 + (2 + x) * n).reshape(-1, KEPT // 8)
+            pieces.append((full.view(np.uint64).ravel(), of, count))
+    token, of, count = (np.concatenate([p[i] for p in pieces]) for i in range(3))
+    del pieces
+    if not len(token):
+        return pd.DataFrame([], columns=["node", "m", "tokens"])
+    order = np.lexsort((token, count, of))
+    token, of = token[order], of[order]
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    m = cuts[of[starts]] + np.diff(np.append(starts, len(of)))
+    rows = [(names[of[s]].tobytes(), k, token[s : s + k].astype(np.int64)) for s, k in zip(starts, m.tolist()) if k >= SHARED]
     return pd.DataFrame(rows, columns=["node", "m", "tokens"])
 
 
@@ -298,8 +252,8 @@ def boundary(sizes: dict[int, int], length: float) -> int:
 def families(docs: DataFrame, total: int, width: int, percent: int, text: str) -> DataFrame:
     """node, component: nodes that may link, by family."""
     ranges = min(max(4, -(-total // RANGE)), RANGES)
-    blobs = postings(docs, width, percent, ranges, text).groupBy("part").applyInPandas(shared_of(ranges), "bucket int, blob binary")
-    first = checkpoint(blobs.groupBy("bucket").applyInPandas(first_shared, "node binary, m int, tokens array<long>"))
+    blobs = postings(docs, width, percent, ranges, text).groupBy("part").applyInPandas(shared_of, "flush long, blob binary")
+    first = checkpoint(blobs.groupBy("flush").applyInPandas(first_shared, "node binary, m int, tokens array<long>"))
     lists = first.select("node", "m", F.explode("tokens").alias("key"))
     lengths = lists.groupBy("key").count().agg(F.avg("count")).head()[0] or 1.0
     at = boundary({r[0]: r[1] for r in first.groupBy("m").count().collect()}, lengths)
@@ -307,8 +261,8 @@ def families(docs: DataFrame, total: int, width: int, percent: int, text: str) -
     light = first.where(F.col("m") <= at).select("node", F.explode(subsets).alias("key"))
     lists = lists.withColumn("heavy", F.col("m") > at)
     links = None
-    for filed, condition in ((light.withColumn("heavy", F.lit(True)), "copies > 1"), (lists, "copies > 1 and heavy")):
-        least = filed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("copies"), F.max("heavy").alias("heavy")).where(condition)
+    for filed, condition in ((light.withColumn("heavy", F.lit(True)), "a <> z"), (lists, "a <> z and heavy")):
+        least = filed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.max("heavy").alias("heavy")).where(condition)
         own = filed.select("key", F.col("node").alias("b")).join(least.select("key", "a"), "key").where("a <> b").select("a", "b").distinct()
         links = own if links is None else links.unionByName(own)
     return components(links)

@@ -160,39 +160,42 @@ def test_large_families(spark):
 
 
 def test_frequent_shingles_and_parts_change_nothing(monkeypatch):
-    """Postings by ranges, as one task has them or as several with frequent shingles apart, and read by parts."""
+    """The first shared shingles of nodes, from the flushes of one task or several, with frequent shingles apart and ranges read by parts."""
+    import pandas as pd
+
     rng = np.random.default_rng(5)
-    names = rng.integers(0, 1 << 63, (300, 2)).astype(np.uint64)
+    names = [rng.bytes(16) for _ in range(300)]
     common = np.sort(rng.integers(0, 1 << jaccard.KEPT, 3)).astype(np.uint64)
     pool = rng.integers(0, 1 << jaccard.KEPT, 400).astype(np.uint64)
     sets = [np.unique(np.concatenate([common, rng.choice(pool, 12)])) for _ in names]
+    cut = lambda s: jaccard.slack(len(s), 60) + jaccard.SHARED - len(s)
 
-    def first(parts, hot):
-        import pandas as pd
-
-        blobs = []
-        for chosen in parts:
-            token = np.concatenate([sets[i] for i in chosen])
-            of = np.repeat(np.arange(len(chosen)), [len(sets[i]) for i in chosen])
-            order = np.argsort(token, kind="stable")
-            token, of = token[order], of[order]
-            cuts = np.array([jaccard.slack(len(sets[i]), 60) + jaccard.SHARED - len(sets[i]) for i in chosen], np.int32)
-            spread = np.isin(token, common) if hot else np.zeros(len(token), bool)
-            if hot:
-                blobs += [(1, jaccard.pack(jaccard.SPREAD, token[spread], of[spread], names[chosen], cuts)), (0, np.array([jaccard.NAMES, len(common)], np.int64).tobytes() + common.tobytes())]
-            blobs.append((0, jaccard.pack(jaccard.PLAIN, token[~spread], of[~spread], names[chosen], cuts)))
-        out = [jaccard.shared_of(2)(pd.DataFrame({"blob": [b for p, b in blobs if p == part]})) for part in (0, 1) if any(p == part for p, _ in blobs)]
-        rows = pd.concat(out)
-        found = pd.concat([jaccard.first_shared(g) for _, g in rows.groupby("bucket")])
+    def first(flushes, ranges=3):
+        blobs = pd.DataFrame([x for f in flushes for x in jaccard.flushed([sets[i] for i in f], [names[i] for i in f], [cut(sets[i]) for i in f], ranges)], columns=["part", "blob"])
+        rows = pd.concat([jaccard.shared_of(g) for _, g in blobs.groupby("part")])
+        found = pd.concat([jaccard.first_shared(g) for _, g in rows.groupby("flush")])
         return sorted((r.node, r.m, tuple(r.tokens)) for r in found.itertuples())
 
+    def brute(hot):
+        counts = {}
+        for s in sets:
+            for t in s.tolist():
+                counts[t] = counts.get(t, 0) + 1
+        out = []
+        for name, s in zip(names, sets):
+            own = sorted((min(counts[t], hot), t) for t in s.tolist() if counts[t] > 1)
+            m = cut(s) + len(own)
+            if m >= jaccard.SHARED:
+                out.append((name, m, tuple(t for _, t in own[:m])))
+        return sorted(out)
+
     everyone = list(range(len(names)))
-    monkeypatch.setattr(jaccard, "HOT", 200)
-    want = first([everyone], False)
-    halves = [everyone[:180], everyone[120:]]  # some nodes are in both
-    assert first(halves, False) == want and first(halves, True) == want and len(want) > 200
+    halves = [everyone[:140], everyone[140:]]
+    assert first([everyone]) == first(halves) == brute(jaccard.HOT) and len(brute(jaccard.HOT)) > 200
+    monkeypatch.setattr(jaccard, "HOT", 100)  # the common ones are frequent in each flush, and known to be
+    assert first([everyone]) == first(halves) == first(halves, 1) == brute(100)
     monkeypatch.setattr(jaccard, "RANGE", 40)
-    assert first([everyone], False) == want and first(halves, True) == want
+    assert first(halves) == first(halves, 1) == brute(100)
 
 
 def test_thresholds_and_clashing_names(spark):
