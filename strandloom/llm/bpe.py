@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import release
+
 #: The pre-tokenization pattern of the byte-level vocabularies, as their documentation gives it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space as the pattern means it.
@@ -226,6 +228,7 @@ def with_columns(df: DataFrame, added: list[T.StructField], make) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 arrays + [pa.array(x, k.type) for x, k in zip(made, kinds, strict=True)], schema=pa.schema(fields + kinds)
             )
+        release()
 
     ordered = [f"`{f.name}`" for f in kept]
     return df.select(*ordered, *[f"`{f.name}`" for f in df.schema.fields if f.name.lower() in names]).mapInArrow(run, schema)

@@ -62,6 +62,19 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+def release() -> None:
+    """Hands a worker's freed memory back to the system: workers are used again, and what one task needed stays with them else."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, columns, fresh, written
+from .common import checkpoint, columns, fresh, release, written
 from .components import components
 from .shingles import digest, sets
 
@@ -78,6 +78,7 @@ def described(docs: DataFrame, width: int = WIDTH, text: str = "text") -> DataFr
                 n.append(len(own))
                 node.append(digest(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary())], ["doc_id", "name", "n_shingles", "node"])
+        release()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), named(text).alias("name"), F.col(text).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, name long, n_shingles long, node binary")
@@ -149,6 +150,7 @@ def postings(docs: DataFrame, width: int, percent: int, ranges: int, text: str)
                     tokens, names, cuts, size, seen = [], [], [], 0, set()
         if tokens:
             yield from handed(tokens, names, cuts)
+        release()
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "part int, blob binary")
 
@@ -428,6 +430,7 @@ def links(docs: DataFrame, rows: DataFrame, total: int, width: int, percent: int
             batch = batch.filter(pa.array((known.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
             found = [(k, digest(own), own.tobytes()) for k, own in zip(batch.column(0).to_pylist(), sets(batch.column(1), width)) if len(own)]
             yield pa.RecordBatch.from_pydict({"key": pa.array([f[0] for f in found], pa.int64()), "name": pa.array([f[1] for f in found], pa.binary()), "set": pa.array([f[2] for f in found], pa.binary())})
+        release()
 
     again = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", "text", bit("doc_id").alias("bit"))
     again = again.mapInArrow(run, "key long, name binary, set binary")

@@ -31,8 +31,8 @@ TRAINING_DOCUMENTS = 10_000
 SMOOTHING = 0.5
 PENALTY = 3.0
 ROUNDS = 10
-#: Bytes of a long text that are counted at a time.
-PIECE = 1 << 20
+#: Bytes of a long text that are counted at a time; bytes up to which sorting is cheaper than counting by bucket.
+PIECE, SHORT = 1 << 18, 1 << 13
 UNDETERMINED = "und"
 #: Steps of the share of documents that is learnt from.
 STEPS = 1 << 50
@@ -71,9 +71,8 @@ class Model:
         """The chosen languages with their proportions, largest first, and the mean log-likelihood ratio of a trigram against chance."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return [], -math.inf
-        n = counts(text)
-        at = np.flatnonzero(n)
-        r, n = self.p[at], n[at].astype(float)
+        at, n = counts(text)
+        r, n = self.p[at], n.astype(float)
         size = n.sum()
         if not size:
             return [], -math.inf
@@ -93,15 +92,16 @@ class Model:
         return chosen, fit / size
 
 
-def counts(text: str) -> np.ndarray:
-    """How often a text has the trigrams of each bucket, counted PIECE bytes at a time."""
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's trigrams, and how often it has each. Long texts are counted PIECE bytes at a time."""
     raw = normalised(text)
-    if len(raw) <= 2 * PIECE:
-        return np.bincount(buckets(raw), minlength=BUCKETS)
-    out = np.zeros(BUCKETS, np.int64)
+    if len(raw) <= SHORT:
+        return np.unique(buckets(raw), return_counts=True)
+    n = np.zeros(BUCKETS, np.int64)
     for start in range(0, len(raw) - 2, PIECE):
-        out += np.bincount(buckets(raw[start : start + PIECE + 2]), minlength=BUCKETS)
-    return out
+        n += np.bincount(buckets(raw[start : start + PIECE + 2]), minlength=BUCKETS)
+    at = np.flatnonzero(n)
+    return at, n[at]
 
 
 def proportions(r: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -132,7 +132,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", limit: int = TR
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 c = own.setdefault(k, np.zeros(BUCKETS, np.int64))
-                c += counts(t)
+                at, n = counts(t)
+                c[at] += n
         for k, c in own.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(c[at], pa.int64())})

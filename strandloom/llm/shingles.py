@@ -11,7 +11,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are hashed together.
-PART = 1 << 21
+PART = 1 << 19
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SPACE = np.zeros(256, bool)
