@@ -164,11 +164,12 @@ def consensus_rules(records: DataFrame) -> DataFrame:
     """Records whose reference line differs from the consensus of their rows; none where it was built by hand or rows come in blocks."""
     from strandloom.operators import msa
 
-    own = records.where(F.element_at("gc", "RF").isNotNull() & F.col("block_separator_line").isNull() & ~F.coalesce(F.lower(X.trimmed(R.first_of("CT"))) == "handbuilt", F.lit(False)))
+    own = records.where(F.element_at("gc", "RF").isNotNull() & F.col("block_separator_line").isNull() & ~R.hand_curated())
     called = msa.consensus(R.rows(own))
     own = own.withColumn("msa_id", F.concat("file", F.lit("#"), "record_num")).join(called, "msa_id")
     dashed = F.upper(F.translate(F.element_at("gc", "RF"), "._~", "---"))
-    bad = own.where(dashed != F.upper("consensus"))
+    # A line that only marks occupied columns is compared as such
+    bad = own.where(~F.when(msa.is_occupancy(dashed), F.lower(dashed) == msa.occupancy(F.col("consensus"))).otherwise(dashed == F.upper("consensus")))
     return ranked(bad.select("file", "record_num", R.label().alias("label"), F.lit("WARN").alias("severity"), F.lit("rf_consensus_mismatch").alias("check"), F.lit("RF differs from the consensus of the rows").alias("message")))
 
 

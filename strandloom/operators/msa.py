@@ -259,6 +259,26 @@ def statistics(rows: DataFrame) -> DataFrame:
     return by_reference.join(by_consensus, ["msa_id", "row_idx"]).withColumn("high", F.col("from_reference") >= 90)
 
 
+def averages(stats: DataFrame) -> DataFrame:
+    """Mean divergences of each alignment of statistics(), the full ones included."""
+    return stats.groupBy("msa_id").agg(F.avg("from_reference").alias("from_reference"), F.avg("from_consensus").alias("from_consensus"))
+
+
+def is_occupancy(line: Column) -> Column:
+    """Whether a reference line only marks which columns the consensus occupies."""
+    return line.rlike(r"^[xX\-. ]*$")
+
+
+def occupancy(consensus: Column) -> Column:
+    """A consensus as such marks: x for bases, gaps as they are."""
+    return F.regexp_replace(consensus, r"[^\-. ]", "x")
+
+
+def is_stable(reference: Column, consensus: Column) -> Column:
+    """Whether a reference line is the consensus, or its occupancy if it is of that kind, letter by letter."""
+    return F.when(is_occupancy(reference), reference == occupancy(consensus)).otherwise(reference == consensus)
+
+
 def column_scores(rows: DataFrame) -> DataFrame:
     """The greatest score of any letter in each column; 0 where nothing counts."""
     best = totals(rows).select("msa_id", "col", F.greatest(*alphabet.LETTERS).alias("score"))
@@ -348,3 +368,21 @@ def sub_range(rows: DataFrame, start: int, end: int) -> DataFrame:
     own = consensus_letters(rows).where("letter <> '-'").withColumn("nth", F.row_number().over(Window.partitionBy("msa_id").orderBy("col")))
     kept = own.where(F.col("nth").between(start, end)).groupBy("msa_id").agg(F.min("col").alias("a"), (F.max("col") + 1).alias("b"))
     return slice_columns(rows.join(kept, "msa_id"), F.col("a"), F.col("b")).drop("a", "b")
+
+
+def parsed_range(text: str) -> tuple[int, int]:
+    """Start and end, from 1, of `start-end`; ValueError if it is no range."""
+    start, dash, end = text.partition("-")
+    if not dash or not start.isdigit() or not end.isdigit() or not 1 <= int(start) <= int(end):
+        raise ValueError(f"no range of places from 1, as 10-200: {text!r}")
+    return int(start), int(end)
+
+
+def sub_align(rows: DataFrame, text: str, include_reference: bool = False) -> DataFrame:
+    """sub_range of alignments whose reference line is the consensus (of the instances, or of the reference too); others are an error."""
+    start, end = parsed_range(text)
+    own = rows.where("is_reference").select(F.col("msa_id").alias("of"), F.col("seq").alias("line")).join(consensus(rows, include_reference=include_reference), F.col("of") == F.col("msa_id"))
+    unstable = F.raise_error(F.concat(F.lit("the reference line isn't the consensus; update it first: "), "of")).cast("boolean")
+    kept = own.select("of", F.coalesce(is_stable(F.col("line"), F.col("consensus")), F.lit(False)).alias("stable"))
+    checked = rows.join(kept, F.col("msa_id") == F.col("of")).where(F.when(F.col("stable"), True).otherwise(unstable)).select(*rows.columns)
+    return sub_range(checked, start, end)

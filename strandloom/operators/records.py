@@ -161,3 +161,24 @@ def rows(records: DataFrame) -> DataFrame:
     listed = F.when(rf.isNotNull(), F.concat(F.array(first), own)).otherwise(own)
     out = records.select("file", F.concat("file", F.lit("#"), "record_num").alias("msa_id"), F.posexplode(listed).alias("row_idx", "r"))
     return out.select("file", "msa_id", "row_idx", (F.col("row_idx") == 0).alias("is_reference"), "r.*")
+
+
+def hand_curated() -> Column:
+    """Whether a record says that its consensus was built by hand."""
+    return F.coalesce(F.lower(X.trimmed(first_of("CT"))) == "handbuilt", F.lit(False))
+
+
+def update_reference(records: DataFrame) -> DataFrame:
+    """Records with the reference line called anew from their rows, gaps as dots; one built by hand loses its CT. Records without rows stay as they are."""
+    from strandloom.operators import msa
+
+    own = records.withColumn("msa_id", F.concat("file", F.lit("#"), "record_num"))
+    listed = own.select("msa_id", F.posexplode("sequences").alias("row_idx", "r"))
+    listed = listed.select("msa_id", "row_idx", F.lit(False).alias("is_reference"), F.translate(F.col("r.aligned_seq"), ".", "-").alias("seq"))
+    called = msa.consensus(listed).select(F.col("msa_id").alias("of"), F.translate("consensus", "-", ".").alias("called"))
+    out = own.join(called, F.col("msa_id") == F.col("of"), "left")
+    rest = F.map_filter(F.coalesce("gc", F.create_map().cast("map<string,string>")), lambda k, _: k != "RF")
+    gc = F.when(F.col("called").isNotNull(), F.map_concat(rest, F.create_map(F.lit("RF"), F.col("called")))).otherwise(F.col("gc"))
+    gf = F.when(F.col("called").isNotNull() & hand_curated(), F.filter("gf", lambda g: g["tag"] != "CT")).otherwise(F.col("gf"))
+    new = {"gc": gc, "gf": gf}
+    return out.select(*[new[c].alias(c) if c in new else c for c in records.columns])

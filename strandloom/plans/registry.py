@@ -5,14 +5,18 @@ Each query applies an operator to the whole of a table of the driver's; plans.de
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import alphabet, ids
 from strandloom.functions import text as X
+from strandloom.functions.tables import shared_dir
 from strandloom.operators import coords, families, lint, msa, pairwise, records, sites
 from strandloom.plans import derive
 from strandloom.plans.derive import ALN, GEN
+from strandloom.sources import files, writers
 
 MATRIX = "m(cand, idx, obs, score) AS (VALUES " + ", ".join(f"('{c}', {i}, '{o}', {s})" for c, i, o, s in alphabet.score_rows()) + ")"
 SITE_MATRIX = "m(cand, idx, obs, score) AS (VALUES " + ", ".join(f"('{c}', {i}, '{o}', {s})" for c, i, o, s in alphabet.score_rows(sites.LETTERS, alphabet.site_score)) + ")"
@@ -171,6 +175,23 @@ def statistics(spark, sf_dir):
     return found.withColumn("from_reference", F.round("from_reference", 6)).withColumn("from_consensus", F.round("from_consensus", 6))
 
 
+#: Means are cut where the mean of a few rounded values cannot fall, so that both sides cut alike: floor(1000 * x + CUT) / 1000.
+CUT = 0.123456789
+
+
+@query(ORACLE_SQL["statistics"].replace("SELECT k.msa_id, k.row_idx,", ", s AS (SELECT k.msa_id, k.row_idx,") + f""")
+SELECT msa_id, floor(1000 * avg(from_reference) + {CUT}) / 1000 AS from_reference, floor(1000 * avg(from_consensus) + {CUT}) / 1000 AS from_consensus FROM s GROUP BY msa_id""")
+def statistics_averages(spark, sf_dir):
+    found = msa.averages(statistics(spark, sf_dir))
+    return found.select("msa_id", *[(F.floor(1000 * F.col(c) + CUT) / 1000).alias(c) for c in ("from_reference", "from_consensus")])
+
+
+@query(f"""WITH {ALN} SELECT msa_id, string_agg('>' || row_idx || '  ' || msa_id || chr(10) || replace(seq, '-', ''), chr(10) ORDER BY row_idx) AS text FROM aln WHERE NOT is_reference GROUP BY msa_id""")
+def raw_sequences(spark, sf_dir):
+    rows = derive.alignments(spark, sf_dir).withColumn("name", F.col("row_idx").cast("string"))
+    return writers.raw_text(rows, rows.select("msa_id", F.col("msa_id").alias("origin")).distinct())
+
+
 @query(f"WITH {ALN} SELECT msa_id, row_idx, translate(reverse(regexp_replace(upper(seq), '[^ACGTRYKMSWBDHVNX\\- ]', 'N', 'g')), 'ATGCRYKMBVDH', 'TACGYRMKVBHD') AS iupac, translate(reverse(seq), 'ACGT', 'TGCA') AS plain, translate(seq, '-_~', '...') AS dotted, replace(replace(seq, '-', ''), '.', '') AS bases FROM aln")
 def sequence_functions(spark, sf_dir):
     rows, seq = derive.alignments(spark, sf_dir), F.col("seq")
@@ -215,6 +236,32 @@ def coord_validate(spark, sf_dir):
     return coords.validate(derive.records(spark, sf_dir), derive.genome(spark, sf_dir)).select("file", "rec_order", "start", "end", "orient", "validated")
 
 
+@query(f"""WITH {GEN}
+SELECT CASE WHEN s IS NULL THEN 'r' || substr(file, 2) || '/' || rec_order ELSE sequence_id END AS sequence_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", o AS orient, q AS sequence FROM rec""")
+def coordinate_scan(spark, sf_dir):
+    """Records of coordinates written as FASTA and read again."""
+    path = f"{shared_dir(spark)}/coordinates-{uuid.uuid4().hex}"
+    texts = derive.records(spark, sf_dir).select("file", "rec_order", writers.coordinates_fasta().alias("text"))
+    writers.save(texts, path, ["file", "rec_order"], files=8)
+    return files.coordinates(spark, path).select("sequence_id", "start", "end", "orient", "sequence")
+
+
+@query(r"""SELECT 'd' || doc_id AS id, replace(source, chr(10), ' ') AS de, lang AS cc, CAST(1 AS INTEGER) AS n_rows, 'A.C' || repeat('G', CAST(doc_id % 7 AS INTEGER)) AS seq FROM documents""")
+def record_scan(spark, sf_dir):
+    """Records of documents written as Stockholm, packed, and read again."""
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    key = F.col("doc_id")
+    pair = lambda t, v: F.struct(F.lit(t).alias("tag"), v.alias("value"))
+    seq = F.concat(F.lit("A.C"), F.repeat(F.lit("G"), (key % 7).cast("int")))
+    made = derive.table(spark, sf_dir, "documents").select(
+        key, F.array(pair("ID", F.concat(F.lit("d"), key)), pair("DE", F.col("source")), pair("CC", F.col("lang"))).alias("gf"), F.create_map(F.lit("RF"), F.translate(seq, "ACG", "xxx")).alias("gc"),
+        F.array(F.struct(F.concat(F.lit("chr"), key, F.lit(":5-9_+")).alias("original_id"), seq.alias("aligned_seq"))).alias("sequences"),
+    )
+    writers.save(made.select("doc_id", writers.stockholm_text().alias("text")), path, ["doc_id"], compressed=True, files=8)
+    back = files.stockholm(spark, path)
+    return back.select(records.first_of("ID").alias("id"), records.first_of("DE").alias("de"), records.first_of("CC").alias("cc"), F.size("sequences").alias("n_rows"), F.get("sequences", F.lit(0))["aligned_seq"].alias("seq"))
+
+
 @query(f"WITH {GEN} SELECT pattern, chrom, pos, strand FROM occ")
 def remap_hits(spark, sf_dir):
     g = derive.genome(spark, sf_dir)

@@ -10,6 +10,7 @@ import gzip
 import os
 import re
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -68,7 +69,9 @@ def read(spark: SparkSession, path, schema: str, parse: Callable[[str, bytes], I
 
 
 def text_lines(content: bytes) -> list[str]:
-    return content.decode("utf-8").splitlines() if content else []
+    """Lines without their ends; only line feeds end them, with or without a carriage return before."""
+    lines = content.decode("utf-8").split("\n") if content else []
+    return [line.removesuffix("\r") for line in (lines[:-1] if lines and not lines[-1] else lines)]
 
 
 def stockholm_records(lines: list[str]) -> Iterator[dict]:
@@ -310,8 +313,10 @@ def assembly_of(path: str) -> str:
     return re.sub(r"(?i)(\.(gz|2bit|fasta|fna|fa|fas|fsa))+$", "", os.path.basename(path))
 
 
-def twobit_entries(content: bytes) -> Iterator[tuple[str, str]]:
-    """Sequences of a 2bit file of either byte order and version, in upper case; masks are ignored."""
+def twobit_entries(content: bytes, only: str | None = None, start: int = 0, end: int | None = None) -> Iterator[tuple[str, int, str]]:
+    """Name, length and bases (from start up to end) of the sequences of a 2bit file of either byte order and version, in upper case; masks are ignored.
+
+    only: the rest is skipped, and of the one named no more is unpacked than asked for."""
     order = "<" if content[:4] == b"\x43\x27\x41\x1a" else ">"
     magic, version, count, _ = struct.unpack_from(order + "4I", content, 0)
     if magic != 0x1A412743 or version not in (0, 1):
@@ -325,17 +330,22 @@ def twobit_entries(content: bytes) -> Iterator[tuple[str, str]]:
         index.append((name, offset))
         at += 1 + size + struct.calcsize(wide)
     for name, at in index:
+        if only is not None and name != only:
+            continue
         size, blocks = struct.unpack_from(order + "2I", content, at)
         starts = struct.unpack_from(f"{order}{blocks}I", content, at + 8)
         lengths = struct.unpack_from(f"{order}{blocks}I", content, at + 8 + 4 * blocks)
         at += 8 + 8 * blocks
         (masks,) = struct.unpack_from(order + "I", content, at)
         at += 8 + 8 * masks
-        packed = content[at : at + (size + 3) // 4]
-        seq = bytearray(b"".join(FOUR[b] for b in packed)[:size])
+        stop = size if end is None else min(end, size)
+        packed = content[at + start // 4 : at + (stop + 3) // 4]
+        seq = bytearray(b"".join(FOUR[b] for b in packed)[start % 4 :][: max(0, stop - start)])
         for s, n in zip(starts, lengths):
-            seq[s : s + n] = b"N" * n
-        yield name, seq.decode()
+            a, b = max(s, start), min(s + n, stop)
+            if a < b:
+                seq[a - start : b - start] = b"N" * (b - a)
+        yield name, size, seq.decode()
 
 
 FOUR = [bytes(b"TCAG"[(b >> s) & 3] for s in (6, 4, 2, 0)) for b in range(256)]
@@ -361,27 +371,52 @@ def genome(spark: SparkSession, path) -> DataFrame:
     """assembly (from the file's name), chrom, length and upper-case seq of FASTA or 2bit files."""
 
     def parse(file, content):
-        if content[:4] in (b"\x43\x27\x41\x1a", b"\x1a\x41\x27\x43"):
-            entries = twobit_entries(content)
-        else:
-            entries = (((h.split() or [""])[0], s.upper()) for h, s in fasta_entries(text_lines(content)))
-        for name, seq in entries:
-            yield (assembly_of(file), name, len(seq), seq)
+        for name, size, seq in genome_entries(content):
+            yield (assembly_of(file), name, size, seq)
 
     return read(spark, path, GENOME, parse)
 
 
+def genome_entries(content: bytes, only: str | None = None, start: int = 0, end: int | None = None) -> Iterator[tuple[str, int, str]]:
+    """Name, length and bases of the sequences of a genome file, or of a part of one of them."""
+    if content[:4] in (b"\x43\x27\x41\x1a", b"\x1a\x41\x27\x43"):
+        yield from twobit_entries(content, only, start, end)
+        return
+    for head, seq in fasta_entries(text_lines(content)):
+        name = (head.split() or [""])[0]
+        if only is None or name == only:
+            yield name, len(seq), seq[start:end].upper()
+
+
 def genome_range(spark: SparkSession, path, chrom: str, start: int, end: int) -> DataFrame:
-    """chrom and the sequence from start up to end, counted from 0; an error beyond the end."""
-    own = genome(spark, path).where(F.col("chrom") == chrom)
-    beyond = F.raise_error(F.lit(f"{chrom} ends before {end}")).cast("string")
-    return own.select("chrom", F.when(F.col("length") < end, beyond).otherwise(F.substring("seq", start + 1, end - start)).alias("seq"))
+    """chrom and the sequence from start up to end, counted from 0; an error beyond the end. Other sequences are skipped, and so is the rest of a 2bit one."""
+
+    def parse(file, content):
+        for name, size, seq in genome_entries(content, chrom, start, end):
+            if size < end:
+                raise ValueError(f"{chrom} ends before {end}")
+            yield name, seq
+
+    return read(spark, path, "chrom string, seq string", parse)
+
+
+#: Bytes that kinds of files are told from.
+HEAD = 1 << 16
+
+
+def unpacked_head(content: bytes) -> bytes:
+    """The first bytes of a file, unpacked if it is gzip, of which the beginning is enough."""
+    return zlib.decompressobj(31).decompress(content, HEAD) if content[:2] == b"\x1f\x8b" else content[:HEAD]
+
+
+def head_lines(content: bytes) -> list[str]:
+    """The first lines of a file; a letter that is cut at the end goes."""
+    return text_lines(unpacked_head(content).decode("utf-8", "ignore").encode())
 
 
 def sniff(content: bytes) -> str:
     """Kind of an alignment file from its first two hundred lines: stockholm, clustal, fasta, ig_family, ig_msa, pairwise or unknown."""
-    content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    for line in text_lines(content)[:200]:
+    for line in head_lines(content)[:200]:
         t = line.strip()
         if t.startswith("# STOCKHOLM"):
             return "stockholm"
@@ -399,10 +434,9 @@ def sniff(content: bytes) -> str:
 def sniff_coordinates(content: bytes) -> tuple[str, bool]:
     """Kind of a file of coordinate records (fasta, stockholm, tsv, csv, 2bit or unknown), and whether it is compressed."""
     packed = content[:2] == b"\x1f\x8b"
-    content = gzip.decompress(content) if packed else content
-    if content[:4] in (b"\x43\x27\x41\x1a", b"\x1a\x41\x27\x43"):
+    if unpacked_head(content)[:4] in (b"\x43\x27\x41\x1a", b"\x1a\x41\x27\x43"):
         return "2bit", packed
-    for line in text_lines(content)[:15]:
+    for line in head_lines(content)[:15]:
         for sign, kind in ((line.startswith(">"), "fasta"), (line.startswith("# STOCKHOLM 1.0"), "stockholm"), ("\t" in line, "tsv"), ("," in line, "csv")):
             if sign:
                 return kind, packed
@@ -456,14 +490,55 @@ def coordinates(spark: SparkSession, path, columns: int = 2, header: bool = Fals
     return read(spark, path, COORDINATES, parse)
 
 
-def msa(spark: SparkSession, path: str) -> DataFrame:
-    """MSA rows of a file of any alignment format but family records and searches."""
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("c")).head()
-    kind = sniff(bytes(first["c"])) if first else "unknown"
-    found = {"stockholm": stockholm_msa, "clustal": clustal_msa, "fasta": fasta_msa, "ig_msa": ig_msa}.get(kind)
-    if found is None:
-        raise ValueError(f"{path}: {kind} files hold no alignment")
-    return found(spark, path)
+def kinds(spark: SparkSession, path) -> dict[str, str]:
+    """The kind of each file of a path, glob or list."""
+    heads = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEAD).alias("head"))
+    return {r["path"]: sniff(bytes(r["head"])) for r in heads.toLocalIterator()}
+
+
+def pairwise_msa(spark: SparkSession, path) -> DataFrame:
+    """MSA rows of search files: the hits of each subject of a file, merged by the subject."""
+    from strandloom.operators import pairwise as merging
+
+    hits = pairwise(spark, path).withColumn("subj_name", F.concat("file", F.lit("#"), "subj_name"))
+    rows = merging.merge(merging.sides(hits))
+    file = F.regexp_extract("ref", "^(.*)#", 1)
+    own = F.when(F.col("row_idx") == 0, F.regexp_extract("ref", "([^#]*)$", 1)).otherwise(F.col("name"))
+    return rows.select(file.alias("file"), F.col("ref").alias("msa_id"), "row_idx", (F.col("row_idx") == 0).alias("is_reference"), own.alias("name"), "seq", F.col("start").alias("seq_start"), F.col("end").alias("seq_end"), "orient")
+
+
+def msa(spark: SparkSession, path) -> DataFrame:
+    """MSA rows of files of any alignment format, each read as what it is; family records are no alignments and raise ValueError."""
+    by_kind: dict[str, list[str]] = {}
+    for file, kind in kinds(spark, path).items():
+        by_kind.setdefault(kind, []).append(file)
+    readers = {"stockholm": stockholm_msa, "clustal": clustal_msa, "fasta": fasta_msa, "ig_msa": ig_msa, "pairwise": pairwise_msa}
+    if not by_kind or (odd := sorted(by_kind.keys() - readers.keys())):
+        raise ValueError(f"{path}: {'no' if not by_kind else ', '.join(odd)} files hold no alignment")
+    out = None
+    for kind, own in sorted(by_kind.items()):
+        rows = readers[kind](spark, own)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def first_sequence(spark: SparkSession, path: str) -> DataFrame:
+    """name and seq, in upper case, of the first entry of a FASTA file."""
+
+    def parse(file, content):
+        for head, seq in fasta_entries(text_lines(content)):
+            yield (head.split() or [""])[0], seq.upper()
+            break
+
+    return read(spark, path, "name string, seq string", parse).limit(1)
+
+
+def reference_files(spark: SparkSession, folder: str) -> DataFrame:
+    """assembly and path of the genomes of a folder: NAME.2bit, else NAME.fa."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [s.getPath().toString() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    by = {f.rpartition("/")[2].removesuffix(end): f for end in (".fa", ".2bit") for f in found if f.endswith(end)}
+    return spark.createDataFrame(sorted(by.items()), "assembly string, path string")
 
 
 def lookup_lines(spark: SparkSession, path) -> DataFrame:

@@ -81,8 +81,7 @@ def view_text(rows: DataFrame, letters: DataFrame, width: int = 100) -> DataFram
     from strandloom.operators import msa
 
     own = msa.cells(rows).join(letters.select("msa_id", "col", F.upper("letter").alias("cons")), ["msa_id", "col"])
-    shown = F.when(F.col("base") == " ", " ").otherwise(F.when(F.col("base") == F.col("cons"), F.col("base")).otherwise(F.col("base")))
-    own = own.select("msa_id", "row_idx", "col", shown.alias("letter"), F.when(F.col("base") == " ", " ").otherwise(X.difference(F.col("cons"), F.col("base"))).alias("mark"))
+    own = own.select("msa_id", "row_idx", "col", F.col("base").alias("letter"), F.when(F.col("base") == " ", " ").otherwise(X.difference(F.col("cons"), F.col("base"))).alias("mark"))
     lines = own.groupBy("msa_id", "row_idx").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "letter"))), lambda x: x["letter"]), "").alias("line"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "mark"))), lambda x: x["mark"]), "").alias("marks"),
@@ -121,6 +120,33 @@ def statistics_text(stats: DataFrame) -> DataFrame:
     return stats.select("msa_id", "row_idx", F.format_string("%s%d\t%.2f\t%.2f", F.when(F.col("high"), "**").otherwise(""), "row_idx", "from_reference", "from_consensus").alias("text"))
 
 
+def averages_text(stats: DataFrame) -> DataFrame:
+    """msa_id and a line of an alignment's mean divergences."""
+    from strandloom.operators import msa
+
+    return msa.averages(stats).select("msa_id", F.format_string("average\t%.2f\t%.2f", "from_reference", "from_consensus").alias("text"))
+
+
+def raw_text(rows: DataFrame, origin: DataFrame) -> DataFrame:
+    """msa_id and the instances as FASTA without gaps, each with where it is from: origin(msa_id, origin)."""
+    named = rows.where(~F.col("is_reference")).join(origin, "msa_id")
+    return ordered(named, F.concat(F.lit(">"), "name", F.lit("  "), "origin", F.lit("\n"), F.translate("seq", "- ", "")))
+
+
+def fasta_entry(name: Column, seq: Column) -> Column:
+    """One sequence as FASTA."""
+    return F.concat(F.lit(">"), name, F.lit("\n"), seq)
+
+
+def output_name(path: str, folder: str) -> str:
+    """Where the result on a file goes: under its name into another folder, or beside it with the extension `discoord`."""
+    own, _, name = path.rpartition("/")
+    if (own or ".").rstrip("/") == folder.rstrip("/"):
+        stem = name.rpartition(".")[0] or name
+        return f"{own}/{stem}.discoord" if own else f"{stem}.discoord"
+    return f"{folder.rstrip('/')}/{name}"
+
+
 def coordinates_fasta() -> Column:
     """A record of coordinates as FASTA, with what was on its line."""
     from strandloom.operators.coords import formatted_id

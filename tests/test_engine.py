@@ -368,7 +368,7 @@ def test_derived_tables_leave_no_letter_out(spark, whole_texts):
 
 
 ALIGNED = "profile coverage consensus_first_pass consensus column_quality conservation kimura_pairs kimura_mean sequence_functions trim slice_columns min_length sub_range trim_ambiguous low_quality_blocks statistics pairwise_merge"
-PLACED = "coord_validate remap_hits remap_ranked remap_claim label_counts tsd_scores tsd_best tsd_consensus blast_projection"
+PLACED = "statistics_averages raw_sequences coordinate_scan coord_validate remap_hits remap_ranked remap_claim label_counts tsd_scores tsd_best tsd_consensus blast_projection"
 
 
 @pytest.mark.parametrize("name", f"{ALIGNED} {PLACED}".split())
@@ -379,3 +379,142 @@ def test_registered_sql_of_whole_texts(spark, whole_texts, name):
     got, want = registry.QUERIES[name](spark, at), sql.sql(registry.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+FAULTS = """# STOCKHOLM 1.0
+#=GF ID   rnd-1_family-2
+#=GF ID   again
+#=GF AC   DF12
+#=GF AC   
+#=GF DE   LONG
+#=GF DE   two
+#=GF SE   LONG
+#=GF TD   AC9
+#=GF CT   robot
+#=GF KD   x
+#=GF AU
+#=GF TP   Nope
+#=GF OC   Homo sapien
+#=GF RN   [1]
+#=GF RD   http://x
+#=GF ZZ   what
+#=GF SQ   5
+#=GC RF   xxx
+#=GC MM   mq
+#=GC QQ   ...
+chr1:2-4_+   CGT
+chr1:3-5_+   CGT
+chr1:40-42_+ CCC
+lost:1-3_+   ACG
+//
+# STOCKHOLM 1.0
+#=GF ID   LONGER
+#=GF SQ   many
+a  ACGT
+b  AC
+//
+# STOCKHOLM 1.0
+#=GF ID   Taken
+#=GF SQ   1
+#=GC RF   AAA
+a  CGC
+//
+# STOCKHOLM 1.0
+#=GF ID   taken
+#=GF AC   DF000000001
+#=GF SQ   1
+#=GC RF   ACG
+a  ACG
+//
+"""
+
+
+def test_every_check_fires(spark, tmp_path):
+    (tmp_path / "a.sto").write_text(FAULTS.replace("LONGER", "I" * 50).replace("LONG", "x" * 90))
+    for name, text in (("classes", "# c\nroot;LINE\tLINE\n"), ("taxa", "Homo sapiens\nMus\n"), ("common", "man\tHomo sapiens\n"), ("names", "# n\nTaken\n")):
+        (tmp_path / name).write_text(text)
+    tables = files.lookup_tables(spark, *(f"{tmp_path}/{n}" for n in ("classes", "taxa", "common", "names")))
+    assert {k: sorted(r[0] for r in t.collect()) for k, t in tables.items()} == {"classification": ["LINE", "root;LINE"], "taxonomy": ["Homo sapiens", "Mus"], "common": ["man"], "names": ["taken"]}
+    genome = spark.createDataFrame([("g", "chr1", 50, "ACGTACGTAA" * 5)], "assembly string, chrom string, length long, seq string")
+    read = files.stockholm(spark, f"{tmp_path}/a.sto")
+    found = lint.lint(read, tables, genome)
+    fired = {r.check for r in found.collect()}
+    want = (
+        "ac_format empty_field id_multi_line id_too_long id_automated_name de_multi_line de_too_long se_too_long td_invalid_chars ct_unknown kd_not_numeric rd_format mm_invalid_chars mm_length_mismatch "
+        "unknown_gf_tag unknown_gc_tag sq_mismatch sq_not_numeric rf_missing rf_consensus_mismatch seq_length_mismatch tp_unknown oc_unknown id_taken id_taken_update duplicate_id duplicate_id_update automated_name "
+        "seq_coord_fixed seq_coord_invalid seq_id_not_in_ref"
+    )
+    assert set(want.split()) <= fired, set(want.split()) - fired
+    text = found.where("check = 'oc_unknown'").select(writers.findings_text().alias("t")).head().t
+    assert text.split("\t")[2:4] == ["ERROR", "oc_unknown"] and "Homo sapiens" in text and lint.failed(found)
+
+
+def test_records_of_all_kinds(spark, tmp_path):
+    """Coordinates from three kinds of files, written in three kinds; the same rows from plain, packed and 2bit genomes."""
+    (tmp_path / "c.sto").write_text("# STOCKHOLM 1.0\n#=GF ID x\nchr1:2-4_+ CG.T\n//\n")
+    (tmp_path / "c.tsv").write_text("chr1:2-4_+\tCG-T\n")
+    (tmp_path / "c.csv").write_text("g,chr1,2,4,+,CGT\n")
+    one = files.coordinates(spark, f"{tmp_path}/c.sto")
+    assert one.select("sequence_id", "start", "end", "orient", "sequence").head() == ("chr1", 2, 4, "+", "CGT")
+    assert files.coordinates(spark, f"{tmp_path}/c.tsv").select("sequence_id", "start", "sequence").head() == ("chr1", 2, "CGT")
+    assert files.coordinates(spark, f"{tmp_path}/c.csv", columns=6).select(writers.coordinates_delimited(",").alias("t")).head().t == "g,chr1,2,4,+,CGT"
+    assert writers.coordinates_stockholm(one).head().text == "# STOCKHOLM 1.0\n#=GF ID x\nchr1:2-4_+ CG.T\n//"
+    (tmp_path / "genomes").mkdir()
+    entries = [("chr1", "ACGTNNACGTACGTTT"), ("chr2", "TTTT")]
+    plain = "".join(f">{n} note\n{s[:7].lower()}\n{s[7:]}\n" for n, s in entries)
+    (tmp_path / "genomes/g.fa").write_text(plain)
+    (tmp_path / "genomes/g.2bit").write_bytes(files.twobit_bytes(entries, "<"))
+    (tmp_path / "genomes/h.fa").write_text(plain)
+    (tmp_path / "g.fa.gz").write_bytes(gzip.compress(plain.encode()))
+    rows = [sorted((r.chrom, r.length, r.seq) for r in files.genome(spark, f"{tmp_path}/{p}").collect()) for p in ("genomes/g.fa", "genomes/g.2bit", "g.fa.gz")]
+    assert rows[0] == rows[1] == rows[2] == [(n, len(s), s) for n, s in entries]
+    for a, b in ((0, 16), (3, 9), (5, 6), (4, 4)):
+        assert {files.genome_range(spark, f"{tmp_path}/{p}", "chr1", a, b).head().seq for p in ("genomes/g.fa", "genomes/g.2bit")} == {entries[0][1][a:b]}
+    with pytest.raises(Exception, match="ends before"):
+        files.genome_range(spark, f"{tmp_path}/genomes/g.2bit", "chr2", 0, 5).collect()
+    found = {r.assembly: r.path for r in files.reference_files(spark, f"file://{tmp_path}/genomes").collect()}
+    assert found["g"].endswith("g.2bit") and found["h"].endswith("h.fa")
+    assert files.first_sequence(spark, f"{tmp_path}/genomes/h.fa").head() == ("chr1", entries[0][1])
+    assert writers.output_name("/a/x.fa", "/a") == "/a/x.discoord" and writers.output_name("/a/x.fa", "/b/") == "/b/x.fa"
+
+
+def test_mixed_and_long_packed_files(spark, tmp_path):
+    import os
+
+    (tmp_path / "a.fa").write_text(">r\nACGT\n>x\nAC-T\n")
+    (tmp_path / "b.aln").write_text("CLUSTAL W\n\na  ACGT\nb  ACGA\n")
+    (tmp_path / "c.align").write_text(" 239 29.42 1.92 0.97 q 1 4 (8) s 6 9 (2) x\n\n  q 1 AC-T 3\n      v\n  s 6 ACGT 9\n\nGap_init rate\n")
+    noise = "".join(f">n{i}\n{os.urandom(30).hex().translate(str.maketrans('0123456789abcdef', 'ACGTACGTACGTACGT'))}\n" for i in range(4000))
+    (tmp_path / "d.fa.gz").write_bytes(gzip.compress(noise.encode()))
+    rows = files.msa(spark, f"{tmp_path}/*")
+    assert {r[0]: r[1] for r in rows.groupBy(F.regexp_extract("file", "([^/]*)$", 1)).count().collect()} == {"a.fa": 2, "b.aln": 2, "c.align": 2, "d.fa.gz": 4000}
+    assert [r.seq for r in rows.where("file like '%c.align'").orderBy("row_idx").collect()] == ["ACGT", "AC-T"]
+    assert files.text_lines("a\x0cb\u2028c\x85\r\nd\n".encode()) == ["a\x0cb\u2028c\x85", "d"]
+
+
+def test_conversion_and_updates(spark, tmp_path):
+    from strandloom.operators import convert
+
+    at = f"{tmp_path}/a.sto"
+    (tmp_path / "a.sto").write_text("# STOCKHOLM 1.0\n#=GF ID F1\n#=GF CT handbuilt\n#=GC RF   AAG.T\nx:2-5_+  AC_GT\ny        ACAGT\n//\n")
+    made = lambda to, **k: convert.convert(spark, at, to, **k).head().text
+    assert made("raw") == ">x  a:1 id=F1\nACGT\n>y  a:1 id=F1\nACAGT" and made("reference") == ">F1\nAAGT"
+    assert "AC.GT" in made("stk") and "AC_GT" in made("stk", clean=False) and made("fa").startswith(">x:2-5\nACGT") and made("aln").startswith("CLUSTAL")
+    (tmp_path / "b.fa").write_text(made("msa") + "\n")
+    assert convert.convert(spark, f"{tmp_path}/b.fa").head().text.startswith("# STOCKHOLM")
+    for path, to, k in ((at, None, {}), (f"{tmp_path}/b.fa", "reference", {}), (f"{tmp_path}/b.fa", "aln", {"choice": "1"}), (at, "none", {})):
+        with pytest.raises(ValueError):
+            convert.convert(spark, path, to, **k)
+    new = records.update_reference(files.stockholm(spark, at)).head()
+    assert new.gc["RF"].replace(".", "-") == msa.consensus(alignment(spark, "AC-GT", "AC-GT", "ACAGT")).head().consensus and [g.tag for g in new.gf] == ["ID"]
+    rows = alignment(spark, "ACGT", "ACGT", "ACGT")
+    assert [r.seq for r in msa.sub_align(rows, "2-3").orderBy("row_idx").collect()] == ["CG", "CG", "CG"]
+    assert [r.seq for r in msa.sub_align(alignment(spark, "xxxx", "ACGT", "ACGT"), "2-3").where("row_idx > 0").collect()] == ["CG", "CG"]
+    with pytest.raises(Exception, match="update it first"):
+        msa.sub_align(alignment(spark, "AAAA", "ACGT", "ACGT"), "2-3").collect()
+    for bad in ("3-2", "0-2", "4", "a-b"):
+        with pytest.raises(ValueError):
+            msa.parsed_range(bad)
+    stats = msa.statistics(alignment(spark, "ACGTACGT", "ACGTACGA", "ACGTACGT"))
+    assert writers.averages_text(stats).head().text.startswith("average\t")
+
