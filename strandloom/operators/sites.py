@@ -6,7 +6,8 @@ windows pick one, and its letters are called from both flanks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import alphabet
@@ -47,15 +48,46 @@ def flanked(r: DataFrame, width: int, tolerance: int = 0, reach: int = 10) -> Da
 def site_scores(windows: DataFrame, reach: int) -> DataFrame:
     """length, offset and the sum over windows(left, right) of pair scores and a bonus for each base.
 
-    A repeat of `length` bases ends `offset` bases into the element on the left and as much short of the end on the right."""
-    pair = lambda i: X.site_pair_score(F.substring("left", i, 1), F.substring("right", i, 1))
-    sums = windows.agg(F.count("*").alias("n"), F.array(*[F.sum(pair(i)) for i in range(1, 2 * reach + 1)]).alias("sums")).where("n > 0")
-    w = sums.select("n", "sums", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("length"))
-    w = w.select("n", "sums", "length", F.explode(F.sequence(F.lit(0), F.col("length"))).alias("offset"))
-    own = F.slice("sums", F.lit(reach) - F.col("length") + F.col("offset") + 1, F.col("length"))
-    score = F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0).cast("long")))
-    return w.select("length", "offset", (score + F.round(F.col("n") * F.col("length") * BONUS, 1)).alias("score"))
-
+    A repeat of `length` bases ends `offset` bases into the element on the left, and on the right begins as many before its end: letters
+    reach - length + offset to reach + offset of the left window against reach - offset to reach - offset + length of the right one, from 0.
+    Windows that are null take no part; without windows there are no rows."""
+    both = windows.where("left is not null and right is not null").select("left", "right")
+    table = pair_table()
+
+    def sums(batches):
+        import pyarrow as pa
+
+        total, n = np.zeros((2 * reach, 2 * reach), np.int64), 0
+        for batch in batches:
+            left, right = (np.frombuffer("".join(batch.column(c).to_pylist()).encode("ascii", "replace"), np.uint8).reshape(-1, 2 * reach) for c in (0, 1))
+            n += len(left)
+            for i in range(2 * reach):
+                total[i] += table[left[:, i, None], right].sum(axis=0)
+        if n:
+            at = np.indices(total.shape).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total.ravel()), pa.array(np.full(total.size, n), pa.int64())], ["l", "r", "sum", "n"])
+
+    # (2 * reach) ** 2 rows of a task, however many windows it has
+    pairs = both.mapInArrow(sums, "l int, r int, sum long, n long").groupBy("l", "r").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+    w = windows.sparkSession.range(1, reach + 1).select(F.col("id").cast("int").alias("length"))
+    w = w.select("length", F.explode(F.sequence(F.lit(0), F.col("length"))).alias("offset"))
+    w = w.select("length", "offset", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("at"))
+    own = w.select("length", "offset", (reach - F.col("length") + F.col("offset") + F.col("at")).alias("l"), (reach - F.col("offset") + F.col("at")).alias("r"))
+    summed = own.join(pairs, ["l", "r"]).groupBy("length", "offset").agg(F.sum("sum").alias("sum"), F.max("n").alias("n"))
+    return summed.select("length", "offset", (F.col("sum") + F.round(F.col("n") * F.col("length") * BONUS, 1)).alias("score"))
+
+
+def pair_table() -> np.ndarray:
+    """Scores of two letters facing each other, by their codes, as functions.text.site_pair_score has them."""
+    table = np.full((128, 128), -15, np.int16)
+    np.fill_diagonal(table, 10)
+    for pairs, score in (("AA TT", 9), ("AG GA CT TC", -6), ("AT TA", -17)):
+        for a, b in pairs.split():
+            table[ord(a), ord(b)] = score
+    for unknown in "N-":
+        table[ord(unknown)] = table[:, ord(unknown)] = 0
+    upper = np.array([ord(chr(i).upper()) for i in range(128)])
+    return table[np.ix_(upper, upper)]
 
 def best_site(scores: DataFrame) -> DataFrame:
     """length, offset and average of the site picked: for each length the best offset, the last of equals; over lengths the longest of equals."""
@@ -75,9 +107,9 @@ def site_consensus(letters: DataFrame) -> DataFrame:
 def site_letters(windows: DataFrame, length: Column | int, offset: Column | int, reach: int) -> DataFrame:
     """pos and base of both flanks' sites in windows that score more than zero there."""
     length, offset = (x if isinstance(x, Column) else F.lit(x) for x in (length, offset))
-    start = F.lit(reach) - length + offset + 1
-    site = lambda c: F.split(F.substring(F.col(c), start, length), "")
-    pairs = F.filter(F.arrays_zip(site("left").alias("l"), site("right").alias("r")), lambda x: x["l"] != "")
+    site = lambda c, start: F.split(F.substring(F.col(c), start, length), "")
+    left, right = site("left", F.lit(reach) - length + offset + 1), site("right", F.lit(reach) - offset + 1)
+    pairs = F.filter(F.arrays_zip(left.alias("l"), right.alias("r")), lambda x: x["l"] != "")
     raw = F.aggregate(pairs, F.lit(0), lambda s, x: s + X.site_pair_score(x["l"], x["r"]))
     w = windows.where(raw > 0).select(F.posexplode(pairs).alias("pos", "x"))
     return w.select("pos", F.explode(F.array("x.l", "x.r")).alias("base"))

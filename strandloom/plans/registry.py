@@ -347,7 +347,7 @@ w AS (
 TSD = f"""{GEN},
 {SITES},
 x AS (
-  SELECT a AS length, b AS "offset", substr(l, CAST(10 - a + b + j AS BIGINT), 1) AS p, substr(r, CAST(10 - a + b + j AS BIGINT), 1) AS q
+  SELECT a AS length, b AS "offset", substr(l, CAST(10 - a + b + j AS BIGINT), 1) AS p, substr(r, CAST(10 - b + j AS BIGINT), 1) AS q
   FROM w, range(1, 11) t(a), range(0, 11) u(b), range(1, 11) v(j) WHERE b <= a AND j <= a),
 s AS (
   SELECT CAST(length AS INTEGER) AS length, CAST("offset" AS INTEGER) AS "offset",
@@ -372,7 +372,7 @@ def tsd_best(spark, sf_dir):
 
 
 @query(f"""WITH {GEN}, {SITE_MATRIX}, {SITES},
-s AS (SELECT substr(l, 8, 5) AS l, substr(r, 8, 5) AS r FROM w),
+s AS (SELECT substr(l, 8, 5) AS l, substr(r, 9, 5) AS r FROM w),
 z AS (
   SELECT l, r, list_sum(list_transform(range(1, 6), lambda i: CASE WHEN substr(l, i, 1) = substr(r, i, 1) THEN CASE WHEN substr(l, i, 1) IN ('A', 'T') THEN 9 ELSE 10 END
     WHEN substr(l, i, 1) || substr(r, i, 1) IN ('AG', 'GA', 'CT', 'TC') THEN -6 WHEN substr(l, i, 1) || substr(r, i, 1) IN ('AT', 'TA') THEN -17 ELSE -15 END)) AS raw FROM s),

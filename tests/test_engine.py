@@ -285,12 +285,37 @@ def test_tables_and_names(spark):
     assert [r.candidate for r in got] == ["Homo sapiens"]
 
 
-def test_sites(spark):
-    windows = spark.createDataFrame([("GGGGGGGGGGACGTTTTTTTTT"[:20], "CCCCCCCCCCACGTAAAAAAAA"[:20])], "left string, right string")
-    best = sites.best_site(sites.site_scores(windows, 10)).head()
-    assert best.average > 0
-    letters = sites.site_letters(windows, 4, 4, 10)
-    assert "".join(r.letter for r in sites.site_consensus(letters).orderBy("pos").collect()) == "ACGT"
+@pytest.mark.parametrize("offset", [0, 2, 5])
+def test_sites(spark, offset):
+    # An element of which `offset` bases at both ends belong to the site ATTAA; the other letters of the two windows never agree
+    left, right = list("C" * 20), list("G" * 20)
+    left[10 - 5 + offset : 10 + offset] = "ATTAA"
+    right[10 - offset : 15 - offset] = "ATTAA"
+    windows = spark.createDataFrame([("".join(left), "".join(right))] * 3 + [(None, None)], "left string, right string")
+    scores = sites.site_scores(windows, 10)
+    assert scores.count() == 65
+    best = sites.best_site(scores).head()
+    assert (best.length, best.offset) == (5, offset) and best.average == int(3 * 9 + 3 * 6.9 + 0.5)
+    letters = sites.site_letters(windows, 5, offset, 10)
+    assert letters.count() == 30
+    assert "".join(r.letter for r in sites.site_consensus(letters).orderBy("pos").collect()) == "ATTAA"
+
+
+def test_site_scores_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    drawn = [tuple("".join(rng.choice("ACGTNacgt-R") for _ in range(12)) for _ in range(2)) for _ in range(20)]
+    windows = spark.createDataFrame(drawn, "left string, right string")
+    pairs = spark.createDataFrame([(a, b) for a in "ACGTNacgt-R" for b in "ACGTNacgt-R"], "a string, b string")
+    score = {(r.a, r.b): r.s for r in pairs.select("a", "b", X.site_pair_score(F.col("a"), F.col("b")).alias("s")).collect()}
+    want = {}
+    for n in range(1, 7):
+        for k in range(n + 1):
+            want[n, k] = sum(score[a, b] for left, right in drawn for a, b in zip(left[6 - n + k : 6 + k], right[6 - k : 6 - k + n])) + round(20 * n * 6.9, 1)
+    got = {(r.length, r.offset): r.score for r in sites.site_scores(windows, 6).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+    assert sites.site_scores(windows.limit(0), 6).count() == 0
 
 
 def test_writers(spark):
