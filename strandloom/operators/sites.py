@@ -42,7 +42,7 @@ def flanked(r: DataFrame, width: int, tolerance: int = 0, reach: int = 10) -> Da
     )
     window = lambda at: F.when(F.col("reason").isNull(), F.substring(F.col("g_seq"), (at - reach + 1).cast("int"), F.lit(2 * reach)))
     r = r.withColumn("reason", reason).withColumn("left", window(lb)).withColumn("right", window(rb))
-    return r.select("row_idx", "name", "seq_start", "seq_end", "orient", "reason", "left", "right")
+    return r.select("row_idx", "name", "seq", "seq_start", "seq_end", "orient", "reason", "left", "right")
 
 
 def site_scores(windows: DataFrame, reach: int) -> DataFrame:
@@ -89,12 +89,18 @@ def pair_table() -> np.ndarray:
     upper = np.array([ord(chr(i).upper()) for i in range(128)])
     return table[np.ix_(upper, upper)]
 
-def best_site(scores: DataFrame) -> DataFrame:
-    """length, offset and average of the site picked: for each length the best offset, the last of equals; over lengths the longest of equals."""
-    average = F.floor(F.col("score") / F.col("length") + 0.5)
-    rounded = F.when(F.col("score") / F.col("length") + 0.5 >= 0, average).otherwise(F.ceil(F.col("score") / F.col("length") + 0.5)).cast("long")
+def best_offsets(scores: DataFrame) -> DataFrame:
+    """length, average and offset: for each length the offset of the best average, the last of equals."""
+    shifted = F.col("score") / F.col("length") + 0.5
+    rounded = F.when(shifted >= 0, F.floor(shifted)).otherwise(F.ceil(shifted)).cast("long")
     by_length = scores.withColumn("average", rounded).groupBy("length").agg(F.max(F.struct("average", "offset")).alias("best"))
-    return by_length.agg(F.max(F.struct(F.col("best.average").alias("average"), "length", F.col("best.offset").alias("offset"))).alias("b")).select("b.length", "b.offset", "b.average")
+    return by_length.select("length", "best.average", "best.offset")
+
+
+def best_site(scores: DataFrame) -> DataFrame:
+    """length, offset and average of the site picked: of the best averages the longest; no rows without scores."""
+    picked = best_offsets(scores).agg(F.max(F.struct("average", "length", "offset")).alias("b"))
+    return picked.where("b is not null").select("b.length", "b.offset", "b.average")
 
 
 def site_consensus(letters: DataFrame) -> DataFrame:
@@ -104,12 +110,20 @@ def site_consensus(letters: DataFrame) -> DataFrame:
     return summed.groupBy("pos").agg(F.max(F.struct("total", (-F.col("idx")).alias("i"), "cand"))["cand"].alias("letter"))
 
 
+def site_at(length: Column, offset: Column, reach: int) -> tuple[Column, Column, Column]:
+    """The sites in windows(left, right), and the score of their letters without the bonus."""
+    left = F.substring(F.col("left"), F.lit(reach) - length + offset + 1, length)
+    right = F.substring(F.col("right"), F.lit(reach) - offset + 1, length)
+    pairs = F.arrays_zip(F.split(left, "").alias("l"), F.split(right, "").alias("r"))
+    raw = F.aggregate(F.filter(pairs, lambda x: x["l"] != ""), F.lit(0), lambda s, x: s + X.site_pair_score(x["l"], x["r"]))
+    return left, right, raw
+
+
 def site_letters(windows: DataFrame, length: Column | int, offset: Column | int, reach: int) -> DataFrame:
     """pos and base of both flanks' sites in windows that score more than zero there."""
     length, offset = (x if isinstance(x, Column) else F.lit(x) for x in (length, offset))
-    site = lambda c, start: F.split(F.substring(F.col(c), start, length), "")
-    left, right = site("left", F.lit(reach) - length + offset + 1), site("right", F.lit(reach) - offset + 1)
-    pairs = F.filter(F.arrays_zip(left.alias("l"), right.alias("r")), lambda x: x["l"] != "")
-    raw = F.aggregate(pairs, F.lit(0), lambda s, x: s + X.site_pair_score(x["l"], x["r"]))
+    left, right, raw = site_at(length, offset, reach)
+    pairs = F.arrays_zip(F.split(left, "").alias("l"), F.split(right, "").alias("r"))
+    pairs = F.filter(pairs, lambda x: x["l"] != "")
     w = windows.where(raw > 0).select(F.posexplode(pairs).alias("pos", "x"))
     return w.select("pos", F.explode(F.array("x.l", "x.r")).alias("base"))

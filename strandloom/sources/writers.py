@@ -176,6 +176,47 @@ def report_text() -> Column:
     return F.concat_ws(", ", *[F.concat(F.lit(f"{k}: "), shown(c, n)) for k, c, n in parts])
 
 
+def site_report(windows: DataFrame, reach: int, edge: int = 10, all_offsets: bool = True, scores_only: bool = False) -> DataFrame:
+    """part, row_idx and text of the lines of a report on duplicated sites, to be saved in that order; windows are those of sites.flanks.
+
+    Parts: 0 the average of each length (and its offset, with all_offsets), 1 the site picked, 2 both sites of each instance whose letters
+    score more than zero there, 3 their consensus, 4 these instances from both ends: flank in small letters, then the site and `edge` columns of
+    the alignment in capitals. Instances without windows are left out; without any there are no lines."""
+    from strandloom.functions.tables import settled
+    from strandloom.operators import sites
+
+    own = settled(windows.where("left is not null and right is not null"))
+    scores = sites.site_scores(own, reach).where(F.lit(all_offsets) | (F.col("offset") == 0))
+    line = lambda part, at, text: (F.lit(part).alias("part"), at.cast("long").alias("row_idx"), text.alias("text"))
+    shown = ("length", "average", "offset") if all_offsets else ("length", "average")
+    lines = sites.best_offsets(scores).select(*line(0, F.col("length"), F.concat_ws(" ", *shown)))
+    best = sites.best_site(scores).head()
+    if best is None:
+        return lines
+    n, k = best.length, best.offset
+    where = "outside the alignment" if k == 0 else "wholly inside the alignment, maybe an inverted repeat's end" if k == n else f"{k} of {n} bases inside the alignment"
+    one = own.sparkSession.range(1)
+    lines = lines.unionByName(one.select(*line(1, F.col("id"), F.lit(f"best: length={n}, offset={k}" + (f" ({where})" if all_offsets else "")))))
+    if scores_only:
+        return lines
+    left, right, raw = sites.site_at(F.lit(n), F.lit(k), reach)
+    passing = own.where(raw > 0)
+    called = sites.site_consensus(sites.site_letters(own, n, k, reach)).groupBy().agg(join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("text"))
+    label = F.concat("name", F.lit(":"), "seq_start", F.lit("-"), "seq_end", F.lit("_"), "orient")
+    width = max(8, passing.agg(F.max(F.length(label))).head()[0] or 0)
+    flank = reach - n + k
+    columns = F.translate(F.upper("seq"), " ", "-")
+    halves = F.concat(F.lower(F.substring("left", 1, flank)), F.upper(left), F.lit(" "), F.substring(columns, 1, edge), F.lit(" ... "),
+                      F.when(F.length("seq") > edge, F.substring(columns, -edge, edge)).otherwise(columns), F.lit(" "), F.upper(right), F.lower(F.substring("right", reach - k + n + 1, 2 * reach)))
+    head = "flank, site and alignment".ljust(flank + n + 1 + edge) + " ... " + "alignment, site and flank"
+    return (
+        lines.unionByName(passing.select(*line(2, F.col("row_idx"), F.concat(left, F.lit("\n"), right))))
+        .unionByName(called.select(*line(3, F.lit(0), F.col("text"))))
+        .unionByName(one.select(*line(4, F.lit(-1), F.lit(" " * (width + 2) + head))))
+        .unionByName(passing.select(*line(4, F.col("row_idx"), F.concat(F.rpad(label, width, " "), F.lit("  "), halves))))
+    )
+
+
 def findings_text() -> Column:
     """file, label, severity, check and message between tabs."""
     return F.concat_ws("\t", "file", "label", "severity", "check", "message")

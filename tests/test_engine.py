@@ -301,6 +301,20 @@ def test_sites(spark, offset):
     assert "".join(r.letter for r in sites.site_consensus(letters).orderBy("pos").collect()) == "ATTAA"
 
 
+def test_site_report(spark):
+    chrom = "C" * 10 + "ATTAA" + "CCCCCCGGGGGG" + "ATTAA" + "G" * 10
+    genome = spark.createDataFrame([("c", len(chrom), chrom)], "chrom string, length long, seq string")
+    rows = spark.createDataFrame([(1, "c", "CCCCCC-GGGGGG", 16, 27, "+"), (2, "d", "CCCCCC-GGGGGG", 16, 27, "+")], "row_idx int, name string, seq string, seq_start long, seq_end long, orient string")
+    report = writers.site_report(sites.flanks(rows, genome, 13), 10, edge=4)
+    lines = [(r.part, r.text) for r in report.orderBy("part", "row_idx").collect()]
+    assert len(lines) == 15, lines
+    assert (1, "best: length=5, offset=0 (outside the alignment)") in lines, lines[10:]
+    assert lines[-4:-2] == [(2, "ATTAA\nATTAA"), (3, "ATTAA")]
+    assert lines[-1] == (4, "c:16-27_+  cccccATTAA CCCC ... GGGG ATTAAggggg")
+    assert writers.site_report(sites.flanks(rows, genome, 13), 10, scores_only=True).count() == 11
+    assert writers.site_report(sites.flanks(rows.where("row_idx = 2"), genome, 13), 10).count() == 0
+
+
 def test_site_scores_by_brute_force(spark):
     import random
 
