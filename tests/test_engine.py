@@ -172,6 +172,24 @@ def test_claims(spark):
     assert one[4:] == [(8, "fixed_remapped_ambig"), (3, "fixed_remapped_ambig"), (30, "removed_remapped_duplicate"), (30, "removed_remapped_duplicate")]
 
 
+def test_claims_after_a_join_changed_at_run_time(spark):
+    """All records of a sequence claim in one task, also where a shuffled join turns out to be a broadcast."""
+    draw = random.Random(4)
+    words = ["".join(draw.choices("ACGT", k=20)) for _ in range(40)]
+    g = spark.createDataFrame([("g", f"c{i}", 120, w * 6) for i, w in enumerate(words)], files.GENOME)
+    rows = coordinate(spark, [("none", None, None, None, w) for _ in range(6) for w in words])
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = coords.remap(rows.repartition(4), g).select("sequence_id", "start").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == sorted((f"c{i}", 20 * j + 1) for i in range(40) for j in range(6))
+
+
 def test_occurrences_by_both_joins(spark, monkeypatch):
     g = spark.createDataFrame(GENOME, files.GENOME)
     p = spark.createDataFrame([("CCATTTG",), ("TT",), ("GGATCC",), ("",), (GENOME[0][3],)], "pattern string")
