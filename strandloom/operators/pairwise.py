@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import text as X
+from strandloom.functions.tables import settled
+from strandloom.operators.msa import raw
 
 
 def sides(hits: DataFrame, reference: str = "subj") -> DataFrame:
@@ -21,76 +24,145 @@ def sides(hits: DataFrame, reference: str = "subj") -> DataFrame:
     )
 
 
-def parsed(hits: DataFrame) -> DataFrame:
-    """hits with their reference's bases, the letters opposite those, and the places (`ins_pos`) and texts (`ins_text`) of insertions.
+def letters_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of a string column as numbers, and the offsets of its values."""
+    data, offsets = raw(column)
+    data = data[offsets[0] : offsets[-1]]
+    if data.max(initial=0) < 128:
+        return data, offsets - offsets[0]
+    texts = column.fill_null("").to_pylist()
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.cumsum([0, *map(len, texts)])
+
+
+def strings(letters: np.ndarray, sizes: np.ndarray):
+    """The string column of letters as numbers, so many to a value."""
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *sizes])
+    if letters.max(initial=0) < 128:
+        return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters, np.uint8)))
+    text = letters.astype(np.uint32).tobytes().decode("utf-32-le")
+    return pa.array([text[i:j] for i, j in zip(ends[:-1], ends[1:])], pa.string())
+
+
+def portions(batches, cells: int = 1 << 20):
+    """Batches in parts of about so many letters of ref_seq, a row at least."""
+    for batch in batches:
+        _, offsets = raw(batch.column(batch.schema.get_field_index("ref_seq")))
+        at = 0
+        while at < batch.num_rows:
+            end = max(int(np.searchsorted(offsets, offsets[at] + cells, "right")) - 1, at + 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+class Faced:
+    """The columns of a batch of hits in which not both sides have a gap: row, whether the reference has a gap, its letter, the hit's own and the place.
 
     An insertion stands before the base of its place; one after the last base has the place after it."""
 
-    def run(batches):
-        import re
+    def __init__(self, batch):
+        at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        top, offsets = letters_of(at["ref_seq"])
+        own, begins = letters_of(at["seq"])
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        i = np.arange(len(top)) - offsets[:-1][row]
+        inside = i < np.diff(begins)[row]
+        mine = np.zeros(len(top), own.dtype)
+        mine[inside] = own[begins[:-1][row[inside]] + i[inside]]
+        kept = (top != 45) | ((mine != 45) & inside)
+        self.row, self.top, self.own = row[kept], top[kept], mine[kept]
+        self.gap = self.top == 45
+        self.bases = np.bincount(self.row[~self.gap], minlength=batch.num_rows)
+        self.start = at["ref_start"].to_numpy(zero_copy_only=False).astype(np.int64)
+        self.place = self.start[self.row] + np.cumsum(~self.gap) - ~self.gap - (np.cumsum(self.bases) - self.bases)[self.row]
+
+    def insertions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of inserted letters in the columns, their order in their insertion, and where insertions begin among them, with their lengths."""
+        at = np.flatnonzero(self.gap)
+        new = np.ones(len(at), bool)
+        new[1:] = (self.row[at[1:]] != self.row[at[:-1]]) | (self.place[at[1:]] != self.place[at[:-1]])
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.append(first, len(at)))
+        return at, np.arange(len(at)) - np.repeat(first, sizes), first, sizes
+
+
+def wanted(hits: DataFrame) -> DataFrame:
+    """What hits ask of their reference, once a batch: stretches of it that they cover (ref, pos, hit_no, bases), and the room of their insertions (ref, pos, room)."""
+    kind = hits.schema["hit_no"].dataType.simpleString()
 
+    def run(batches):
         import pyarrow as pa
 
-        runs = re.compile("-+")
-        for batch in batches:
-            at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            bases, letters, places, texts = [], [], [], []
-            for start, top, own in zip(at["ref_start"].to_pylist(), at["ref_seq"].to_pylist(), at["seq"].to_pylist()):
-                pos, text, kept, seen, end = [], [], [], 0, 0
-                for m in runs.finditer(top):
-                    kept.append(own[end : m.start()])
-                    seen += m.start() - end
-                    end = m.end()
-                    pos.append(start + seen)
-                    text.append(own[m.start() : end])
-                kept.append(own[end : len(top)])
-                bases.append(top.replace("-", ""))
-                letters.append("".join(kept))
-                places.append(pos)
-                texts.append(text)
-            new = [pa.array(bases, pa.string()), pa.array(letters, pa.string()), pa.array(places, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "bases", "letters", "ins_pos", "ins_text"])
-
-    slim = hits.where("ref_seq is not null and seq is not null").select("ref", "hit_no", "name", "start", "end", "orient", F.col("ref_start").cast("long").alias("ref_start"), "ref_seq", "seq")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return slim.mapInArrow(run, fields + ", bases string, letters string, ins_pos array<long>, ins_text array<string>").drop("ref_seq", "seq")
-
-
-def laid(rows: DataFrame, schema: str) -> DataFrame:
-    """The text of every hit of rows(..., ref_start, letters, ins_pos, ins_text, rooms): its letters, and at each place with room its insertion, dashes filling the rest."""
+        for batch in portions(batches):
+            x = Faced(batch)
+            ref, hit_no = (batch.column(batch.schema.get_field_index(n)) for n in ("ref", "hit_no"))
+            t = pa.table({"ref": ref, "pos": pa.array(x.start), "hit_no": hit_no, "bases": strings(x.top[~x.gap], x.bases)})
+            if pa.types.is_integer(hit_no.type):
+                t = t.group_by(["ref", "pos", "bases"]).aggregate([("hit_no", "max")]).rename_columns(["ref", "pos", "bases", "hit_no"]).select(["ref", "pos", "hit_no", "bases"])
+            yield from t.append_column("room", pa.nulls(len(t), pa.int32())).combine_chunks().to_batches()
+            at, _, first, sizes = x.insertions()
+            if len(first):
+                rows = pa.array(x.row[at[first]])
+                t = pa.table({"ref": ref.take(rows), "pos": pa.array(x.place[at[first]]), "room": pa.array(sizes.astype(np.int32))}).group_by(["ref", "pos"]).aggregate([("room", "max")])
+                out = pa.table({"ref": t["ref"], "pos": t["pos"], "hit_no": pa.nulls(len(t), hit_no.type), "bases": pa.nulls(len(t), pa.string()), "room": t["room_max"]})
+                yield from out.combine_chunks().to_batches()
+
+    return hits.select("ref", "hit_no", "ref_start", "ref_seq", "seq").mapInArrow(run, f"ref string, pos long, hit_no {kind}, bases string, room int")
+
+
+def laid(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns of rows(ref_start, ref_seq, seq, a, width, rooms), with the hit's letters laid on the reference from a on as `own`: insertions where there is room, dashes in the rest, blanks outside."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            at = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n in ("ref_start", "letters", "ins_pos", "ins_text", "rooms")}
-            out = []
-            for start, letters, pos, text, rooms in zip(at["ref_start"], at["letters"], at["ins_pos"], at["ins_text"], at["rooms"]):
-                mine, pieces, end = dict(zip(pos, text)), [], 0
-                for room in rooms:
-                    i = room["pos"] - start
-                    pieces += [letters[end:i], mine.get(room["pos"], "").ljust(room["room"], "-")]
-                    end = i
-                out.append("".join(pieces) + letters[end:])
-            keep = [n for n in batch.schema.names if n not in ("letters", "ins_pos", "ins_text", "rooms")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in keep], pa.array(out, pa.string())], [*keep, "own"])
-
-    return rows.mapInArrow(run, schema)
+        for batch in portions(batches):
+            x, at = Faced(batch), {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            left, width = (at[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("a", "width"))
+            rooms, n = at["rooms"].flatten(), at["rooms"].value_lengths().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(batch.num_rows), n)
+            pos, room = (rooms.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("pos", "room"))
+            earlier = pos < x.start[of]
+            before = x.start - left + np.bincount(of[earlier], weights=room[earlier], minlength=batch.num_rows).astype(np.int64)
+            inner = ~earlier & (pos <= (x.start + x.bases)[of])
+            of, pos, room = of[inner], pos[inner], room[inner]
+            size = x.bases + np.bincount(of, weights=room, minlength=batch.num_rows).astype(np.int64)
+            # Rows' places in one order: how much room there is up to a place of a row
+            step = int(x.bases.max(initial=0)) + 2
+            keys, total = of * step + pos - x.start[of], np.concatenate([[0], np.cumsum(room)])
+            begun = total[np.searchsorted(keys, np.arange(batch.num_rows) * step)]
+            base = np.cumsum(width) - width
+            cell = x.row * step + x.place - x.start[x.row]
+            lead = total[np.where(x.gap, np.searchsorted(keys, cell), np.searchsorted(keys, cell, "right"))] - begun[x.row]
+            target = (base + before)[x.row] + x.place - x.start[x.row] + lead
+            ins, nth, _, _ = x.insertions()
+            target[ins] += nth
+            row = np.repeat(np.arange(batch.num_rows), width)
+            i = np.arange(len(row)) - base[row]
+            out = np.where((i >= before[row]) & (i < (before + size)[row]), 45, 32).astype(x.own.dtype)
+            seen = x.own != 0
+            out[target[seen]] = x.own[seen]
+            yield pa.RecordBatch.from_arrays([*[at[k] for k in names], strings(out, width)], [*names, "own"])
+
+    fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in names)
+    return rows.mapInArrow(run, fields + ", own string")
 
 
 def merge(hits: DataFrame) -> DataFrame:
     """One alignment of the hits of each ref: ref, row_idx (0 for the reference), name, start, end, orient and seq.
 
     Before each base the widest insertion of any hit makes room for all; a hit's own letters come first there, dashes fill the
-    rest. Bases are named by the hits that cover them, the last in order wins; a place that none covers is an error. Only what hits
-    insert and the distinct stretches of a reference that they cover are shuffled by place; hits themselves stay whole rows. A hit without a
+    rest. Columns where both sides have a gap are passed over. Bases are named by the hits that cover them, the last in order wins; a place that none covers is an error.
+    Hits are read twice, for what they ask of the reference and to be laid on it; they are shuffled once, to be numbered. A hit without a
     base of the reference, or with a null sequence, adds no row."""
-    own = parsed(hits).where("bases <> ''")
-    stretches = own.groupBy("ref", "ref_start", "bases").agg(F.max("hit_no").alias("hit_no"))
+    own = hits.where("ref is not null and ref_seq is not null and seq is not null and replace(ref_seq, '-', '') <> ''")
+    own = own.select("ref", "hit_no", "name", "start", "end", "orient", F.col("ref_start").cast("long").alias("ref_start"), "ref_seq", "seq")
+    asked = settled(wanted(own))
+    stretches = asked.where("bases is not null").groupBy("ref", F.col("pos").alias("ref_start"), "bases").agg(F.max("hit_no").alias("hit_no"))
     named = stretches.select("ref", "ref_start", "hit_no", F.posexplode(F.split("bases", "")).alias("i", "base")).where("base <> ''")
     bases = named.groupBy("ref", (F.col("ref_start") + F.col("i")).alias("pos")).agg(F.max_by("base", "hit_no").alias("base"))
-    wide = own.where(F.size("ins_pos") > 0).select("ref", F.explode(F.arrays_zip("ins_pos", "ins_text")).alias("x"))
-    room = wide.groupBy("ref", F.col("x.ins_pos").alias("pos")).agg(F.max(F.length("x.ins_text")).alias("room"))
+    room = asked.where("bases is null").groupBy("ref", "pos").agg(F.max("room").alias("room"))
     span = bases.groupBy("ref").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
     places = span.select("ref", "a", "b", F.explode(F.sequence("a", F.col("b") + 1)).alias("pos")).join(bases, ["ref", "pos"], "left").join(room, ["ref", "pos"], "left")
     hole = F.raise_error(F.concat(F.lit("no hit covers place "), F.col("pos"), F.lit(" of "), F.col("ref"))).cast("string")
@@ -99,20 +171,13 @@ def merge(hits: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("pos", "room", "base")))
     line = places.groupBy("ref", "a", "b").agg(ordered.alias("line"))
     text = F.array_join(F.transform("line", lambda x: F.concat(F.repeat(F.lit("-"), x["room"]), x["base"])), "")
-    rooms = F.transform(F.filter("line", lambda x: x["room"] > 0), lambda x: F.struct(x["pos"], x["room"]))
-    line = line.select("ref", "a", "b", text.alias("seq"), rooms.alias("rooms"))
+    rooms = F.transform(F.filter("line", lambda x: x["room"] > 0), lambda x: F.struct(x["pos"].alias("pos"), x["room"].alias("room")))
+    line = settled(line.select("ref", "a", "b", text.alias("seq"), rooms.alias("rooms")))
     top = line.select("ref", F.lit(0).alias("row_idx"), F.col("ref").alias("name"), F.col("a").alias("start"), F.col("b").alias("end"), F.lit("+").alias("orient"), "seq")
-    beside = own.join(line.select(F.col("ref").alias("of"), "a", "rooms", F.length("seq").alias("width")), F.col("ref") == F.col("of"))
-    # What stands before the hit's first place: the reference's bases there and the room before each
-    before = F.col("ref_start") - F.col("a") + F.aggregate(F.filter("rooms", lambda x: x["pos"] < F.col("ref_start")), F.lit(0).cast("long"), lambda s, x: s + x["room"])
-    end = F.col("ref_start") + F.length("bases")
-    beside = beside.withColumn("before", before.cast("int")).withColumn("rooms", F.filter("rooms", lambda x: (x["pos"] >= F.col("ref_start")) & (x["pos"] <= end)))
-    beside = beside.select("ref", "hit_no", "name", "start", "end", "orient", "ref_start", "before", "width", "letters", "ins_pos", "ins_text", "rooms")
-    kept = [f for f in beside.schema.fields if f.name not in ("letters", "ins_pos", "ins_text", "rooms")]
-    rows = laid(beside, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", own string")
-    seq = F.rpad(F.concat(F.repeat(F.lit(" "), F.col("before")), F.col("own")), F.col("width"), F.lit(" "))
-    place = F.row_number().over(Window.partitionBy("ref").orderBy("hit_no"))
-    return top.unionByName(rows.select("ref", place.alias("row_idx"), "name", "start", "end", "orient", seq.alias("seq")))
+    own = own.withColumn("row_idx", F.row_number().over(Window.partitionBy("ref").orderBy("hit_no")))
+    beside = own.join(line.select(F.col("ref").alias("of"), "a", "rooms", F.length("seq").alias("width")), F.col("ref") == F.col("of")).drop("of", "hit_no")
+    names = ["ref", "row_idx", "name", "start", "end", "orient"]
+    return top.unionByName(laid(beside, names).select(*names, F.col("own").alias("seq")))
 
 
 def project(hits: DataFrame, reference_length: Column | int) -> DataFrame:

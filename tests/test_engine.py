@@ -284,6 +284,40 @@ def test_other_files(spark, tmp_path):
     assert c.select(writers.coordinates_fasta().alias("t")).head().t == ">seq2:7-10_+   : note\nAAAT"
 
 
+def test_pairwise_of_many_hits_by_plain_python(spark):
+    """Hits with gaps in common, insertions anywhere and other alphabets, laid as plain Python lays them."""
+    draw = random.Random(7)
+    hits = []
+    for ref in ("a", "b\u00e9"):
+        genome = "".join(draw.choices("ACGT" if ref == "a" else "AC\u00c9T", k=30))
+        for k in range(40):
+            start = draw.randrange(0, 20) if k else 0
+            top, own = "", ""
+            for base in genome[start : draw.randrange(start + 1, 31) if k else 30]:
+                more = draw.choices("ACGT-", k=draw.choice([0, 0, 0, 1, 3]))
+                top, own = top + "-" * len(more) + base, own + "".join(more) + draw.choice("ACGT-")
+            hits.append((ref, len(hits), start + 1, top, f"h{len(hits)}", 1, 9, "+", own))
+    want = []
+    for ref in ("a", "b\u00e9"):
+        cut = []
+        for h in (h for h in hits if h[0] == ref):
+            at, ins, letters = h[2], {}, {}
+            for t, o in zip(h[3], h[8]):
+                if t != "-":
+                    letters[at] = o
+                    at += 1
+                elif o != "-":
+                    ins[at] = ins.get(at, "") + o
+            cut.append((h, ins, letters))
+        room = {p: max(len(i.get(p, "")) for _, i, _ in cut) for p in range(1, 32)}
+        for h, ins, letters in cut:
+            inside = range(min(letters), max(letters) + 2)
+            want.append((ref, h[4], "".join((ins.get(p, "").ljust(room[p], "-") if p in inside else " " * room[p]) + (letters.get(p, " ") if p < 31 else "") for p in range(1, 32))))
+    df = spark.createDataFrame(hits, "ref string, hit_no int, ref_start int, ref_seq string, name string, start int, end int, orient string, seq string")
+    got = pairwise.merge(df.repartition(3)).where("row_idx > 0").orderBy("ref", "row_idx").select("ref", "name", "seq").collect()
+    assert list(map(tuple, got)) == want
+
+
 def test_pairwise(spark):
     hits = spark.createDataFrame(
         [("r", 1, 1, "AC-GT", "a", 1, 5, "+", "ACTGT"), ("r", 2, 3, "GTA--C", "b", 1, 6, "-", "G-ATTC")],
