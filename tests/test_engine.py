@@ -204,6 +204,21 @@ def test_occurrences_by_both_joins(spark, monkeypatch):
         assert {tuple(r) for r in coords.occurrences(p, g).collect()} == want
 
 
+def test_many_patterns_shuffle_few_places(spark, monkeypatch):
+    """Patterns too many to be broadcast: the places that are joined are not all of the genome, and long patterns are compared in full."""
+    draw = random.Random(9)
+    seqs = ["".join(draw.choices("ACGT", k=n)) for n in (70000, 300, 5)]
+    g = spark.createDataFrame([("g", f"c{i}", len(s), s) for i, s in enumerate(seqs)], files.GENOME)
+    words = [seqs[0][65500:65524], seqs[0][65530:65700], seqs[0][10:190] + "A", seqs[1][:16], seqs[1][40:64], "ACGTACGTACGTACGTACGTACGT"]
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = {(w, f"c{c}", i, o) for c, s in enumerate(seqs) for w in words for o, x in (("+", w), ("-", turned(w))) for i in range(len(s)) if s.startswith(x, i)}
+    seen, real = [], coords.sifted
+    monkeypatch.setattr(coords, "BROADCAST", 0)
+    monkeypatch.setattr(coords, "sifted", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = coords.occurrences(spark.createDataFrame([(w,) for w in words], "pattern string"), g)
+    assert {tuple(r) for r in got.collect()} == want and seen[0].count() < 100
+
+
 STOCKHOLM = """# STOCKHOLM 1.0
 #=GF ID   One
 #=GF DE   A family
