@@ -201,11 +201,39 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     more so that its right window ends it: in chromosomes of 50 bases or more windows cover every base. An instance has its own stretch of the chromosome beside it, so
     that the work is in proportion to the bases and nothing is joined. A chromosome shorter than a stretch has one instance, at its edge, without windows."""
     size = INSTANCE + 2 * REACH
-    g = genome(spark, sf_dir).where("length is not null")
-    last = F.greatest(F.col("length") - size, F.lit(0))
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0).cast("long"), last, F.lit(2 * REACH).cast("long")), F.array(last)))
-    at = g.select("chrom", F.col("seq").cast("binary").alias("whole"), F.explode(starts).alias("at"))
-    pieces = at.select(F.concat("chrom", F.lit("+"), "at").alias("name"), F.substring("whole", F.col("at").cast("int") + 1, F.lit(size)).cast("string").alias("g_seq"))
+    bases = np.zeros(256, np.uint8)
+    bases[[ord(c) for c in ALPHABET]] = [ord(c) for c in BASES]
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), "doc_id").alias("chrom"), F.lower("text").alias("text")).where("text is not null")
+
+    def cut(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                data, offsets = raw(batch.column(1))
+                doc, at, seqs, sizes = [], [], [], []
+                for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    g = bases[data[x:y]]
+                    g = g[g != 0]
+                    last = max(len(g) - size, 0)
+                    starts = np.arange(0, last + 1, 2 * REACH)
+                    starts = starts if starts[-1] == last else np.append(starts, last)
+                    doc.append(np.full(len(starts), i))
+                    at.append(starts)
+                    seqs.append(g if len(g) < size else np.lib.stride_tricks.sliding_window_view(g, size)[starts].ravel())
+                    sizes.append(np.full(len(starts), min(len(g), size)))
+                if not doc:
+                    continue
+                at, ends = np.concatenate(at), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                seq = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.concatenate(seqs)))
+                name = pc.binary_join_element_wise(batch.column(0).take(pa.array(np.concatenate(doc))), pa.array(at).cast(pa.string()), "+")
+                made = pa.RecordBatch.from_arrays([name, seq], ["name", "g_seq"])
+                for n in range(0, made.num_rows, 1 << 16):
+                    yield made.slice(n, 1 << 16)
+
+    pieces = d.mapInArrow(cut, "name string, g_seq string")
     own = F.rpad(F.substring("g_seq", REACH + 1, INSTANCE), INSTANCE, "A")
     rows = pieces.select(F.lit(0).alias("row_idx"), "name", own.alias("seq"), F.lit(REACH + 1).cast("long").alias("seq_start"), F.lit(REACH + INSTANCE).cast("long").alias("seq_end"), F.lit("+").alias("orient"), "g_seq", F.length("g_seq").cast("long").alias("length"))
     return sites.flanked(rows, INSTANCE, reach=REACH)

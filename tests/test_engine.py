@@ -382,6 +382,18 @@ def test_site_report(spark):
     assert writers.site_report(sites.flanks(rows.where("row_idx = 2"), genome, 13), 10).count() == 0
 
 
+def test_windows_and_rows_are_cut_in_batches(spark, tmp_path):
+    """No function on strings is left that walks whole texts letter by letter in rows: the plans cut them in Arrow."""
+    from strandloom.plans import derive
+
+    docs = [(i, "s", "Ab c" * n) for i, n in enumerate((0, 10, 40, 300))]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for made in (derive.windows(spark, str(tmp_path)), derive.alignments(spark, str(tmp_path))):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "translate(" not in plan and "explode" not in plan
+    assert derive.alignments(spark, str(tmp_path)).where("is_reference").select("msa_id", "row_idx").count() == 23
+
+
 def test_site_scores_by_brute_force(spark):
     import random
 
