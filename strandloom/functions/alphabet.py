@@ -73,12 +73,6 @@ def scores(spark: SparkSession, letters: str = LETTERS, score=consensus_score) -
     return spark.createDataFrame(score_rows(letters, score), "cand string, idx int, obs string, score int")
 
 
-def scores_by_observed(spark: SparkSession) -> DataFrame:
-    """obs and the map of every candidate's score against it."""
-    rows = [(o, {c: consensus_score(c, o) for c in LETTERS}) for o in LETTERS]
-    return spark.createDataFrame(rows, "obs string, by map<string,int>")
-
-
 def is_gap(c):
     """Whether a one-letter column is a gap."""
     return F.instr(F.lit(GAPS), c) > 0
