@@ -162,6 +162,52 @@ def test_validation_and_remapping(spark):
     assert {r.kind: r.n for r in coords.label_counts(coords.curate(coordinate(spark, rows), g, "g")).groupBy("kind").agg(F.sum("n").alias("n")).collect()}["invalid"] == 1
 
 
+def test_validation_reads_the_genome_once(spark):
+    """Drawn records about the ends of chunks and chromosomes, held against plain Python; the genome is read once for all of them, and once more for sequences too long for a chunk."""
+    draw = random.Random(15)
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    whole = {f"c{n}": "".join(draw.choices("ACGT", k=n)) for n in (1, 5, 40, 4096, 4100, 13000, 40000)} | {"c0": ""}
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def wanted(name, s, e, o, q):
+        half = s is not None and e - s == len(q)
+        b = s + 1 if half else s
+        if name not in whole:
+            return s, e, o, None
+        if s is None:
+            return s, e, o, "valid" if q == whole[name] else None
+        for d in (0, -3, -2, -1, 1, 2, 3) if b >= 1 and e - b + 1 == len(q) > 0 else ():
+            piece = whole[name][b + d - 1 : e + d]
+            if b + d >= 1 and e + d <= len(whole[name]) and piece in (q, turned(q)):
+                strand = "+" if piece == q else "-"
+                strand = o if d == 0 and (piece == turned(piece) or strand == o) else strand
+                label = ("_halfopen" if half else "") + ("" if strand == o else "_orient") + (f"_minus{-d}" if d < 0 else f"_plus{d}" if d else "")
+                return b + d, e + d, strand, f"fixed{label}" if label else "valid"
+        return b, e, o, None
+
+    rows = [(n, None, None, None, q) for n, q in whole.items() if len(q) < 16000] + [("c4096", None, None, None, whole["c4100"][:4096]), (None, 3, 6, "+", "ACGT"), ("none", 70000, 70004, "+", "ACGT"), ("c40", 70000, 70004, "+", "ACGT"), ("c0", 1, 4, "+", "ACGT"), ("c0", 5000, 5004, "-", "ACGT"), ("c40", 5, 9, "+", None)]
+    for _ in range(600):
+        name = draw.choice(list(whole))
+        size, edge = draw.choice([1, 2, 8, 24, 300]), draw.choice([0, 4096, 8192, 12288, len(whole[name])])
+        s = edge + draw.randint(-size - 8, 9)
+        q = whole[name][max(s - 1, 0) : max(s - 1, 0) + size] if draw.random() < 0.9 else "".join(draw.choices("ACGT", k=size))
+        off = draw.choice([0, 0, -4, -3, -2, -1, 1, 2, 3, 4])
+        rows.append((draw.choice([name] * 9 + ["none"]), s + off - draw.choice([0, 0, 1]), s + off + len(q) - 1, draw.choice("+-"), draw.choice([q, turned(q)])))
+    far = [("c40000", 11, 20010, "+", whole["c40000"][10:20010]), ("c40000", 13, 20013, "-", whole["c40000"][10:20010]), ("c40000", None, None, None, whole["c40000"]), ("c13000", 1, 16400, "+", "A" * 16400)]
+    g = spark.createDataFrame([("g", n, len(q), q) for n, q in whole.items()], files.GENOME)
+    g = g.mapInArrow(counted, g.schema)
+    for own, reads in ((rows, 1), (rows + far, 2)):
+        before = seen.value
+        got = coords.validate(coordinate(spark, own), g).orderBy("rec_order").select("start", "end", "orient", "validated").collect()
+        assert [tuple(r) for r in got] == [wanted(*r) if r[4] is not None else (*r[1:4], None) for r in own]
+        assert seen.value - before == reads * len(whole)
+
+
 def test_claims(spark):
     """Equal sequences take the nearest free places in order."""
     g = spark.createDataFrame([("g", "c", 33, "AATTTGGTTTCCGTTTAAAAACCCCGGGGAACC")], files.GENOME)
